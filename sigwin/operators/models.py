@@ -36,6 +36,7 @@ class EnsembleParams:
     hidden_layers: list[int] = field(default_factory=lambda: [256, 128])
     max_iter: int = 100
     block_size: int = 128
+    max_memory_mb: int = 1024
     seed: int = 42
     valid_ratio: float = 0.2
 
@@ -76,8 +77,8 @@ def _pipeline(n_features: int, p: EnsembleParams, weight_col: str | None) -> Pip
     rf = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=p.num_trees, maxDepth=p.max_depth,
         minInstancesPerNode=p.min_instances_per_node, featureSubsetStrategy=p.feature_subset,
-        seed=p.seed, predictionCol="rf_pred", probabilityCol="rf_prob",
-        rawPredictionCol="rf_raw")
+        seed=p.seed, maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True,
+        predictionCol="rf_pred", probabilityCol="rf_prob", rawPredictionCol="rf_raw")
     if weight_col:
         rf.setWeightCol(weight_col)
     mlp = MultilayerPerceptronClassifier(
@@ -102,7 +103,9 @@ def fit_ensemble(train: DataFrame, features: list[str] | None = None,
     scaler = fit_scaler(clean, features)
     scaled = scale_features(clean, scaler, keep=["label"])
     weighted = with_class_weight(scaled, "label", "weight")
-    data = _positional(weighted, features, ["label", "weight"])
+    # Both learners iterate over the same rows (L-BFGS passes, tree levels):
+    # materialise them once in the checkpoint folder and cut the lineage.
+    data = _positional(weighted, features, ["label", "weight"]).checkpoint(eager=True)
     model = _pipeline(len(features), params, "weight").fit(data)
     return FittedEnsemble(features, scaler, model, params)
 
