@@ -102,3 +102,36 @@ def test_clean_result_independent_of_partitioning(spark):
     a = sorted(C.clean_events(df).collect())
     b = sorted(C.clean_events(df.repartition(7)).collect())
     assert a == b
+
+
+def test_hot_site_path_equals_default(spark):
+    """Forcing every site over 8 events through the hot path (exact
+    distributed medians, split joins, no broadcast of the statistics)
+    gives the same site table."""
+    from sigwin.sources import fixtures as FX
+    from sigwin.functions.columns import round_doubles
+    ea = FX.event_table(spark, "/root/testdata/sf0.01")
+    hot = C.hot_sites(ea, 8)
+    assert hot is not None and hot.count() > 100
+    a = round_doubles(C.clean_events(ea)).collect()
+    b = round_doubles(C.clean_events(ea, max_broadcast_rows=10, hot_rows=8)).collect()
+    key = lambda r: (r["contig"], r["position"])
+    assert sorted(a, key=key) == sorted(b, key=key)
+
+
+def test_exact_medians_brute_force(spark):
+    import random
+    import statistics
+    rnd = random.Random(11)
+    rows = []
+    for p in range(4):
+        for i in range(rnd.randint(1, 60)):
+            v = None if rnd.random() < 0.1 else round(rnd.gauss(10, 3), 1)
+            rows.append(("ENST1.1", p, "GGACT", v, 1.0, 1.0, 1.0, 1.0, len(rows)))
+    df = events_df(spark, rows)
+    got = {r["position"]: r["_med_event_level_mean"]
+           for r in C.exact_medians(df, ["event_level_mean"], ranges=3).collect()}
+    for p in range(4):
+        vals = [r[3] for r in rows if r[1] == p and r[3] is not None]
+        if vals:
+            assert got[p] == pytest.approx(statistics.median(vals))
