@@ -30,6 +30,7 @@ shuffle join in which every key is small.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +68,25 @@ def hot_rows_threshold(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_HOT_ROWS
 
 
-def hot_sites(events: DataFrame, hot_rows: int | None = None) -> DataFrame | None:
-    """Keys of sites with more than ``hot_rows`` events, broadcast-marked, or
-    None when there are none.  Their number is at most total / hot_rows."""
+def site_summary(events: DataFrame, hot_rows: int | None = None
+                 ) -> tuple[DataFrame | None, int]:
+    """One counting job over the keys: (hot site keys or None, number of
+    sites).  Hot sites have more than ``hot_rows`` events; there are at most
+    total / hot_rows of them, so their keys are broadcast (count-checked)."""
     limit = hot_rows_threshold(events) if hot_rows is None else hot_rows
     sizes = _keyed(events).groupBy(*K).agg(F.count(F.lit(1)).alias("_rows"))
-    hot, n = broadcast_if_small(sizes.where(F.col("_rows") > limit).select(*K),
+    row = sizes.agg(F.count(F.lit(1)).alias("sites"),
+                    F.count(F.when(F.col("_rows") > limit, 1)).alias("hot")).first()
+    if not row["hot"]:
+        return None, int(row["sites"])
+    hot, _ = broadcast_if_small(sizes.where(F.col("_rows") > limit).select(*K),
                                 max_rows=10_000_000)
-    return hot if n > 0 else None
+    return hot, int(row["sites"])
+
+
+def hot_sites(events: DataFrame, hot_rows: int | None = None) -> DataFrame | None:
+    """Keys of sites with more than ``hot_rows`` events, or None."""
+    return site_summary(events, hot_rows)[0]
 
 
 def exact_medians(events: DataFrame, columns, ranges: int = 1024) -> DataFrame:
@@ -158,12 +170,16 @@ def _clip_result(c: str):
 
 def with_clipped_means(events: DataFrame, stats: DataFrame, columns=S.CLIPPED_COLUMNS,
                        sigma: float = CLIP_SIGMA, max_broadcast_rows: int | None = None,
-                       hot: DataFrame | None = None) -> DataFrame:
+                       hot: DataFrame | None = None, n_sites: int | None = None) -> DataFrame:
     """Join the statistics back to the events, sum the values inside the
     clip band per site, and add the clipped mean of every column to
     ``stats`` (as the column's own name)."""
     limit = max_rows_for(stats) if max_broadcast_rows is None else max_broadcast_rows
-    small, n_sites = broadcast_if_small(stats, limit)
+    if n_sites is None:
+        small, n_sites = broadcast_if_small(stats, limit)
+    else:  # the site count is already known: no extra job
+        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)   # used twice below
+        small = F.broadcast(stats) if n_sites <= limit else stats
     band_cols = K + [x for c in columns for x in (_med(c), _sd(c))]
     raw = _keyed(events).select(*K, *columns)
     if hot is None or n_sites <= limit:
@@ -192,7 +208,7 @@ def with_clipped_means(events: DataFrame, stats: DataFrame, columns=S.CLIPPED_CO
 def clipped_mean(events: DataFrame, columns=S.CLIPPED_COLUMNS,
                  sigma: float = CLIP_SIGMA, hot_rows: int | None = None) -> DataFrame:
     """(contig, position, <clipped mean per column>)."""
-    hot = hot_sites(events, hot_rows)
+    hot, _ = site_summary(events, hot_rows)
     stats = site_statistics(events, columns, with_kmer=False, with_model=False, hot=hot)
     return with_clipped_means(events, stats, columns, sigma, hot=hot).select(*K, *columns)
 
@@ -224,7 +240,7 @@ def clean_events(events: DataFrame, sigma: float = CLIP_SIGMA,
                  max_broadcast_rows: int | None = None, hot_rows: int | None = None
                  ) -> DataFrame:
     """Event table -> site table (11 columns), unordered (sort at the sink)."""
-    hot = hot_sites(events, hot_rows)
+    hot, _ = site_summary(events, hot_rows)
     stats = site_statistics(events, hot=hot)
     full = with_clipped_means(events, stats, S.CLIPPED_COLUMNS, sigma, max_broadcast_rows,
                               hot=hot)
@@ -236,7 +252,7 @@ def clean_events(events: DataFrame, sigma: float = CLIP_SIGMA,
 
 def clean_events_with_model(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Like clean_events but keeps model_stdv (for the relative-diff check)."""
-    hot = hot_sites(events, hot_rows)
+    hot, _ = site_summary(events, hot_rows)
     stats = site_statistics(events, hot=hot)
     full = with_clipped_means(events, stats, hot=hot)
     return full.select(*K, "event_stdv", "model_stdv",

@@ -13,7 +13,7 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -71,7 +71,7 @@ class FittedEnsemble:
             model=model, params=EnsembleParams(**state["params"]))
 
 
-def _pipeline(n_features: int, p: EnsembleParams, weight_col: str | None) -> Pipeline:
+def _stages(n_features: int, p: EnsembleParams, weight_col: str | None):
     assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(n_features)],
                                 outputCol="features")
     rf = RandomForestClassifier(
@@ -85,7 +85,22 @@ def _pipeline(n_features: int, p: EnsembleParams, weight_col: str | None) -> Pip
         featuresCol="features", labelCol="label", layers=[n_features, *p.hidden_layers, 2],
         maxIter=p.max_iter, blockSize=p.block_size, seed=p.seed, predictionCol="nn_pred",
         probabilityCol="nn_prob", rawPredictionCol="nn_raw")
-    return Pipeline(stages=[assembler, rf, mlp])
+    return assembler, rf, mlp
+
+
+def _fit_models(data: DataFrame, n_features: int, p: EnsembleParams,
+                weight_col: str | None) -> PipelineModel:
+    """Fit the forest and the network as two concurrent Spark jobs (they are
+    independent), then chain them behind the assembler."""
+    from concurrent.futures import ThreadPoolExecutor
+    assembler, rf, mlp = _stages(n_features, p, weight_col)
+    vectors = assembler.transform(data).select("features", "label", *(
+        [weight_col] if weight_col else [])).checkpoint(eager=True)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        rf_job = pool.submit(rf.fit, vectors)
+        mlp_job = pool.submit(mlp.fit, vectors)
+        rf_model, mlp_model = rf_job.result(), mlp_job.result()
+    return PipelineModel(stages=[assembler, rf_model, mlp_model])
 
 
 def _positional(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -104,9 +119,9 @@ def fit_ensemble(train: DataFrame, features: list[str] | None = None,
     scaled = scale_features(clean, scaler, keep=["label"])
     weighted = with_class_weight(scaled, "label", "weight")
     # Both learners iterate over the same rows (L-BFGS passes, tree levels):
-    # materialise them once in the checkpoint folder and cut the lineage.
-    data = _positional(weighted, features, ["label", "weight"]).checkpoint(eager=True)
-    model = _pipeline(len(features), params, "weight").fit(data)
+    # the assembled vectors are materialised once in the checkpoint folder.
+    data = _positional(weighted, features, ["label", "weight"])
+    model = _fit_models(data, len(features), params, "weight")
     return FittedEnsemble(features, scaler, model, params)
 
 
