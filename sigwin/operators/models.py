@@ -93,6 +93,8 @@ def _fit_models(data: DataFrame, n_features: int, p: EnsembleParams,
     """Fit the forest and the network as two concurrent Spark jobs (they are
     independent), then chain them behind the assembler."""
     from concurrent.futures import ThreadPoolExecutor
+    from sigwin.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(data.sparkSession)
     assembler, rf, mlp = _stages(n_features, p, weight_col)
     vectors = assembler.transform(data).select("features", "label", *(
         [weight_col] if weight_col else [])).checkpoint(eager=True)

@@ -76,6 +76,8 @@ def scored_long(pred: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(windows: DataFrame, params: ML.EnsembleParams | None = None):
     """Exact validation split -> fit on the train part -> score both parts ->
     (split, model, n, loss, auc, ap) report.  Returns (fitted, report)."""
+    from sigwin.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(windows.sparkSession)
     params = params or ML.EnsembleParams()
     split = O.exact_split(windows, params.valid_ratio, seed=params.seed).drop(O.KEY)
     # Cut lineage once: both models, the scaler and the report reuse it.
