@@ -60,7 +60,7 @@ def _nn(c: str) -> str:
     return f"_nn_{c}"
 
 
-DEFAULT_HOT_ROWS = 5_000_000
+DEFAULT_HOT_ROWS = 1_000_000
 
 
 def hot_rows_threshold(df: DataFrame) -> int:
