@@ -7,6 +7,7 @@ for tests, the bench and scripts.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,19 +37,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder of the session.
+    """Return the shared folder of the session for checkpoints and written tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (local tests) a fresh scratch
-    folder is made.
+    ``spark.checkpoint.dir`` names it.  Where it is unset, a scratch folder is made
+    only for a ``local`` master (tests, bench), whose executors share this machine's
+    disk; on a cluster it is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="sigwin-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    current = sc.getCheckpointDir()
+    if configured:
+        if not current:
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
+    if current:
+        return current.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sigwin-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
