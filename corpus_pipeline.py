@@ -6,9 +6,10 @@ stage but the last as Parquet into the folder that ``spark.checkpoint.dir`` name
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sigwin.llm import exact_dedup, mixing, quality
+from sigwin.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality
 from sigwin.llm.common import stored, table
 
 
@@ -20,14 +21,24 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.deduplicated(docs)
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("ngram_join", ngram_join_stage),
     ("mixing", mixing_stage),
+    ("byte_bpe", byte_bpe_stage),
 ]
 
 #: The classifier and the tokenizer are beyond SQL; tests compare run() with a brute-force version.

@@ -6,15 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigwin.session import ensure_checkpoint_dir
 
-#: Bytes that end a word in the size, shingle and classifier contracts.
-SPACE = "\\x20\\x09-\\x0D"
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder under the session's ``spark.checkpoint.dir``, which all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +37,17 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(data: bytes) -> bytes:
+    return _COMPRESSOR.compress(data)
+
+
+def unpack(data: bytes) -> bytes:
+    return _DECOMPRESSOR.decompress(data)
+
+
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(),
           "binary": pa.binary(), "boolean": pa.bool_()}
 

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sigwin.llm import exact_dedup, html_extract, license_scan, mixing, quality, topk, url_filter
+from sigwin.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    mixing,
+    ngram_join,
+    quality,
+    token_files,
+    topk,
+    url_filter,
+)
 from sigwin.llm.common import table
 
 
@@ -15,6 +27,14 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,13 +59,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op4_quality, op5_mix, op6_url_filter, op7_topk, op8_licenses,
-                            op9_exact_dedup, pipeline)
+    f.__name__: f for f in (op1_html_text, op2_token_files, op3_ngram_join, op4_quality, op5_mix, op6_url_filter,
+                            op7_topk, op8_licenses, op9_exact_dedup, op10_byte_bpe, pipeline)
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": url_filter.oracle_sql(),
