@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,76 +36,94 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigwin.llm.chunks import ChunkTable
 from sigwin.llm.common import pack, unpack
 
 #: A block ends with the document that brings it to so many distinct chunks of text.
-BLOCK_CHUNKS = 300_000
+BLOCK_CHUNKS = 400_000
 #: Positions that are packed to one row.
 RUN = 1 << 16
-#: White space next to a space: there a text can't be cut at its spaces.
-ODD = re.compile(r" \s|\s ")
-
-
-class _Words(dict):
-    """Chunk of text -> tuple of slots of its words; words get slots in order of appearance."""
-
-    def __init__(self, pattern: regex.Pattern, lead: str, slots: dict[str, int]) -> None:
-        super().__init__()
-        self.pattern, self.lead, self.slots = pattern, lead, slots
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        slots = self.slots
-        found = tuple(slots.setdefault(w, len(slots)) for w in self.pattern.findall(self.lead + chunk))
-        self[chunk] = found
-        return found
+#: White space next to a space, or of a rare kind: such a text is not cut at its spaces.
+PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Block:
     """Documents as runs of slots, and the distinct words in slot order."""
 
     def __init__(self, pattern: regex.Pattern) -> None:
-        self.pattern, self.slots = pattern, {}
-        self.chunks, self.heads = _Words(pattern, " ", self.slots), _Words(pattern, "", self.slots)
+        self.pattern, self.slots, self.table = pattern, {}, ChunkTable()
         self.name = hashlib.blake2b(digest_size=8)
         self.runs: list[tuple[list, list, list]] = []
 
-    def add(self, doc_id: int | None, text: str) -> None:
-        if ODD.search(text):
-            # Runs of white space: the pattern splits the whole text.
-            slots = np.fromiter((self.slots.setdefault(w, len(self.slots)) for w in self.pattern.findall(text)),
-                                np.uint32)
-        else:
-            # No match of the pattern goes on over a single space, so chunks between spaces match alone.
-            head, *rest = text.split(" ")
-            slots = np.fromiter(chain(self.heads[head], chain.from_iterable(map(self.chunks.__getitem__, rest))),
-                                np.uint32)
+    def _words(self, chunk: str) -> list[str]:
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if letters.isalpha():  # the commonest cases: a space and letters are one word
+            return [chunk]
+        if letters[:-1].isalpha() and letters[-1] in ".,":
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
+    def _make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the words of new chunks; words get slots in order of appearance."""
+        words = list(map(self._words, chunks))
+        slots = np.fromiter((self.slots.setdefault(w, len(self.slots)) for ws in words for w in ws), np.uint32)
+        return slots, np.fromiter(map(len, words), np.int64, len(words))
+
+    def add(self, doc_ids: list[int | None], texts: list[str]) -> None:
+        """Add some documents.  No match of the pattern goes on over a space with no white
+        space beside it, so such texts are cut before their spaces; others are split whole."""
+        odd = [any(p in t for p in PAIRS) or bool(RARE.search(t)) for t in texts]
+        joined = [b"" if o else t.encode("utf-8") for o, t in zip(odd, texts, strict=True)]
+        data = b"".join(joined)
+        begins = np.cumsum([0] + [len(j) for j in joined])
+        start = np.union1d(begins[:-1], np.flatnonzero(np.frombuffer(data, np.uint8) == 32))
+        start = start[start < len(data)]
+        slots, upto = self.table.values(data, start, np.r_[start[1:], len(data)] if len(start) else start, self._make)
+        cuts = np.r_[0, upto][np.searchsorted(start, begins)]
+        for doc_id, text, whole, a, b in zip(doc_ids, texts, odd, cuts[:-1], cuts[1:], strict=True):
+            self._put(doc_id, len(text), self._make([text])[0] if whole else slots[a:b])
+
+    def _put(self, doc_id: int | None, size: int, slots: np.ndarray) -> None:
         if not self.runs or sum(self.runs[-1][1]) >= RUN:
             self.runs.append(([], [], []))
-        ids, counts, parts = self.runs[-1]
-        ids.append(doc_id)
-        counts.append(len(slots))
-        parts.append(slots)
-        self.name.update(f"{doc_id},{len(text)},{len(slots)};".encode())
+        for held, value in zip(self.runs[-1], (doc_id, len(slots), slots), strict=True):
+            held.append(value)
+        self.name.update(f"{doc_id},{size},{len(slots)};".encode())
 
     def full(self) -> bool:
-        return len(self.chunks) + len(self.heads) >= BLOCK_CHUNKS or len(self.slots) >= BLOCK_CHUNKS
+        return len(self.table) >= BLOCK_CHUNKS or len(self.slots) >= BLOCK_CHUNKS
 
     def key(self) -> int:
         return int.from_bytes(self.name.digest(), "little", signed=True)
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Documents by about a mebibyte of text."""
+    doc_ids, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            doc_ids.append(doc_id.as_py())
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= 1 << 20:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+    if doc_ids:
+        yield doc_ids, texts
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block]:
     compiled, block, number = regex.compile(pattern), None, 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if block is None:
-                block = Block(compiled)
-                block.name.update(f"{TaskContext.get().partitionId()}/{number}:".encode())
-                number += 1
-            block.add(doc_id, text or "")
-            if block.full():
-                yield block
-                block = None
+    for doc_ids, texts in _some(batches):
+        if block is None:
+            block = Block(compiled)
+            block.name.update(f"{TaskContext.get().partitionId()}/{number}:".encode())
+            number += 1
+        block.add(doc_ids, texts)
+        if block.full():
+            yield block
+            block = None
     if block is not None:
         yield block
 
@@ -156,8 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for block in _blocks(batches, pattern):
             encoded = [w.encode() for w in block.slots]
             # The bucket depends on the word alone.
-            bucket = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % buckets
-                                  for w in encoded), np.int64, len(encoded))
+            bucket = np.fromiter(map(crc32, encoded), np.int64, len(encoded)) % buckets
             order = np.argsort(bucket, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
                 own = [encoded[i] for i in at]

@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigwin.llm.chunks import ChunkTable
 from sigwin.llm.common import arrow_schema, pack, scratch_path, stored, text_or_empty, unpack
 
 END_ID = 2
@@ -37,44 +39,89 @@ END_ID = 2
 LONGEST = 16
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 18
-#: Chunks of text whose ids a worker keeps; beyond it the table starts anew.
-CACHED = 400_000
+#: Chunks of text whose ids a worker keeps, and how many of them stay when there are more.
+CACHED = 800_000
+KEPT = 200_000
+#: Documents of a batch, and characters, that are split at a time.
+DOCS_AT_ONCE = 1024
+AT_ONCE = 1 << 20
 #: White space on which the tokenizer and str.split might differ.
-ODD = re.compile(r"[^\S \t\n\r]")
+ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPACE, STOP, LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r", b".,", bytes(range(97, 123))))
 
 
 class TokenCache:
-    """Ids of texts by the tokenizers library, each distinct chunk between white space encoded once.
+    """Ids of texts by the tokenizers library, each distinct chunk of text encoded once.
 
-    The tokenizer drops white space and no token goes over it, so a text's ids are its
-    chunks' ids one after the other.  Its lower-casing is done before, where that is
-    sure to be the same, so that fewer chunks are distinct.
+    A chunk ends at white space, or before a full stop or comma between an ASCII letter
+    and white space.  The tokenizer drops white space and splits there itself, so a text's
+    ids are its chunks' ids one after the other.  Its lower-casing is done before, where
+    that is sure to be the same, so that fewer chunks are distinct.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.tokenizer, self.table = tokenizers.Tokenizer.from_file(path), ChunkTable()
+
+    def _make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode chunks as one sequence of single words."""
+        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(chunks))
+        return np.array(found.ids, dtype="<u4"), sizes
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut at their white space."""
+        joined = [t.encode("utf-8") for t in texts]
+        data = b" " + b" ".join(joined) + b" "
+        raw = np.frombuffer(data, np.uint8)
+        space = SPACE[raw]
+        cut = np.zeros(len(raw), bool)
+        cut[1:-1] = STOP[raw[1:-1]] & LETTER[raw[:-2]] & space[2:]
+        first, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        first[1:] = ~space[1:] & (space[:-1] | cut[1:])
+        last[:-1] = ~space[:-1] & (space[1:] | cut[1:])
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        ids, upto = self.table.values(data, start, end, self._make)
+        begins = 1 + np.cumsum([0] + [len(j) + 1 for j in joined])
+        cuts = np.r_[0, upto][np.searchsorted(start, begins)].tolist()
+        return [ids[a:b].tobytes() for a, b in pairwise(cuts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if ODD.search(text):
-                split.append(None)
+        if len(self.table) > CACHED:
+            self.table.keep(KEPT)
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if ODD.search(text) or "<|" in text or len(text) > AT_ONCE:
+                out[i] = b"".join(map(self._whole, pieces(text)))
                 continue
-            if "<|" not in text and (text.isascii() or (unicodedata.is_normalized("NFC", text)
-                                                        and "İ" not in text and "Σ" not in text)):
+            if text.isascii() or (unicodedata.is_normalized("NFC", text) and "İ" not in text and "Σ" not in text):
                 text = text.lower()
-            split.append(text.split())
-        if len(self.known) > CACHED:
-            self.known.clear()
-        missing = list(set().union(*(s for s in split if s)).difference(self.known))
-        self.known.update(zip(missing, self._ids(missing), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else self._ids([t])[0] for s, t in zip(split, texts, strict=True)]
+            held.append((i, text))
+            size += len(text)
+            if size > AT_ONCE:
+                self._flush(held, out)
+                held, size = [], 0
+        self._flush(held, out)
+        return out
+
+    def _flush(self, held: list[tuple[int, str]], out: list[bytes]) -> None:
+        for (i, _), ids in zip(held, self._split([t for _, t in held]), strict=True):
+            out[i] = ids
+
+
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """Parts of a very long text, cut before spaces."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 @lru_cache(1)
@@ -180,8 +227,9 @@ def tokenized_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
                 "shard": [shard], "number": [number], "before": [before], "total": [len(ids)], "doc_ids": [pack(wide)],
                 "nulls": [pack(nulls)], "counts": [pack(counts)], "ids": [packed]}, schema=arrow)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode(batch.column(1).to_pylist()), strict=True):
+        parts = (b.slice(k, DOCS_AT_ONCE) for b in batches for k in range(0, b.num_rows, DOCS_AT_ONCE))
+        for part in parts:
+            for doc_id, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
                 payloads.append(ids + end)
                 held += len(ids) // 4 + 1
