@@ -25,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from zlib import crc32
 
 import numpy as np
@@ -40,7 +40,7 @@ from sigwin.llm.chunks import ChunkTable
 from sigwin.llm.common import pack, unpack
 
 #: A block ends with the document that brings it to so many distinct chunks of text.
-BLOCK_CHUNKS = 400_000
+BLOCK_CHUNKS = 300_000
 #: Positions that are packed to one row.
 RUN = 1 << 16
 #: White space next to a space, or of a rare kind: such a text is not cut at its spaces.
@@ -99,14 +99,14 @@ class Block:
 
 
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Documents by about a mebibyte of text."""
+    """Documents by about half a mebibyte of text."""
     doc_ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             doc_ids.append(doc_id.as_py())
             texts.append(text.as_py() or "")
             size += len(texts[-1])
-            if size >= 1 << 20:
+            if size >= 1 << 19:
                 yield doc_ids, texts
                 doc_ids, texts, size = [], [], 0
     if doc_ids:
@@ -138,14 +138,28 @@ def _from_planes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-@lru_cache(2)
-def _encoding(ranks: bytes) -> tuple[tiktoken.Encoding, list[bytes]]:
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+def _ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+
+
+@lru_cache(1)
+def _encoding(ranks: bytes) -> tiktoken.Encoding:
+    # The pattern is not used: each word is encoded as a single piece.
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(ranks), special_tokens={})
+
+
+@lru_cache(1)
+def _token_bytes(ranks: bytes) -> list[bytes]:
+    """The token-byte table: the bytes of each id."""
+    table = _ranks(ranks)
     by_id = [b""] * (max(table.values(), default=-1) + 1)
     for token, i in table.items():
         by_id[i] = token
-    # The pattern is not used: each word is encoded as a single piece.
-    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}), by_id
+    return by_id
+
+
+def _decoded(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
 
 
 DOCS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()),
@@ -153,11 +167,15 @@ DOCS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("co
 WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("slots", pa.binary()), ("lengths", pa.binary()),
                    ("words", pa.binary())])
 IDS = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
-OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
+
 
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``(doc_id, ids)`` with ids as little-endian unsigned 32-bit integers.
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids)`` with ids as little-endian unsigned 32-bit integers."""
+    With ``decoded``, the ids just put together are decoded by the token-byte table in
+    the same task, as ``decode`` does, and ``bytes`` follows.
+    """
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:  # a vocabulary file of the driver's machine, of fixed size
         ranks = spark.sparkContext.broadcast(f.read())
@@ -186,7 +204,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     "words": [pack(b"".join(own))]}, schema=WORDS)
 
     def encode_bucket(bucket: pa.Table) -> pa.Table:
-        encoding, _ = _encoding(ranks.value)
+        encoding = _encoding(ranks.value)
         known: dict[bytes, list[int]] = {}
         out: dict[str, list] = {"block": [], "slots": [], "counts": [], "ids": []}
         for row in bucket.to_pylist():
@@ -218,7 +236,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             by_row = np.concatenate(counts)
             size[np.concatenate(slots)] = by_row
             first[np.concatenate(slots)] = np.cumsum(by_row) - by_row
-        out: dict[str, list] = {"doc_id": [], "ids": []}
+        out: dict[str, list] = {"doc_id": [], "ids": [], "bytes": []}
+        table = _token_bytes(ranks.value) if decoded else []
         for row in documents.to_pylist():
             words = _from_planes(row["slots"]).astype(np.int64)
             if len(words) and (words.max() >= n or (size < 0).any()):
@@ -230,13 +249,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             last = np.cumsum(_from_planes(row["counts"]).astype(np.int64))
             cut = np.r_[0, ends][last]
             out["doc_id"] += row["doc_ids"]
-            out["ids"] += [got[a:b].tobytes() for a, b in zip(np.r_[0, cut[:-1]], cut, strict=True)]
+            for a, b in pairwise([0, *cut.tolist()]):
+                out["ids"].append(got[a:b].tobytes())
+                out["bytes"].append(_decoded(got[a:b], table) if decoded else None)
         return pa.table(out, schema=OUT)
 
     encoded = (docs.mapInArrow(words, "block long, bucket int, slots binary, lengths binary, words binary")
                .groupBy("bucket").applyInArrow(encode_bucket, "block long, slots binary, counts binary, ids binary"))
-    return (docs.mapInArrow(documents, "block long, doc_ids array<long>, counts binary, slots binary")
-            .groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids binary"))
+    out = (docs.mapInArrow(documents, "block long, doc_ids array<long>, counts binary, slots binary")
+           .groupBy("block").cogroup(encoded.groupBy("block"))
+           .applyInArrow(reassemble, "doc_id long, ids binary, bytes binary"))
+    return out if decoded else out.drop("bytes")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -245,10 +268,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = _encoding(ranks.value)
+        table = _token_bytes(ranks.value)
         for b in batches:
-            texts = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                     for x in b.column("ids").to_pylist()]
+            texts = [_decoded(np.frombuffer(x, "<u4"), table) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.binary())],
                                              names=["doc_id", "ids", "bytes"])
 
@@ -257,6 +279,6 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
+    return encode(docs, ranks_path, pattern, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
