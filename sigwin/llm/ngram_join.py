@@ -8,11 +8,12 @@ different sets share one, they are joined through a prefix tree: a traversal sha
 overlaps of common beginnings and leaves a subtree when the words that remain can't
 reach the similarity, when its sizes don't fit, or when all in it are linked already.
 
-Copies are one node.  First each set is joined with the smallest node of each of its
-groups; only groups whose members are still in different components after that are
-joined in full, cut into blocks of bounded size, so a large group of near copies costs
-about its size and no group is ever one task's or one row per pair.  Within a block
-only links between sets not linked yet are returned, which loses no component.
+Copies are one node.  In a few rounds each set is joined with one member (the hub) of
+each of its groups; groups whose members are still in different components after that
+are joined in full, the members not linked with the hub against all, in blocks of
+bounded size.  So a large group of near copies costs about its size, and no group is
+ever one task's or one row per pair.  Only links between sets not linked yet are
+returned, which loses no component.
 
 Hashes have 64 bits.  Defined results: null and empty texts, and texts without words,
 have the empty set and are linked with nothing; texts of fewer words than the n-gram
@@ -24,6 +25,7 @@ texts are read whole; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
 #: Sets of a block; a task holds two blocks.
 BLOCK = 64
+#: Rounds of stars before what is left is joined in full.
+ROUNDS = 1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,23 +117,21 @@ class PrefixTree:
 
     def partners(self, i: int, s: tuple[int, ...], percent: int) -> Iterator[int]:
         """Members that link with set ``i`` and had another label when their subtree was reached."""
-        own, n = frozenset(s), len(s)
-        ranks = np.array(s)
+        own, n, find = frozenset(s), len(s), self.find
+        least = -(-percent * n // 100)
         stack = [(self.root, 0)]
         while stack:
-            node, overlap = stack.pop()
-            if node[7] is not None and self.find(node[7]) == self.find(i):
+            (segment, last, children, ends, small, large, below, label), overlap = stack.pop()
+            if large < least or 100 * n < percent * small or (label is not None and find(label) == find(i)):
                 continue
-            if 100 * node[5] < percent * n or 100 * n < percent * node[4]:
+            overlap += len(own & segment)
+            rest = min(n - bisect_right(s, last), below)
+            if (100 + percent) * (overlap + rest) < percent * (n + max(small, least)):
                 continue
-            overlap += len(own & node[0])
-            rest = n - int(np.searchsorted(ranks, node[1], side="right"))
-            if (100 + percent) * (overlap + min(rest, node[6])) < percent * (n + max(node[4], -(-percent * n // 100))):
-                continue
-            for j in node[3]:
-                if self.find(j) != self.find(i) and linked(overlap, n, self.size[j], percent):
+            for j in ends:
+                if find(j) != find(i) and linked(overlap, n, self.size[j], percent):
                     yield j
-            stack.extend((child, overlap) for child in node[2])
+            stack += [(child, overlap) for child in children]
 
 
 def tree_join(nodes: list[int], sets: list[np.ndarray], labels: list[int], probes: Iterable[int],
@@ -282,56 +284,101 @@ def _joined(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
+def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``(group, node, n, degree)``: nodes that share a filed n-gram and whose sizes may fit.
+
+    Sizes are cut into classes of the ratio ``percent``; sets that link are in one class
+    or in neighbouring ones, so each set is in its class and the next.  Of groups with the
+    same members one stays.
+    """
+    # Dealt by gram once: the aggregate and the join read the same exchange.
+    filed = _filed(docs, n, percent, _sketch(docs, n)).repartition("gram")
+    shared = (filed.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+              .where("least < most").select("gram"))
+    sized = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    both = F.explode(F.array(sized, sized + 1))
+    # 64 bits: a collision joins two groups, which costs a comparison and loses none.
+    filed = (filed.join(shared, "gram").select("gram", "node", "n", both.alias("class"))
+             .select(F.xxhash64("gram", "class").alias("group"), "node", "n").distinct())
+    filed = stored(filed, "filed")
+    marks = (filed.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"),
+                                        F.bit_xor(F.xxhash64("node")).alias("x"),
+                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1"))
+    kept = marks.groupBy("members", "least", "x", "y").agg(F.min("group").alias("group")).select("group", "members")
+    filed = filed.join(kept, "group")
+    # The text that others were made from shares the most with them: it makes the best hub.
+    degree = filed.groupBy("node").agg(F.sum("members").alias("degree"))
+    return stored(filed.drop("members").join(degree, "node"), "groups")
+
+
+def _labelled(groups: DataFrame, known: DataFrame | None, pick: Column) -> DataFrame:
+    """``groups`` that are not in one component yet, with labels and a hub, the member with the largest ``pick``."""
+    label = F.col("node") if known is None else F.coalesce("component", "node")
+    rows = groups if known is None else groups.join(known, "node", "left")
+    rows = rows.select("group", "node", "n", label.alias("label"), pick.alias("pick"))
+    hubs = (rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                      F.max_by("node", "pick").alias("hub"), F.max_by("n", "pick").alias("hub_n"),
+                                      F.max_by("label", "pick").alias("hub_label"))
+            .where("lo < hi").drop("lo", "hi"))
+    return rows.drop("pick").join(hubs, "group")
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """``(a, b)``: links between different nodes, enough to give their components."""
-    filed = _filed(docs, n, percent, _sketch(docs, n))
-    hub = F.min(F.struct("node", "n"))
-    shared = (filed.groupBy("gram").agg(hub.alias("hub"), F.max("node").alias("most"))
-              .where(F.col("hub")["node"] < F.col("most")).select("gram", "hub"))
-    filed = stored(filed.join(shared, "gram").distinct(), "filed")
-    # Grams with the same members are one group: the smallest gram stands for it.
-    marks = (filed.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"),
-                                       F.bit_xor(F.xxhash64("node")).alias("x"),
-                                       F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")))
-    groups = marks.groupBy("members", "least", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "members")
-    filed = stored(filed.join(groups, "gram"), "groups")
-
-    wanted = filed.select("node").distinct().join(
+    groups = _groups(docs, n, percent)
+    wanted = groups.select("node").distinct().join(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     sets = stored(_sets(docs, wanted.where("doc_id IS NOT NULL"), n), "sets", "uncompressed")
 
-    # Each set with its groups' smallest nodes, where the sizes fit; hot hubs are cut into parts.
-    fits = (100 * F.least("n", F.col("hub")["n"]) >= percent * F.greatest("n", F.col("hub")["n"]))
-    spokes = filed.where(fits & (F.col("node") != F.col("hub")["node"])).select(
-        "node", F.col("hub")["node"].alias("hub")).distinct()
-    part = _part("node", F.count(F.lit(1)), "hub", spokes)
-    heads = part.select("hub", "part").distinct().withColumn("node", F.col("hub"))
-    star = part.withColumn("probe", F.lit(False)).unionByName(heads.withColumn("probe", F.lit(True)))
-    star = star.join(sets, "node").withColumn("label", F.col("node"))
-    first = stored(_joined(star, percent), "star-links")
-
-    # Groups whose members are not in one component yet, in full.
-    known = stored(components(first), "known")
-    label = F.coalesce("component", "node")
-    rest = filed.join(known, "node", "left").withColumn("label", label)
-    apart = (rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo < hi").select("gram"))
-    rest = rest.join(apart, "gram")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rest = rest.select("gram", "node", "label", mine.alias("mine"),
-                       F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = rest.select("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                        "node", "label", (F.col("mine") <= F.col("other")).alias("probe"))
-    second = stored(_joined(cells.join(sets, "node"), percent), "tree-links")
-    return first.unionByName(second)
-
-
-def _part(node: str, count: Column, hub: str, spokes: DataFrame) -> DataFrame:
+    # Rounds of stars: the members of a group with one of them, as long as they are not linked already.
+    found, known = None, None
+    for k in range(ROUNDS):
+        spread = _labelled(groups, known, F.xxhash64("node", F.lit(k)) if k else F.col("degree"))
+        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        spokes = spread.where(fits & (F.col("label") != F.col("hub_label"))).select(
+            "hub", "hub_label", "node", "label").distinct()
+        spokes = _parts(spokes)
+        heads = spokes.select("hub", "part", F.col("hub").alias("node"), F.col("hub_label").alias("label")).distinct()
+        star = spokes.select("hub", "part", "node", "label", F.lit(False).alias("probe")).unionByName(
+            heads.withColumn("probe", F.lit(True)))
+        new = _joined(star.join(sets, "node"), percent)
+        found = stored(new if found is None else found.unionByName(new), "star-links")
+        known = stored(components(found), "known")
+
+    # What is left in full: all members but those of the group's largest component against all
+    # members.  Groups around one component are one group here, so no pair is compared over and over.
+    spread = _labelled(groups, known, F.col("degree")).select("group", "node", "label")
+    largest = (spread.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
+               .groupBy("group").agg(F.max_by("label", "size").alias("largest"), F.max("size").alias("size")))
+    around = F.when(F.col("size") > 1, F.col("largest")).otherwise(F.col("group"))
+    spread = spread.join(largest, "group").select(
+        around.alias("group"), "node", "label", (F.col("label") != F.col("largest")).alias("probe")).distinct()
+    sizes = spread.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.count_if("probe").alias("probes"))
+    spread = spread.join(sizes, "group")
+
+    def blocks(size: str) -> Column:
+        return F.ceil(F.col(size) / BLOCK).cast("int")
+
+    def every(size: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(size) - 1))
+
+    def mine(size: str) -> Column:
+        return F.pmod(F.xxhash64("node"), blocks(size)).cast("int")
+
+    cells = spread.select("group", mine("members").alias("i"), every("probes").alias("j"), "node", "label",
+                          F.lit(False).alias("probe")).unionByName(
+        spread.where("probe").select("group", every("members").alias("i"), mine("probes").alias("j"), "node", "label",
+                                     F.lit(True).alias("probe")))
+    # A probe may be among the members of its cell: it is one set there.
+    cells = cells.groupBy("group", "i", "j", "node").agg(F.min("label").alias("label"), F.max("probe").alias("probe"))
+    return found.unionByName(stored(_joined(cells.join(sets, "node"), percent), "tree-links"))
+
+
+def _parts(spokes: DataFrame) -> DataFrame:
     """``spokes`` with ``part``: a hub's spokes are cut into parts of about ``4 * BLOCK``."""
-    sizes = spokes.groupBy(hub).agg(count.alias("size"))
+    sizes = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
     parts = F.ceil(F.col("size") / (4 * BLOCK)).cast("int")
-    return spokes.join(sizes, hub).select(node, hub, F.pmod(F.xxhash64(node), parts).cast("int").alias("part"))
+    return spokes.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("size")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
