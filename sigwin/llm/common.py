@@ -24,6 +24,15 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast: 64 bytes each are 32 MiB.
+BROADCAST_ROWS = 1 << 19
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, to be broadcast if its counted rows allow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,10 +8,9 @@ different sets share one, they are joined through a prefix tree: a traversal sha
 overlaps of common beginnings and leaves a subtree when the words that remain can't
 reach the similarity, when its sizes don't fit, or when all in it are linked already.
 
-Copies are one node.  In a few rounds each set is joined with one member (the hub) of
-each of its groups; groups whose members are still in different components after that
-are joined in full, the members not linked with the hub against all, in blocks of
-bounded size.  So a large group of near copies costs about its size, and no group is
+Copies are one node.  First each set is joined with one member (the hub) of each of
+its groups; groups that are not linked by that are joined in full, the members outside
+the largest component against all, in blocks of bounded size.  So a large group of near copies costs about its size, and no group is
 ever one task's or one row per pair.  Only links between sets not linked yet are
 returned, which loses no component.
 
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigwin.llm.common import arrow_schema, stored
+from sigwin.llm.common import arrow_schema, broadcast_if_small, stored
 from sigwin.llm.components import components
 
 #: Counters of the sketch: 2 ** 21 of 4 bytes are 8 MiB, whatever the input.
@@ -42,8 +41,6 @@ SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
 #: Sets of a block; a task holds two blocks.
 BLOCK = 64
-#: Rounds of stars before what is left is joined in full.
-ROUNDS = 1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -254,7 +251,7 @@ def _filed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFra
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``(node, members)`` of the wanted ``(node, doc_id)`` pairs, one row a node."""
+    """``(node, members)`` of the wanted ``(node, doc_id)`` pairs; a repeated doc_id may repeat its node."""
     schema = "node long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +263,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     rows.append((node, s.tobytes()))
             yield from _batches_of(iter(rows), schema, 2_000)
 
-    rows = docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, schema)
-    return rows.groupBy("node").agg(F.first("members").alias("members"))
+    return docs.join(broadcast_if_small(wanted), "doc_id").select("node", "text").mapInArrow(run, schema)
 
 
-def _joined(groups: DataFrame, percent: int) -> DataFrame:
-    """Tree join of each group: rows ``(group.., node, members, label, probe)`` -> ``(a, b)``."""
+def _joined(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Tree join of each cell: rows ``(key.., node, label, probe)`` and ``(node, members)`` -> ``(a, b)``."""
+    cells = stored(cells, "cells")
     def join(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("node", "ascending")])
         nodes, labels, probe = (rows[c].to_pylist() for c in ("node", "label", "probe"))
@@ -280,8 +277,8 @@ def _joined(groups: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
                          "b": pa.array([y for _, y in found], pa.int64())})
 
-    keys = [c for c in groups.columns if c not in ("node", "members", "label", "probe")]
-    return groups.groupBy(*keys).applyInArrow(join, "a long, b long")
+    keys = [c for c in cells.columns if c not in ("node", "label", "probe")]
+    return sets.join(broadcast_if_small(cells), "node").groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
 def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -291,10 +288,11 @@ def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     or in neighbouring ones, so each set is in its class and the next.  Of groups with the
     same members one stays.
     """
-    # Dealt by gram once: the aggregate and the join read the same exchange.
+    # Dealt by gram once: the aggregate and the join read the same exchange, for which both
+    # must read the same columns, n too.
     filed = _filed(docs, n, percent, _sketch(docs, n)).repartition("gram")
-    shared = (filed.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-              .where("least < most").select("gram"))
+    shared = (filed.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most"),
+                                        F.max("n").alias("size")).where("least < most AND size > 0").select("gram"))
     sized = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
     both = F.explode(F.array(sized, sized + 1))
     # 64 bits: a collision joins two groups, which costs a comparison and loses none.
@@ -311,16 +309,15 @@ def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return stored(filed.drop("members").join(degree, "node"), "groups")
 
 
-def _labelled(groups: DataFrame, known: DataFrame | None, pick: Column) -> DataFrame:
-    """``groups`` that are not in one component yet, with labels and a hub, the member with the largest ``pick``."""
+def _labelled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``groups`` that are not under one label yet, with labels and a hub, the member of the largest degree."""
     label = F.col("node") if known is None else F.coalesce("component", "node")
     rows = groups if known is None else groups.join(known, "node", "left")
-    rows = rows.select("group", "node", "n", label.alias("label"), pick.alias("pick"))
+    rows = rows.select("group", "node", "n", label.alias("label"), "degree")
     hubs = (rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.max_by("node", "pick").alias("hub"), F.max_by("n", "pick").alias("hub_n"),
-                                      F.max_by("label", "pick").alias("hub_label"))
+                                      F.max_by("node", "degree").alias("hub"), F.max_by("n", "degree").alias("hub_n"))
             .where("lo < hi").drop("lo", "hi"))
-    return rows.drop("pick").join(hubs, "group")
+    return rows.drop("degree").join(hubs, "group")
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -328,26 +325,25 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     groups = _groups(docs, n, percent)
     wanted = groups.select("node").distinct().join(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    sets = stored(_sets(docs, wanted.where("doc_id IS NOT NULL"), n), "sets", "uncompressed")
-
-    # Rounds of stars: the members of a group with one of them, as long as they are not linked already.
-    found, known = None, None
-    for k in range(ROUNDS):
-        spread = _labelled(groups, known, F.xxhash64("node", F.lit(k)) if k else F.col("degree"))
-        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        spokes = spread.where(fits & (F.col("label") != F.col("hub_label"))).select(
-            "hub", "hub_label", "node", "label").distinct()
-        spokes = _parts(spokes)
-        heads = spokes.select("hub", "part", F.col("hub").alias("node"), F.col("hub_label").alias("label")).distinct()
-        star = spokes.select("hub", "part", "node", "label", F.lit(False).alias("probe")).unionByName(
-            heads.withColumn("probe", F.lit(True)))
-        new = _joined(star.join(sets, "node"), percent)
-        found = stored(new if found is None else found.unionByName(new), "star-links")
-        known = stored(components(found), "known")
+    wanted = stored(wanted.where("doc_id IS NOT NULL"), "wanted")
+    sets = stored(_sets(docs, wanted, n), "sets", "uncompressed")
+
+    # A star around each group's hub: its members with the hub, if their sizes fit.
+    spread = _labelled(groups, None)
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    spokes = _parts(spread.where(fits & (F.col("node") != F.col("hub"))).select("hub", "node").distinct())
+    heads = spokes.select("hub", "part", F.col("hub").alias("node")).distinct()
+    star = spokes.withColumn("probe", F.lit(False)).unionByName(heads.withColumn("probe", F.lit(True)))
+    found = stored(_joined(star.withColumn("label", F.col("node")), sets, percent), "star-links")
+    # Nodes linked with one hub are in one component: the label is the hub with most links.
+    linked_hubs = found.groupBy(F.col("a").alias("hub")).agg(F.count(F.lit(1)).alias("size"))
+    either = found.select("a", F.col("b").alias("node")).unionByName(found.select("a", F.col("a").alias("node")))
+    known = stored(either.withColumnRenamed("a", "hub").join(linked_hubs, "hub").groupBy("node").agg(
+        F.max("size").alias("size"), F.max_by("hub", "size").alias("component")).drop("size"), "known")
 
     # What is left in full: all members but those of the group's largest component against all
     # members.  Groups around one component are one group here, so no pair is compared over and over.
-    spread = _labelled(groups, known, F.col("degree")).select("group", "node", "label")
+    spread = _labelled(groups, known).select("group", "node", "label")
     largest = (spread.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
                .groupBy("group").agg(F.max_by("label", "size").alias("largest"), F.max("size").alias("size")))
     around = F.when(F.col("size") > 1, F.col("largest")).otherwise(F.col("group"))
@@ -371,7 +367,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
                                      F.lit(True).alias("probe")))
     # A probe may be among the members of its cell: it is one set there.
     cells = cells.groupBy("group", "i", "j", "node").agg(F.min("label").alias("label"), F.max("probe").alias("probe"))
-    return found.unionByName(stored(_joined(cells.join(sets, "node"), percent), "tree-links"))
+    return found.unionByName(stored(_joined(cells, sets, percent), "tree-links"))
 
 
 def _parts(spokes: DataFrame) -> DataFrame:
