@@ -30,7 +30,6 @@ shuffle join in which every key is small.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +39,12 @@ from sigwin.operators.joins import max_broadcast_rows as max_rows_for
 
 K = S.KEYS
 CLIP_SIGMA = 3.0
-EXACT = "decimal(38,12)"
 
 
 def _keyed(events: DataFrame) -> DataFrame:
-    # pandas groupby drops NULL keys.
+    """Rows with a key (NULL keys are dropped), NaN values as NULL (missing)."""
+    values = [c for c in (*S.CLIPPED_COLUMNS, "model_stdv") if c in events.columns]
+    events = events.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in values})
     return events.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
 
 
@@ -80,7 +80,7 @@ def site_summary(events: DataFrame, hot_rows: int | None = None
     if not row["hot"]:
         return None, int(row["sites"])
     hot, _ = broadcast_if_small(sizes.where(F.col("_rows") > limit).select(*K),
-                                max_rows=10_000_000)
+                                max_rows=None)
     return hot, int(row["sites"])
 
 
@@ -147,39 +147,24 @@ def site_statistics(events: DataFrame, columns=S.CLIPPED_COLUMNS,
     return cold.unionByName(hot_stats.select(*cold.columns))
 
 
-def _needs_clip(c: str):
-    sd = F.col(_sd(c))
-    return ((F.col("_n") > 1) & (F.col(_nn(c)) == F.col("_n")) & sd.isNotNull()
-            & ~F.isnan(sd) & (sd != 0))
-
-
 def _clip_result(c: str):
     """Final clipped value from the statistics and the clipped sums."""
     med, sd = F.col(_med(c)), F.col(_sd(c))
-    # Exact decimal sum (order-independent, so the result does not depend on
-    # partitioning); the double sum only if a value falls outside decimal range.
-    exact_ok = F.col(f"_xc_{c}") == F.col(f"_cc_{c}")
-    total = F.when(exact_ok, F.col(f"_xs_{c}").cast("double")).otherwise(F.col(f"_ds_{c}"))
-    mean = total / F.col(f"_cc_{c}")
     return (F.when(F.col("_n") == 1, med)
             .when(F.col(_nn(c)) < F.col("_n"), F.lit(None).cast("double"))
             .when(sd.isNull() | F.isnan(sd) | (sd == 0), med)
-            .when(F.col(f"_cc_{c}") > 0, mean)
+            .when(F.col(f"_mean_{c}").isNotNull(), F.col(f"_mean_{c}"))
             .otherwise(med))
 
 
 def with_clipped_means(events: DataFrame, stats: DataFrame, columns=S.CLIPPED_COLUMNS,
                        sigma: float = CLIP_SIGMA, max_broadcast_rows: int | None = None,
-                       hot: DataFrame | None = None, n_sites: int | None = None) -> DataFrame:
+                       hot: DataFrame | None = None) -> DataFrame:
     """Join the statistics back to the events, sum the values inside the
     clip band per site, and add the clipped mean of every column to
     ``stats`` (as the column's own name)."""
     limit = max_rows_for(stats) if max_broadcast_rows is None else max_broadcast_rows
-    if n_sites is None:
-        small, n_sites = broadcast_if_small(stats, limit)
-    else:  # the site count is already known: no extra job
-        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)   # used twice below
-        small = F.broadcast(stats) if n_sites <= limit else stats
+    small, n_sites = broadcast_if_small(stats, limit)
     band_cols = K + [x for c in columns for x in (_med(c), _sd(c))]
     raw = _keyed(events).select(*K, *columns)
     if hot is None or n_sites <= limit:
@@ -187,18 +172,14 @@ def with_clipped_means(events: DataFrame, stats: DataFrame, columns=S.CLIPPED_CO
     else:
         # Too many sites to broadcast: hot sites meet their (few) statistics
         # by broadcast, all other sites by a shuffle join of small keys.
-        hot_band = F.broadcast(stats.join(hot, K, "left_semi").select(*band_cols))
+        hot_band, _ = broadcast_if_small(stats.join(hot, K, "left_semi").select(*band_cols), limit)
         cold_band = stats.join(hot, K, "left_anti").select(*band_cols)
         joined = (raw.join(hot, K, "left_semi").join(hot_band, K)
                   .unionByName(raw.join(hot, K, "left_anti").join(cold_band, K)))
     sums = []
     for c in columns:
         inside = F.abs(F.col(c) - F.col(_med(c))) <= F.lit(sigma) * F.col(_sd(c))
-        exact = F.col(c).try_cast(EXACT)
-        sums += [F.sum(F.when(inside, exact)).alias(f"_xs_{c}"),
-                 F.count(F.when(inside, exact)).alias(f"_xc_{c}"),
-                 F.sum(F.when(inside, F.col(c))).alias(f"_ds_{c}"),
-                 F.count(F.when(inside, F.col(c))).alias(f"_cc_{c}")]
+        sums.append(F.avg(F.when(inside, F.col(c))).alias(f"_mean_{c}"))
     clipped = joined.groupBy(*K).agg(*sums)
     out = small.join(clipped, K, "left")
     return out.select(*[F.col(x) for x in stats.columns],

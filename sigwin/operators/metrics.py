@@ -11,6 +11,8 @@ the scores.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ DEFAULT_RANGES = 256
 def _range_ids(df: DataFrame, col: str, ranges: int) -> DataFrame:
     probs = [i / ranges for i in range(1, ranges)]
     row = df.agg(F.percentile_approx(col, probs, 10_000).alias("q")).first()
-    qs = sorted({float(x) for x in (row["q"] or []) if x is not None})
+    qs = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
     splits = [float("-inf")] + qs + [float("inf")]
     if len(splits) < 3:
         return df.withColumn("_r", F.lit(0.0))

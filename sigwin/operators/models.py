@@ -134,7 +134,7 @@ def predict(windows: DataFrame, fitted: FittedEnsemble, keep=("contig", "positio
     clean = finite_filter(windows, fitted.features)
     scaled = scale_features(clean, fitted.scaler, keep=keep)
     out = fitted.model.transform(_positional(scaled, fitted.features, keep))
-    nn = vector_to_array("nn_prob")[1]
-    rf = vector_to_array("rf_prob")[1]
+    # A model fitted on class 0 alone has no second probability: it is 0.
+    nn, rf = (F.coalesce(F.get(vector_to_array(p), F.lit(1)), F.lit(0.0)) for p in ("nn_prob", "rf_prob"))
     return out.select(*keep, nn.alias("NeuralNetwork_Prob"), rf.alias("RandomForest_Prob"),
                       ensemble_mean(nn, rf).alias("Combined_Prob"))

@@ -3,8 +3,8 @@
 Rows are ordered by ``shuffle_key`` (md5 of the row key and a seed), which is
 uniform.  The k-th smallest key is found from per-prefix counts: a small
 table of at most 16**L buckets gives the bucket holding rank k, and only that
-bucket (about n / 16**L rows, checked) is ordered to read the cut.  Rows are
-then selected with ``key <= cut``, a plain filter.
+bucket (about n / 16**L rows) is ordered to read the cut.  Rows are then
+selected by comparing keys with the cut; only rows with the cut key are ranked.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def seeded_shuffle(df: DataFrame, key_cols=("contig", "position"),
 def _prefix_len(n: int) -> int:
     if n <= ROWS_PER_BUCKET:
         return 1
-    return max(1, min(5, math.ceil(math.log(n / ROWS_PER_BUCKET, 16))))
+    return math.ceil(math.log(n / ROWS_PER_BUCKET, 16))
 
 
 def kth_key(keyed: DataFrame, k: int, n: int | None = None, key: str = KEY):
@@ -58,15 +58,31 @@ def kth_key(keyed: DataFrame, k: int, n: int | None = None, key: str = KEY):
     return row[0]
 
 
+def _first_k(keyed: DataFrame, k: int, total: int) -> DataFrame:
+    """``keyed`` with ``_first``: true for exactly ``k`` rows, those of the smallest keys.
+
+    Of the rows that share the boundary key, as many are taken as are missing, in the
+    order of a hash of all columns; only these rows are ranked.
+    """
+    cut = kth_key(keyed, k, total)
+    if cut is None:
+        return keyed.withColumn("_first", F.lit(False))
+    missing = min(k, total) - keyed.where(F.col(KEY) < F.lit(cut)).count()
+    other = keyed.where(F.col(KEY) != F.lit(cut)).withColumn("_first", F.col(KEY) < F.lit(cut))
+    order = Window.partitionBy(KEY).orderBy(F.xxhash64(*keyed.columns))
+    tied = (keyed.where(F.col(KEY) == F.lit(cut)).withColumn("_rank", F.row_number().over(order))
+            .withColumn("_first", F.col("_rank") <= missing).drop("_rank"))
+    return other.unionByName(tied)
+
+
 def sample_n(df: DataFrame, n: int, key_cols=("contig", "position"),
              seed: int = SHUFFLE_SEED) -> DataFrame:
-    """At most n rows chosen by the seeded order (all rows if n is larger)."""
+    """Exactly n rows chosen by the seeded order (all rows if n is larger)."""
     keyed = with_shuffle_key(df, key_cols, seed)
     total = keyed.count()
     if n >= total:
         return keyed
-    cut = kth_key(keyed, n, total)
-    return keyed.where(F.col(KEY) <= F.lit(cut)) if cut is not None else keyed.limit(0)
+    return _first_k(keyed, n, total).where("_first").drop("_first")
 
 
 def exact_split(df: DataFrame, frac: float = 0.2, key_cols=("contig", "position"),
@@ -74,7 +90,5 @@ def exact_split(df: DataFrame, frac: float = 0.2, key_cols=("contig", "position"
     """Adds ``split``: exactly round(frac * n) rows 'valid', the rest 'train'."""
     keyed = with_shuffle_key(df, key_cols, seed)
     total = keyed.count()
-    k = int(round(frac * total))
-    cut = kth_key(keyed, k, total)
-    valid = (F.col(KEY) <= F.lit(cut)) if cut is not None else F.lit(False)
-    return keyed.withColumn("split", F.when(valid, F.lit("valid")).otherwise(F.lit("train")))
+    split = F.when(F.col("_first"), F.lit("valid")).otherwise(F.lit("train"))
+    return _first_k(keyed, int(round(frac * total)), total).withColumn("split", split).drop("_first")

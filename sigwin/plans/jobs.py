@@ -61,14 +61,13 @@ def inference_sets(sites: DataFrame, bucket: int = W.DEFAULT_BUCKET,
     return _window_table(structure), _window_table(m6a)
 
 
-def scored_long(pred: DataFrame, labels: DataFrame) -> DataFrame:
-    """Prediction table joined with truth, one row per (model, window)."""
+def scored_long(pred: DataFrame) -> DataFrame:
+    """Predictions that carry split and label, one row per (model, window)."""
     models = F.array(
         F.struct(F.lit("NeuralNetwork").alias("model"), F.col("NeuralNetwork_Prob").alias("p")),
         F.struct(F.lit("RandomForest").alias("model"), F.col("RandomForest_Prob").alias("p")),
         F.struct(F.lit("Combined").alias("model"), F.col("Combined_Prob").alias("p")))
-    joined = pred.join(labels, ["contig", "position"])
-    long = joined.select("contig", "position", "split", "label", F.inline(models))
+    long = pred.select("contig", "position", "split", "label", F.inline(models))
     z0, z1 = M.prob_to_logits("p")
     return long.select("*", z0.alias("z0"), z1.alias("z1"), F.col("p").alias("score"))
 
@@ -84,9 +83,10 @@ def fit(windows: DataFrame, params: ML.EnsembleParams | None = None):
     split = split.checkpoint(eager=True)
     fitted = ML.fit_ensemble(split.where(F.col("split") == "train").drop("split"),
                              params=params)
-    pred = ML.predict(split.drop("label", "split"), fitted)
-    truth = split.select("contig", "position", "split", F.col("label").cast("int"))
-    report = M.metric_report(scored_long(pred, truth), ["split", "model"])
+    # Scores keep their row's split and label: no join back, which would repeat replicates.
+    pred = ML.predict(split.withColumn("label", F.col("label").cast("int")), fitted,
+                      keep=("contig", "position", "split", "label"))
+    report = M.metric_report(scored_long(pred.persist()), ["split", "model"])
     return fitted, report
 
 

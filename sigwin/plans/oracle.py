@@ -37,7 +37,7 @@ def key(col: str = "contig") -> str:
 
 EA = """ea AS MATERIALIZED (
   SELECT concat('ENST', lpad(CAST(cid AS VARCHAR), 11, '0'), '.1|', event_type) AS contig,
-         CAST(user_id AS BIGINT) AS position,
+         CAST(user_id + user_id // 40 AS BIGINT) AS position,
          substr(repeat('GGACTAGACATTGACCA', 2), CAST(1 + (cid + user_id) % 17 AS INTEGER), 5) AS reference_kmer,
          CAST(value AS DOUBLE) AS event_level_mean,
          value / (1 + event_id % 7) AS event_stdv,
@@ -46,8 +46,7 @@ EA = """ea AS MATERIALIZED (
          (value - CAST(50.0 AS DOUBLE)) / CAST(49.0 AS DOUBLE) AS standardized_level,
          CAST(event_id AS BIGINT) AS ord
   FROM (SELECT *, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3
-                                  WHEN 'signup' THEN 4 ELSE 5 END AS cid FROM events) e
-  WHERE user_id % 41 <> 40)"""
+                                  WHEN 'signup' THEN 4 ELSE 5 END AS cid FROM events) e)"""
 
 CLIP = S.CLIPPED_COLUMNS
 SHORT = {c: f"c{i}" for i, c in enumerate(CLIP)}
@@ -73,7 +72,7 @@ def _cl() -> str:
     parts = []
     for c, s in SHORT.items():
         cond = f"abs(e.{c} - g.med_{s}) <= 3 * g.sd_{s}"
-        parts += [f"sum(CASE WHEN {cond} THEN TRY_CAST(e.{c} AS DECIMAL(38,12)) END) AS cs_{s}",
+        parts += [f"sum(CASE WHEN {cond} THEN e.{c} END) AS cs_{s}",
                   f"count(CASE WHEN {cond} THEN e.{c} END) AS cc_{s}"]
     return ("cl AS (SELECT e.contig, e.position, " + ", ".join(parts)
             + " FROM ea e JOIN g ON e.contig = g.contig AND e.position = g.position"
@@ -147,6 +146,10 @@ SCORED = """sd AS (SELECT d.doc_id, CAST(l.quality AS INTEGER) AS label,
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+ALL_SCORED = SCORED.replace("CAST(l.quality AS INTEGER) AS label,", "").replace(
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id", "FROM documents d")
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -283,9 +286,9 @@ def oracle_sql() -> dict[str, str]:
              ("structure_1", "slab WHERE label = 1")]
     q["row_accounting"] = with_(*wc, SITES_REF, MWIN, PROFILE, SWIN) + " UNION ALL ".join(
         f"SELECT '{name}' AS item, count(*) AS n FROM {src}" for name, src in items)
-    q["softmax2"] = with_(SCORED) + (
+    q["softmax2"] = with_(ALL_SCORED) + (
         f"SELECT doc_id, {rnd('1.0 / (1.0 + exp(-(z1 - z0)))', 'p1')} FROM sd")
-    q["ensemble_mean"] = with_(SCORED) + (
+    q["ensemble_mean"] = with_(ALL_SCORED) + (
         f"SELECT doc_id, {rnd('pa', 'p_a')}, {rnd('pb', 'p_b')}, {rnd('(pa + pb) / 2.0', 'p_mean')} FROM "
         "(SELECT doc_id, 1.0 / (1.0 + exp(-(z1 - z0))) AS pa, 1.0 / (1.0 + exp(-(z1b - z0))) AS pb FROM sd) t")
     q["focal_loss"] = with_(SCORED) + (

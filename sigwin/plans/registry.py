@@ -221,11 +221,11 @@ def _scored(spark, sf):
 
 
 def q_softmax2(spark, sf):
-    return round_doubles(_scored(spark, sf).select("doc_id", softmax2("z0", "z1").alias("p1")))
+    return round_doubles(FX.document_scores(spark, sf).select("doc_id", softmax2("z0", "z1").alias("p1")))
 
 
 def q_ensemble_mean(spark, sf):
-    d = _scored(spark, sf).select("doc_id", softmax2("z0", "z1").alias("p_a"),
+    d = FX.document_scores(spark, sf).select("doc_id", softmax2("z0", "z1").alias("p_a"),
                                   softmax2("z0", "z1b").alias("p_b"))
     return round_doubles(d.select("doc_id", "p_a", "p_b", ensemble_mean("p_a", "p_b").alias("p_mean")))
 

@@ -45,7 +45,8 @@ def _cid(event_type: Column) -> Column:
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal events: one row per driver event, keyed (contig, position).
 
-    Every 41st position is absent (coverage holes), ``event_length`` has NULLs,
+    Every 41st position is absent (coverage holes; users are dealt around it, so no
+    event is left out), ``event_length`` has NULLs,
     ``model_stdv`` has zeros and the values are heavy-tailed, so clipping,
     NULL handling and window gaps all occur.
     """
@@ -54,11 +55,10 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.pmod(cid + F.col("user_id"), F.lit(len(KMER_PATTERN)))
     eid = F.col("event_id")
     return (
-        e.where(F.pmod(F.col("user_id"), F.lit(41)) != 40)
-        .select(
+        e.select(
             F.concat(F.lit("ENST"), F.lpad(cid.cast("string"), 11, "0"), F.lit(".1|"),
                      F.col("event_type")).alias("contig"),
-            F.col("user_id").cast("long").alias("position"),
+            F.expr("CAST(user_id + user_id DIV 40 AS BIGINT)").alias("position"),
             F.substring(F.lit(KMER_PATTERN * 2), (k + 1).cast("int"), 5).alias("reference_kmer"),
             F.col("value").cast("double").alias("event_level_mean"),
             (F.col("value") / (F.lit(1) + F.pmod(eid, F.lit(7)))).alias("event_stdv"),
@@ -131,18 +131,21 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("value", F.col("grp").cast("long").alias("ord"))
 
 
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, two logits and a second model's logit of every document."""
+    score = F.round(F.col("n_chars") / F.lit(500.0))
+    return read_table(spark, sf_dir, "documents").select(
+        "doc_id", score.alias("score"), F.lit(0.0).alias("z0"),
+        (score / F.lit(4.0) - F.lit(2.0)).alias("z1"),
+        (F.log(F.col("n_chars").cast("double") + F.lit(1.0)) - F.lit(7.0)).alias("z1b"))
+
+
 def scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and scores for the ranking metrics: documents x labels.
 
     label = quality, score = round(n_chars / 500) (ties on purpose), and two
     logits / probabilities derived from it for the loss and ensemble checks.
     """
-    d = read_table(spark, sf_dir, "documents")
     lab = read_table(spark, sf_dir, "labels")
-    score = F.round(F.col("n_chars") / F.lit(500.0))
-    return (d.join(lab, "doc_id")
-            .select("doc_id", F.col("quality").cast("int").alias("label"),
-                    score.alias("score"),
-                    F.lit(0.0).alias("z0"),
-                    (score / F.lit(4.0) - F.lit(2.0)).alias("z1"),
-                    (F.log(F.col("n_chars").cast("double") + F.lit(1.0)) - F.lit(7.0)).alias("z1b")))
+    return (document_scores(spark, sf_dir).join(lab, "doc_id")
+            .select("doc_id", F.col("quality").cast("int").alias("label"), "score", "z0", "z1", "z1b"))

@@ -44,3 +44,10 @@ def test_kth_key_with_many_buckets(spark):
 def test_sample_all_when_asking_more(spark):
     assert O.sample_n(keyed_rows(spark, 3), 5).count() == 3
     assert O.sample_n(keyed_rows(spark, 30), 5).count() == 5
+
+
+def test_split_and_sample_are_exact_on_tied_keys(spark):
+    from sigwin.operators.ordering import exact_split, sample_n
+    df = spark.createDataFrame([("c", 1, i) for i in range(10)], "contig string, position long, v int")
+    assert sorted(r["count"] for r in exact_split(df, 0.2).groupBy("split").count().collect()) == [2, 8]
+    assert sample_n(df, 3).count() == 3 and sample_n(df, 0).count() == 0
