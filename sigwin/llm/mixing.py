@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwin.llm.common import text_or_empty
+from sigwin.llm.common import broadcast_if_small, stored, text_or_empty
 
 SEED = 20240
 MAX_RATE = 3.0
@@ -70,7 +70,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     targets = source_targets(sized.select("source", F.col("_size").alias("size")), **options)
     targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
                              F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    # One row per source; Spark broadcasts it when its measured size allows, else splits hot sources.
+    # One row per source: broadcast if its counted rows allow; else a join in which hot sources are split.
+    targets = broadcast_if_small(stored(targets, "targets"))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(text_or_empty()).cast("string"))
     return joined.withColumn("_copies", copies(F.col("_rate"), key)).drop("_source", "_rate")
