@@ -171,11 +171,9 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
-        for b in batches:
-            held = [shingles(t, n) for t in b.column(0).to_pylist()]
-            if held:
-                at = (np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                np.add.at(counts, at, 1)
+        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            held = np.concatenate([shingles(t, n) for t in b.column(0).to_pylist()])
+            np.add.at(counts, (held >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         for chunk in range(0, size, SKETCH_CHUNK):
             at = np.flatnonzero(counts[chunk:chunk + SKETCH_CHUNK])
             if len(at):
