@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,13 @@ from sigwin.llm.components import components
 #: Counters of the sketch: 2 ** 21 of 4 bytes are 8 MiB, whatever the input.
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
-#: Sets of a block; a task holds two blocks.
+#: Sets of a block, and n-grams of its sets together (one longer set is a block alone); a task holds two blocks.
 BLOCK = 64
+BLOCK_GRAMS = 1 << 17
+#: Documents whose n-grams a task holds at once.
+SLICE = 512
+#: Tasks whose counters are added up together before all are.
+SUMMED = 256
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,7 +159,9 @@ def tree_join(nodes: list[int], sets: list[np.ndarray], labels: list[int], probe
     rank = np.empty(len(times), dtype=np.int64)
     rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
     ends = np.cumsum([len(s) for s in sets])
-    ranked = [tuple(np.sort(r).tolist()) for r in np.split(rank[which], ends[:-1])] if sets else []
+    # One Python integer for each rank, which all sets share.
+    shared = np.arange(len(times)).astype(object)
+    ranked = [tuple(shared[np.sort(r)]) for r in np.split(rank[which], ends[:-1])] if sets else []
     tree, out = PrefixTree(ranked, find), []
     for i in probes:
         for j in tree.partners(i, ranked[i], percent):
@@ -163,33 +171,50 @@ def tree_join(nodes: list[int], sets: list[np.ndarray], labels: list[int], probe
     return out
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``SLICE`` rows."""
+    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """For each hash range (top ``SKETCH_BITS`` bits) the number of documents' n-grams in it."""
-    schema = "chunk int, at binary, n binary"
+    """For each hash range (top ``SKETCH_BITS`` bits) the number of documents' n-grams in it.
+
+    Counters are added up in two steps, some tasks' first, row by row: no task holds more
+    than one row and one sum, however many tasks counted.
+    """
+    schema = "chunk int, batch int, at binary, n binary"
     arrow = arrow_schema(schema)
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.uint32)
-        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        counts, batch = np.zeros(size, np.uint32), TaskContext.get().partitionId() // SUMMED
+        for b in _slices(batches):
             held = np.concatenate([shingles(t, n) for t in b.column(0).to_pylist()])
             np.add.at(counts, (held >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         for chunk in range(0, size, SKETCH_CHUNK):
             at = np.flatnonzero(counts[chunk:chunk + SKETCH_CHUNK])
             if len(at):
                 yield pa.RecordBatch.from_pydict({
-                    "chunk": [chunk], "at": [at.astype("<u2").tobytes()],
+                    "chunk": [chunk], "batch": [batch], "at": [at.astype("<u2").tobytes()],
                     "n": [counts[chunk + at].astype("<u4").tobytes()]}, schema=arrow)
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH_CHUNK, np.uint32)
-        for row in rows.to_pylist():
-            total[np.frombuffer(row["at"], "<u2")] += np.frombuffer(row["n"], "<u4")
-        return pa.table({"chunk": [rows["chunk"][0].as_py()], "at": [b""], "n": [total.tobytes()]}, schema=arrow)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = np.zeros(SKETCH_CHUNK, np.uint32), 0
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk = b["chunk"][i].as_py()
+                total[np.frombuffer(b["at"][i].as_py(), "<u2")] += np.frombuffer(b["n"][i].as_py(), "<u4")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({
+            "chunk": [chunk], "batch": [0], "at": [at.astype("<u2").tobytes()],
+            "n": [total[at].astype("<u4").tobytes()]}, schema=arrow)
 
     out = np.zeros(size, np.uint32)
-    for row in docs.select("text").mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).toLocalIterator():
-        out[row["chunk"]:row["chunk"] + SKETCH_CHUNK] = np.frombuffer(row["n"], np.uint32)
+    counted = docs.select("text").mapInArrow(run, schema)
+    for keys in (("chunk", "batch"), ("chunk",)):
+        counted = counted.groupBy(*keys).applyInArrow(add, schema)
+    for row in counted.toLocalIterator():
+        out[row["chunk"] + np.frombuffer(row["at"], "<u2").astype(np.int64)] = np.frombuffer(row["n"], "<u4")
     return out
 
 
@@ -211,7 +236,7 @@ def document_nodes(docs: DataFrame, n: int) -> DataFrame:
     schema = "doc_id long, node long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
@@ -228,7 +253,7 @@ def _filed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             grams, nodes, sizes = [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, n)
@@ -253,7 +278,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     schema = "node long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
@@ -308,13 +333,16 @@ def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _labelled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``groups`` that are not under one label yet, with labels and a hub, the member of the largest degree."""
+    """``groups`` that are not under one label yet, with labels and a hub, the member of the largest degree.
+
+    Ties have one order, so that a task that runs again, or a plan read twice, takes the same hub.
+    """
     label = F.col("node") if known is None else F.coalesce("component", "node")
     rows = groups if known is None else groups.join(known, "node", "left")
     rows = rows.select("group", "node", "n", label.alias("label"), "degree")
     hubs = (rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.max_by("node", "degree").alias("hub"), F.max_by("n", "degree").alias("hub_n"))
-            .where("lo < hi").drop("lo", "hi"))
+                                      F.max(F.struct("degree", "node", "n")).alias("hub"))
+            .where("lo < hi").select("group", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
     return rows.drop("degree").join(hubs, "group")
 
 
@@ -329,7 +357,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     # A star around each group's hub: its members with the hub, if their sizes fit.
     spread = _labelled(groups, None)
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    spokes = _parts(spread.where(fits & (F.col("node") != F.col("hub"))).select("hub", "node").distinct())
+    spokes = _parts(spread.where(fits & (F.col("node") != F.col("hub"))).select("hub", "node", "n").distinct())
     heads = spokes.select("hub", "part", F.col("hub").alias("node")).distinct()
     star = spokes.withColumn("probe", F.lit(False)).unionByName(heads.withColumn("probe", F.lit(True)))
     found = stored(_joined(star.withColumn("label", F.col("node")), sets, percent), "star-links")
@@ -337,27 +365,27 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     linked_hubs = found.groupBy(F.col("a").alias("hub")).agg(F.count(F.lit(1)).alias("size"))
     either = found.select("a", F.col("b").alias("node")).unionByName(found.select("a", F.col("a").alias("node")))
     known = stored(either.withColumnRenamed("a", "hub").join(linked_hubs, "hub").groupBy("node").agg(
-        F.max("size").alias("size"), F.max_by("hub", "size").alias("component")).drop("size"), "known")
+        F.max(F.struct("size", "hub")).alias("most")).select("node", F.col("most.hub").alias("component")), "known")
 
     # What is left in full: all members but those of the group's largest component against all
     # members.  Groups around one component are one group here, so no pair is compared over and over.
-    spread = _labelled(groups, known).select("group", "node", "label")
+    spread = _labelled(groups, known).select("group", "node", "n", "label")
     largest = (spread.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
-               .groupBy("group").agg(F.max_by("label", "size").alias("largest"), F.max("size").alias("size")))
+               .groupBy("group").agg(F.max(F.struct("size", "label")).alias("most"))
+               .select("group", F.col("most.label").alias("largest"), F.col("most.size").alias("size")))
     around = F.when(F.col("size") > 1, F.col("largest")).otherwise(F.col("group"))
     spread = spread.join(largest, "group").select(
-        around.alias("group"), "node", "label", (F.col("label") != F.col("largest")).alias("probe")).distinct()
-    sizes = spread.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.count_if("probe").alias("probes"))
+        around.alias("group"), "node", "n", "label", (F.col("label") != F.col("largest")).alias("probe")).distinct()
+    own = F.col("probe").cast("long")
+    sizes = spread.groupBy("group").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("members"),
+                                        _blocks(F.sum(own), F.sum(own * F.col("n"))).alias("probes"))
     spread = spread.join(sizes, "group")
 
-    def blocks(size: str) -> Column:
-        return F.ceil(F.col(size) / BLOCK).cast("int")
-
     def every(size: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), blocks(size) - 1))
+        return F.explode(F.sequence(F.lit(0), F.col(size) - 1))
 
     def mine(size: str) -> Column:
-        return F.pmod(F.xxhash64("node"), blocks(size)).cast("int")
+        return F.pmod(F.xxhash64("node"), F.col(size)).cast("int")
 
     cells = spread.select("group", mine("members").alias("i"), every("probes").alias("j"), "node", "label",
                           F.lit(False).alias("probe")).unionByName(
@@ -368,11 +396,16 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     return found.unionByName(stored(_joined(cells, sets, percent), "tree-links"))
 
 
+def _blocks(sets: Column, grams: Column, most: int = 1) -> Column:
+    """Into how many parts ``sets`` sets of ``grams`` n-grams are cut, for ``most`` blocks a part."""
+    return F.ceil(F.greatest(sets / (most * BLOCK), grams / (most * BLOCK_GRAMS))).cast("int")
+
+
 def _parts(spokes: DataFrame) -> DataFrame:
-    """``spokes`` with ``part``: a hub's spokes are cut into parts of about ``4 * BLOCK``."""
-    sizes = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / (4 * BLOCK)).cast("int")
-    return spokes.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("size")
+    """``spokes`` ``(hub, node, n)`` with ``part`` for ``n``: a hub's are cut into parts of about four blocks."""
+    sizes = spokes.groupBy("hub").agg(_blocks(F.count(F.lit(1)), F.sum("n"), 4).alias("parts"))
+    return spokes.join(sizes, "hub").select("hub", "node",
+                                            F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

@@ -53,10 +53,13 @@ def test_ngram_join_edges(docs, no_docs):
     assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("percent,block", [(85, 4), (60, 64)])
-def test_ngram_join_is_brute_force(spark, monkeypatch, percent, block):
-    """Chains, near copies, a passage that many share, copies; small blocks make many cells."""
+@pytest.mark.parametrize("percent,block,grams", [(85, 4, 1 << 17), (60, 64, 300), (60, 64, 1 << 17)])
+def test_ngram_join_is_brute_force(spark, monkeypatch, percent, block, grams):
+    """Chains, near copies, a passage that many share, copies; small blocks (by sets or n-grams) make many cells."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "SLICE", 7)
+    monkeypatch.setattr(ngram_join, "SUMMED", 2)
     rng = random.Random(percent)
     words = [f"w{i}" for i in range(300)]
     base, passage = [rng.choice(words) for _ in range(90)], [rng.choice(words) for _ in range(40)]
@@ -77,6 +80,18 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, percent, block):
     assert _got(df, 4, percent) == _brute(rows, 4, percent)
 
 
+def test_sketch_counts_every_ngram(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SUMMED", 2)
+    texts = [f"a b c d {i % 7} {i}" for i in range(60)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    want = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint32)
+    for t in texts:
+        for h in ngram_join.shingles(t, 4):
+            want[int(h) >> (64 - ngram_join.SKETCH_BITS)] += 1
+    assert (ngram_join._sketch(df, 4) == want).all()
+    assert not ngram_join._sketch(df.where("false"), 4).any()
+
+
 def test_tree_join_finds_all_links():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 25, rng.integers(1, 25))).astype(np.uint64) for _ in range(60)]
