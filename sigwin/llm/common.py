@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,36 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, schema.split(","))])
 
 
+#: Rows of text that a worker holds as Python objects at once.
+SLICE = 512
+#: Tasks whose partial sums are added up together before all are.
+SUMMED = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``SLICE`` rows; in the end the worker gives free memory back."""
+    for b in batches:
+        yield from (b.slice(at, SLICE) for at in range(0, b.num_rows, SLICE))
+    pa.default_memory_pool().release_unused()
+
+
+def task_batch() -> int:
+    """The number of this task's batch in ``added_up``."""
+    return TaskContext.get().partitionId() // SUMMED
+
+
+def added_up(partial: DataFrame, schema: str, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+             ) -> DataFrame:
+    """Partial sums by ``chunk``, added first by ``batch`` (``task_batch``) and then in all.
+
+    ``add`` is typed as an iterator of record batches, so a group is streamed: a task holds
+    a batch of rows and one sum, however many tasks there were.
+    """
+    for keys in (("chunk", "batch"), ("chunk",)):
+        partial = partial.groupBy(*keys).applyInArrow(add, schema)
+    return partial
+
+
 def map_rows(df: DataFrame, schema: str, function: Callable[..., dict]) -> DataFrame:
     """``mapInArrow`` over the rows of ``df``, batch by batch.
 

@@ -30,11 +30,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigwin.llm.common import arrow_schema, broadcast_if_small, stored
+from sigwin.llm.common import added_up, arrow_schema, broadcast_if_small, slices, stored, task_batch
 from sigwin.llm.components import components
 
 #: Counters of the sketch: 2 ** 21 of 4 bytes are 8 MiB, whatever the input.
@@ -43,10 +42,6 @@ SKETCH_CHUNK = 1 << 16
 #: Sets of a block, and n-grams of its sets together (one longer set is a block alone); a task holds two blocks.
 BLOCK = 64
 BLOCK_GRAMS = 1 << 17
-#: Documents whose n-grams a task holds at once.
-SLICE = 512
-#: Tasks whose counters are added up together before all are.
-SUMMED = 256
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,24 +166,15 @@ def tree_join(nodes: list[int], sets: list[np.ndarray], labels: list[int], probe
     return out
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``SLICE`` rows."""
-    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
-
-
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """For each hash range (top ``SKETCH_BITS`` bits) the number of documents' n-grams in it.
-
-    Counters are added up in two steps, some tasks' first, row by row: no task holds more
-    than one row and one sum, however many tasks counted.
-    """
+    """For each hash range (top ``SKETCH_BITS`` bits) the number of documents' n-grams in it."""
     schema = "chunk int, batch int, at binary, n binary"
     arrow = arrow_schema(schema)
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, batch = np.zeros(size, np.uint32), TaskContext.get().partitionId() // SUMMED
-        for b in _slices(batches):
+        counts, batch = np.zeros(size, np.uint32), task_batch()
+        for b in slices(batches):
             held = np.concatenate([shingles(t, n) for t in b.column(0).to_pylist()])
             np.add.at(counts, (held >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         for chunk in range(0, size, SKETCH_CHUNK):
@@ -210,10 +196,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
             "n": [total[at].astype("<u4").tobytes()]}, schema=arrow)
 
     out = np.zeros(size, np.uint32)
-    counted = docs.select("text").mapInArrow(run, schema)
-    for keys in (("chunk", "batch"), ("chunk",)):
-        counted = counted.groupBy(*keys).applyInArrow(add, schema)
-    for row in counted.toLocalIterator():
+    for row in added_up(docs.select("text").mapInArrow(run, schema), schema, add).toLocalIterator():
         out[row["chunk"] + np.frombuffer(row["at"], "<u2").astype(np.int64)] = np.frombuffer(row["n"], "<u4")
     return out
 
@@ -236,7 +219,7 @@ def document_nodes(docs: DataFrame, n: int) -> DataFrame:
     schema = "doc_id long, node long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
@@ -253,7 +236,7 @@ def _filed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in _slices(batches):
+        for b in slices(batches):
             grams, nodes, sizes = [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, n)
@@ -278,7 +261,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     schema = "node long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             rows = []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigwin.llm.common import arrow_schema
+from sigwin.llm.common import added_up, arrow_schema, slices, task_batch
 
 VOCABULARY = 8192
 WIDTH = 32
@@ -70,11 +70,15 @@ def word_rows(words: list[str]) -> np.ndarray:
         return np.fromiter(map(_rows.__getitem__, words), np.int32, len(words))
 
 
-def neighbour_sums(rows: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
-    """Add to ``into`` the index vectors of each word's neighbours in one text."""
+def neighbour_sums(texts: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
+    """Add to ``into`` the index vectors of each word's neighbours in its text."""
+    rows = np.concatenate(texts)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     for shift in range(1, min(WINDOW, len(rows) - 1) + 1):
         pair = rows[:-shift].astype(np.int64) * VOCABULARY + rows[shift:]
-        pair, times = np.unique(pair, return_counts=True)
+        pair, times = np.unique(pair[text[:-shift] == text[shift:]], return_counts=True)
+        if not len(pair):
+            continue
         left, right = pair // VOCABULARY, pair % VOCABULARY
         for word, near in ((left, right), (right, left)):
             at = np.argsort(word, kind="stable")
@@ -85,35 +89,40 @@ def neighbour_sums(rows: np.ndarray, index: np.ndarray, into: np.ndarray) -> Non
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The vectors of all words over all documents, centred and of length 1.
 
-    Each task sums its own matrix and the matrices are added up by chunks of rows, so
-    the shuffle is one matrix a task and the driver gets one matrix.
+    Each task sums its own matrix and the matrices are added up by chunks of rows in two
+    streamed steps, so the shuffle is one matrix a task and the driver gets one matrix.
     """
-    schema = "chunk int, sums binary"
+    schema = "chunk int, batch int, sums binary"
     arrow = arrow_schema(schema)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sums = index_vectors().astype(np.int64), np.zeros((VOCABULARY, WIDTH), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts, n = [], 0
             for text in batch.column(0).to_pylist():
                 if text:
                     texts.append(word_rows(TOKEN.findall(text)))
                     n += len(texts[-1])
                 if n > 200_000:
-                    neighbour_sums(np.concatenate(texts), index, sums)
+                    neighbour_sums(texts, index, sums)
                     texts, n = [], 0
             if n:
-                neighbour_sums(np.concatenate(texts), index, sums)
+                neighbour_sums(texts, index, sums)
         for k in range(0, VOCABULARY, ROWS_OF_CHUNK):
             part = sums[k:k + ROWS_OF_CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [k], "sums": [part.tobytes()]}, schema=arrow)
+                yield pa.RecordBatch.from_pydict({"chunk": [k], "batch": [task_batch()], "sums": [part.tobytes()]},
+                                                 schema=arrow)
 
-    def add(chunk: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), np.int64) for b in chunk["sums"])
-        return pa.table({"chunk": [chunk["chunk"][0].as_py()], "sums": [total.tobytes()]}, schema=arrow)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = np.zeros(ROWS_OF_CHUNK * WIDTH, np.int64), 0
+        for b in batches:
+            for k, part in zip(b["chunk"], b["sums"], strict=True):
+                chunk = k.as_py()
+                total += np.frombuffer(part.as_py(), np.int64)
+        yield pa.RecordBatch.from_pydict({"chunk": [chunk], "batch": [0], "sums": [total.tobytes()]}, schema=arrow)
 
-    sums = docs.select("text").mapInArrow(partial, schema).groupBy("chunk").applyInArrow(add, schema)
+    sums = added_up(docs.select("text").mapInArrow(partial, schema), schema, add)
     out = np.zeros((VOCABULARY, WIDTH))
     for row in sums.toLocalIterator():
         out[row["chunk"]:row["chunk"] + ROWS_OF_CHUNK] = np.frombuffer(row["sums"], np.int64).reshape(-1, WIDTH)
@@ -232,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 x = pooled(b.column("text").to_pylist(), vectors).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality"),
@@ -253,7 +262,7 @@ def with_score(docs: DataFrame, classifier: Classifier, column: str = "_score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 scores = classifier.scores(b.column(names.index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, column])

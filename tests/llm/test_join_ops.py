@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigwin.llm import ngram_join, quality, topk
+from sigwin.llm import common, ngram_join, quality, topk
 from sigwin.llm.common import stored
 from sigwin.llm.components import components
 
@@ -58,8 +58,8 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, percent, block, grams):
     """Chains, near copies, a passage that many share, copies; small blocks (by sets or n-grams) make many cells."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
-    monkeypatch.setattr(ngram_join, "SLICE", 7)
-    monkeypatch.setattr(ngram_join, "SUMMED", 2)
+    monkeypatch.setattr(common, "SLICE", 7)
+    monkeypatch.setattr(common, "SUMMED", 2)
     rng = random.Random(percent)
     words = [f"w{i}" for i in range(300)]
     base, passage = [rng.choice(words) for _ in range(90)], [rng.choice(words) for _ in range(40)]
@@ -81,7 +81,7 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, percent, block, grams):
 
 
 def test_sketch_counts_every_ngram(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SUMMED", 2)
+    monkeypatch.setattr(common, "SUMMED", 2)
     texts = [f"a b c d {i % 7} {i}" for i in range(60)] + [None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
     want = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint32)

@@ -121,6 +121,13 @@ def test_quality_edges(spark, docs, no_docs):
     assert quality.good_documents(docs, labels).columns == docs.columns
 
 
+def test_word_vectors_do_not_depend_on_partitions(spark):
+    texts = [(" ".join(f"w{(i * k) % 37}" for k in range(i % 9)),) for i in range(80)] + [(None,), ("one",)]
+    df = spark.createDataFrame(texts, "text string")
+    one, many = (quality.word_vectors(df.repartition(n)) for n in (1, 9))
+    assert one.any() and (one == many).all()
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1/"
     scored = quality.score_documents(spark.read.parquet(d + "documents.parquet"), spark.read.parquet(d + "labels.parquet"))
