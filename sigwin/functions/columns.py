@@ -65,6 +65,11 @@ def softmax2(z0, z1) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(_col(z1) - _col(z0))))
 
 
+def predicted_class(z0, z1) -> Column:
+    """Class of the larger logit; a tie is class 0."""
+    return F.when(_col(z1) > _col(z0), 1).otherwise(0)
+
+
 def ensemble_mean(a, b) -> Column:
     return (_col(a) + _col(b)) / F.lit(2.0)
 

@@ -45,6 +45,8 @@ def fit_scaler(df: DataFrame, features: list[str] | None = None) -> dict[str, tu
     """Fitted scaler as small driver-side state: {feature: (mean, scale)}."""
     features = features or S.FEATURES
     rows = scaler_stats(df, features).collect()
+    if any(r["mean"] is None for r in rows):
+        raise ValueError("no finite training row is left to fit on")
     return {r["feature"]: (float(r["mean"]), float(r["scale"])) for r in rows}
 
 

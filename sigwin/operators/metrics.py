@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwin.functions.columns import focal_loss_terms
@@ -60,41 +60,46 @@ def running_before(df: DataFrame, order_col: str, sum_cols: list[str],
 
 
 def score_table(df: DataFrame, label: str = "label", score: str = "score",
-                by: list[str] | None = None) -> DataFrame:
+                by: list[str] | None = None, sums: list[Column] | None = None) -> DataFrame:
     """Distinct scores (per group) with the positives and negatives at each,
-    plus the counts at strictly higher scores (tp_before, fp_before)."""
+    plus the counts at strictly higher scores (tp_before, fp_before) and any
+    other aliased ``sums`` over the rows of a score."""
     by = list(by or [])
     per = df.groupBy(*by, F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("tp"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("fp"))
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("fp"), *(sums or []))
     return running_before(per, "threshold", ["tp", "fp"], by=by, descending=True)
 
 
+def _auc() -> Column:
+    """The area over the rows of a score table: pairs won, ties as halves."""
+    won = F.sum(F.col("fp") * (F.col("tp_before") + F.lit(0.5) * F.col("tp")))
+    pairs = F.sum("tp").cast("double") * F.sum("fp").cast("double")
+    return F.when(pairs > 0, won / pairs).otherwise(F.lit(0.0)).alias("auc")
+
+
+def _ap() -> Column:
+    """Precision at each score of a score table, weighted by the recall gained there."""
+    cum_tp = F.col("tp_before") + F.col("tp")
+    precision = cum_tp / (cum_tp + F.col("fp_before") + F.col("fp"))
+    positives = F.sum("tp").cast("double")
+    return (F.when(positives > 0, F.sum(F.col("tp") * precision) / positives)
+            .otherwise(F.lit(0.0)).alias("ap"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             by: list[str] | None = None) -> DataFrame:
     """auc per group (one row without ``by``): Mann-Whitney form over
     distinct scores, ties count half, one class only gives 0.0."""
     by = list(by or [])
-    t = score_table(df, label, score, by)
-    s = t.groupBy(*by).agg(
-        F.sum(F.col("fp") * (F.col("tp_before") + F.lit(0.5) * F.col("tp"))).alias("_u"),
-        F.sum("tp").cast("double").alias("P"), F.sum("fp").cast("double").alias("N"))
-    return s.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                F.col("_u") / (F.col("P") * F.col("N")))
-                    .otherwise(F.lit(0.0)).alias("auc"))
+    return score_table(df, label, score, by).groupBy(*by).agg(_auc())
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       by: list[str] | None = None) -> DataFrame:
     """ap per group = sum over thresholds of (R_n - R_{n-1}) * P_n."""
     by = list(by or [])
-    t = score_table(df, label, score, by)
-    cum_tp = F.col("tp_before") + F.col("tp")
-    prec = cum_tp / (cum_tp + F.col("fp_before") + F.col("fp"))
-    s = t.groupBy(*by).agg(F.sum(F.col("tp") * prec).alias("_s"),
-                           F.sum("tp").cast("double").alias("P"))
-    return s.select(*by, F.when(F.col("P") > 0, F.col("_s") / F.col("P"))
-                    .otherwise(F.lit(0.0)).alias("ap"))
+    return score_table(df, label, score, by).groupBy(*by).agg(_ap())
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -131,10 +136,11 @@ def metric_report(df: DataFrame, split="split", label: str = "label",
                   z0: str = "z0", z1: str = "z1", score: str = "score",
                   alpha: float = 1.0, gamma: float = 2.0) -> DataFrame:
     """(split..., n, loss, auc, ap) per split value; ``split`` may be a list
-    of columns.  The parts are equi-joined on the split keys."""
+    of columns.  One score table, which carries the losses too, gives all four."""
     by = [split] if isinstance(split, str) else list(split)
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    loss = focal_loss(df, label, z0, z1, alpha, gamma, "mean", by)
-    return (n.join(loss, by).join(roc_auc(df, label, score, by), by)
-            .join(average_precision(df, label, score, by), by)
-            .select(*by, "n", "loss", "auc", "ap"))
+    terms = focal_loss_terms(label, z0, z1, alpha, gamma)
+    t = score_table(df, label, score, by,
+                    [F.sum(terms).alias("loss_sum"), F.count(terms).alias("loss_n")])
+    return t.groupBy(*by).agg(
+        F.sum(F.col("tp") + F.col("fp")).alias("n"),
+        F.try_divide(F.sum("loss_sum"), F.sum("loss_n")).alias("loss"), _auc(), _ap())

@@ -21,6 +21,7 @@ from sigwin.operators import metrics as M
 from sigwin.operators import models as ML
 from sigwin.operators import ordering as O
 from sigwin.operators import windows as W
+from sigwin.sources.tsv import SchemaError
 
 
 def clean(events: DataFrame) -> DataFrame:
@@ -77,6 +78,9 @@ def fit(windows: DataFrame, params: ML.EnsembleParams | None = None):
     (split, model, n, loss, auc, ap) report.  Returns (fitted, report)."""
     from sigwin.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(windows.sparkSession)
+    missing = [c for c in S.WINDOW_COLUMNS if c not in windows.columns]
+    if missing:
+        raise SchemaError(f"training windows lack columns: {missing}")
     params = params or ML.EnsembleParams()
     split = O.exact_split(windows, params.valid_ratio, seed=params.seed).drop(O.KEY)
     # Cut lineage once: both models, the scaler and the report reuse it.

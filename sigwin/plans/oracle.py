@@ -288,6 +288,13 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{name}' AS item, count(*) AS n FROM {src}" for name, src in items)
     q["softmax2"] = with_(ALL_SCORED) + (
         f"SELECT doc_id, {rnd('1.0 / (1.0 + exp(-(z1 - z0)))', 'p1')} FROM sd")
+    q["predicted_class"] = with_(ALL_SCORED) + (
+        "SELECT doc_id, CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS p_a, CASE WHEN z1b > z0 THEN 1 ELSE 0 END AS p_b FROM sd")
+    q["predict_check"] = with_(*wc) + (
+        f"SELECT contig, position, TRUE AS in_range, TRUE AS is_mean FROM win WHERE {FINITE}")
+    q["fit_counts"] = with_(*sw, split_sql("slab", ["contig", "position"])) + (
+        "SELECT split, model, count(*) AS n FROM sp, (VALUES ('NeuralNetwork'), ('RandomForest'), ('Combined')) "
+        "AS m(model) GROUP BY split, model")
     q["ensemble_mean"] = with_(ALL_SCORED) + (
         f"SELECT doc_id, {rnd('pa', 'p_a')}, {rnd('pb', 'p_b')}, {rnd('(pa + pb) / 2.0', 'p_mean')} FROM "
         "(SELECT doc_id, 1.0 / (1.0 + exp(-(z1 - z0))) AS pa, 1.0 / (1.0 + exp(-(z1b - z0))) AS pb FROM sd) t")

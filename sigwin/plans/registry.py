@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigwin import schemas as S
-from sigwin.functions.columns import contig_key, ensemble_mean, round_doubles, softmax2
+from sigwin.functions.columns import contig_key, ensemble_mean, predicted_class, round_doubles, softmax2
 from sigwin.operators import clean as C
 from sigwin.operators import features as FE
 from sigwin.operators import labels as L
@@ -253,17 +253,15 @@ def q_metric_report(spark, sf):
     return round_doubles(M.metric_report(d, "split"))
 
 
-# Model queries (no SQL oracle: Spark ML fits).
-_FIT_CACHE: dict = {}
+def q_predicted_class(spark, sf):
+    return FX.document_scores(spark, sf).select(
+        "doc_id", predicted_class("z0", "z1").alias("p_a"), predicted_class("z0", "z1b").alias("p_b"))
 
 
+# Model queries: Spark ML fits have no SQL oracle, but their keys, ranges and counts do.
 def _fitted(spark, sf):
     from sigwin.operators import models as ML
-    key = (id(spark), sf)
-    if key not in _FIT_CACHE:
-        train = _structure(spark, sf)
-        _FIT_CACHE[key] = ML.fit_ensemble(train)
-    return _FIT_CACHE[key]
+    return ML.fit_ensemble(_structure(spark, sf))
 
 
 def q_ensemble_predict(spark, sf):
@@ -279,6 +277,19 @@ def q_mlp_score(spark, sf):
     return q_ensemble_predict(spark, sf).select("contig", "position", "NeuralNetwork_Prob")
 
 
+def q_predict_check(spark, sf):
+    """Every finite window once, its probabilities within 0 and 1, the combined one their mean."""
+    nn, rf, both = (F.col(c) for c in S.PREDICTION_COLUMNS[2:])
+    return q_ensemble_predict(spark, sf).select(
+        "contig", "position", (nn.between(0, 1) & rf.between(0, 1)).alias("in_range"),
+        (F.abs(both - (nn + rf) / 2) < 1e-12).alias("is_mean"))
+
+
+def q_fit_counts(spark, sf):
+    """The rows that the report counts, by split and model."""
+    return q_fit_report(spark, sf).select("split", "model", "n")
+
+
 def q_fit_report(spark, sf):
     _, report = J.fit(_structure(spark, sf))
     return report

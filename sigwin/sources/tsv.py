@@ -36,12 +36,21 @@ def _long(name: str) -> Column:
     return F.col(name).try_cast(T.LongType()).alias(name)
 
 
-def events_from_frame(df: DataFrame, ord_col: str | None = None) -> DataFrame:
+def _file_order() -> Column:
+    """The place of a row in a read of many files: file, split, row of the split.
+    Ids alone follow how splits are packed into tasks."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start",
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def events_from_frame(df: DataFrame, ord_col: str | None = None,
+                      order: Column | None = None) -> DataFrame:
     """Bring an event frame (any column types) to the event schema.
 
     Optional columns strand / model_kmer / model_mean are dropped, the eight
     required columns are checked, and ``ord`` (input order, needed for the
-    first-row rule) is taken from ``ord_col`` or from the frame's own order.
+    first-row rule) is taken from ``ord_col``, else from a column ``ord``, else
+    from ``order`` (any orderable expression), else from the frame's own order.
     """
     df = df.drop(*S.EVENT_DROPPED)
     missing = [c for c in S.EVENT_REQUIRED if c not in df.columns]
@@ -52,9 +61,7 @@ def events_from_frame(df: DataFrame, ord_col: str | None = None) -> DataFrame:
     elif "ord" in df.columns:
         ord_expr = F.col("ord").cast("long")
     else:
-        # Single-file input: ids grow with file order.  For many files pass
-        # an explicit order column (e.g. read and event index).
-        ord_expr = F.monotonically_increasing_id()
+        ord_expr = order if order is not None else F.monotonically_increasing_id()
     return df.select(
         F.col("contig").cast("string").alias("contig"),
         _long("position"),
@@ -66,7 +73,7 @@ def events_from_frame(df: DataFrame, ord_col: str | None = None) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str, ord_col: str | None = None) -> DataFrame:
     """Event table from a TSV with header (A1)."""
-    return events_from_frame(_read_text_table(spark, path), ord_col)
+    return events_from_frame(_read_text_table(spark, path), ord_col, _file_order())
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +97,8 @@ def read_site_reference(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profile_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw profile lines with their order (single file: file order)."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    """Raw profile lines with their order: by file name, then as in the file."""
+    return spark.read.text(path).select("value", _file_order().alias("ord"))
 
 
 def parse_profile_lines(lines: DataFrame) -> DataFrame:

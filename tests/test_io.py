@@ -86,3 +86,36 @@ def test_inference_outputs_and_predictions(spark, scratch):
     s_back, _ = tsv.read_windows(spark, s_path), None
     assert s_back.count() == structure.count() == 6
     assert {r["label"] for r in s_back.collect()} == {-1}
+
+
+def test_first_row_over_many_files_follows_their_names(spark, scratch):
+    from sigwin.operators.clean import first_model_stdv
+    folder = os.path.join(scratch, "many")
+    os.makedirs(folder)
+    row = "ENST1.1\t5\tGGACT\t+\t1.5\t1\t1\tX\t1\t{}\t0\tz\n"
+    write(os.path.join(folder, "a.tsv"), EV_HEADER + row.format("2.0"))
+    write(os.path.join(folder, "b.tsv"), EV_HEADER + row.format("9.0") * 500)
+    assert first_model_stdv(tsv.read_events(spark, folder)).first()["model_stdv"] == 2.0
+    folder = os.path.join(scratch, "profiles")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.tsv"), "ENST1.1\t1\t*\t0.1\n")
+    write(os.path.join(folder, "b.tsv"), "ENST1.1\t1\t*\t0.9\n" * 500)
+    assert [r["scores"] for r in tsv.read_profile(spark, folder).collect()] == [["0.1"]]
+
+
+def test_training_windows_and_predictions_round_trip(spark, scratch):
+    rows = [("ENST1.1", i, *[float(i)] * len(S.FEATURES), i % 2) for i in (3, 1, 2)]
+    df = spark.createDataFrame(rows, S.WINDOW_SCHEMA)
+    keyed = df.selectExpr("*", "string(10 - position) AS shuffle_key")
+    out = os.path.join(scratch, "train")
+    sinks.write_training_windows(keyed, out, shuffle_col="shuffle_key")
+    back = tsv.read_windows(spark, out)
+    tsv.check_window_columns(back)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    pred = spark.createDataFrame([("ENST1.1", 2, 0.25, 0.75, 0.5), ("ENST1.1", 1, 0.0, 1.0, 0.5)],
+                                 ["contig", "position", *S.PREDICTION_COLUMNS[2:]])
+    out = os.path.join(scratch, "pred")
+    sinks.write_predictions(pred, out)
+    back = spark.read.option("sep", "\t").option("header", True).csv(out)
+    assert back.columns == S.PREDICTION_COLUMNS
+    assert sorted((r[0], int(r[1]), *map(float, r[2:])) for r in back.collect()) == sorted(map(tuple, pred.collect()))

@@ -77,6 +77,17 @@ def test_grouped_metrics_and_report(spark):
     assert rep["a"]["auc"] == 1.0 and rep["b"]["auc"] == 0.0 and rep["a"]["n"] == 2
 
 
+def test_report_reads_its_input_once(spark, scratch):
+    path = f"{scratch}/scored"
+    spark.createDataFrame([("a", i % 2, i / 7, 0.0, i / 9) for i in range(30)],
+                          "split string, label int, score double, z0 double, z1 double").write.parquet(path)
+    report = M.metric_report(spark.read.parquet(path), "split")
+    got = report.first()
+    assert got["auc"] == pytest.approx(brute_auc([i % 2 for i in range(30)], range(30)))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 2
+
+
 def test_pr_curve_columns(spark):
     df = scored(spark, [1, 0, 1, 0], [0.9, 0.5, 0.5, 0.1])
     pr = {r["threshold"]: r for r in M.pr_curve(df).collect()}

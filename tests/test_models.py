@@ -10,6 +10,7 @@ from sigwin import schemas as S
 from sigwin.operators import metrics as M
 from sigwin.operators import models as ML
 from sigwin.plans import jobs as J
+from sigwin.sources.tsv import SchemaError
 
 SMALL = ML.EnsembleParams(num_trees=10, max_depth=4, hidden_layers=[8], max_iter=30)
 
@@ -39,7 +40,7 @@ def test_fit_predict_save_load(spark, scratch):
     again = ML.FittedEnsemble.load(spark, path)
     a = sorted(tuple(r) for r in pred.collect())
     b = sorted(tuple(r) for r in ML.predict(df.drop("label"), again).collect())
-    assert a == pytest.approx(b) if False else [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x[:2] for x in a] == [x[:2] for x in b]
     for x, y in zip(a, b):
         assert x[2:] == pytest.approx(y[2:])
 
@@ -53,6 +54,19 @@ def test_fit_job_report(spark):
     assert [r["n"] for r in rows if r["split"] == "valid"][0] == 40
 
 
+def test_fit_job_counts_replicates_once(spark):
+    df = toy(spark).withColumn("position", F.col("position") % 50)
+    _, report = J.fit(df, SMALL)
+    assert sum(r["n"] for r in report.collect() if r["model"] == "RandomForest") == 200
+
+
+def test_fit_job_rejects_unusable_input(spark):
+    with pytest.raises(SchemaError):
+        J.fit(toy(spark, 10).drop(S.FEATURES[3]), SMALL)
+    with pytest.raises(ValueError, match="no finite training row"):
+        ML.fit_ensemble(toy(spark, 10).where("position < 0"), params=SMALL)
+
+
 def test_predict_drops_non_finite(spark):
     df = toy(spark, 40)
     fitted = ML.fit_ensemble(df, params=SMALL)
