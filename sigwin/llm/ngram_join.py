@@ -8,6 +8,11 @@ different sets share one, they are joined through a prefix tree: a traversal sha
 overlaps of common beginnings and leaves a subtree when the words that remain can't
 reach the similarity, when its sizes don't fit, or when all in it are linked already.
 
+Whole sets travel only where a link is possible.  A set's mark counts its n-grams by hash
+range, about five to a range; two marks differ by no more than their sets do, so sets whose
+marks differ by more than the similarity allows can't link, and of the members of a group
+only those go to its tree that some mark fits.
+
 Copies are one node.  First each set is joined with one member (the hub) of each of
 its groups; groups that are not linked by that are joined in full, the members outside
 the largest component against all, in blocks of bounded size.  So a large group of near copies costs about its size, and no group is
@@ -42,6 +47,8 @@ SKETCH_CHUNK = 1 << 16
 #: Sets of a block, and n-grams of its sets together (one longer set is a block alone); a task holds two blocks.
 BLOCK = 64
 BLOCK_GRAMS = 1 << 17
+#: Fewest ranges of a mark.
+MARK_RANGES = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +71,40 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def mark_of(s: np.ndarray) -> bytes:
+    """Counts (up to 255) of the set's members by equal hash ranges, a power of two of them by its size."""
+    bits = (max(MARK_RANGES, 1 << max(len(s).bit_length() - 3, 0)) - 1).bit_length()
+    held = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(held, 255).astype(np.uint8).tobytes()
+
+
+def may_link(sizes: np.ndarray, marks: list[bytes], labels: np.ndarray, probe: np.ndarray,
+             percent: int) -> np.ndarray:
+    """Which sets may link with a probe of another label, or are such probes: no link is between others.
+
+    The counts differ by at most the size of the symmetric difference, also when cut off at
+    255 or added up to the ranges of a shorter mark.
+    """
+    keep = np.zeros(len(sizes), bool)
+    counts = [np.frombuffer(m, np.uint8).astype(np.int32) for m in marks]
+    width = np.array([len(m) for m in marks])
+    for w in np.unique(width):
+        # Two marks are compared at the width of the shorter one.
+        at = np.flatnonzero(width >= w)
+        level = np.stack([counts[i].reshape(w, -1).sum(axis=1) for i in at])
+        n = sizes[at]
+        for x in np.flatnonzero(probe[at]):
+            i = at[x]
+            fits = ((labels[at] != labels[i]) & ((width[at] == w) | (width[i] == w))
+                    & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])))
+            y = np.flatnonzero(fits)
+            gap = np.abs(level[y] - level[x]).sum(axis=1)
+            near = y[(100 + percent) * gap <= (100 - percent) * (n[y] + sizes[i])]
+            keep[at[near]] = True
+            keep[i] |= len(near) > 0
+    return keep
+
+
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
@@ -215,15 +256,15 @@ def _batches_of(rows: Iterator[tuple], schema: str, size: int = 20_000) -> Itera
 
 
 def document_nodes(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, node, n)`` for each row; the empty set has no node."""
-    schema = "doc_id long, node long, n long"
+    """``(doc_id, node, n, mark)`` for each row; the empty set has no node."""
+    schema = "doc_id long, node long, n long, mark binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
-                rows.append((doc_id, node_of(s) if len(s) else None, len(s)))
+                rows.append((doc_id, node_of(s) if len(s) else None, len(s), mark_of(s)))
             yield from _batches_of(iter(rows), schema)
 
     return docs.mapInArrow(run, schema)
@@ -272,9 +313,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return docs.join(broadcast_if_small(wanted), "doc_id").select("node", "text").mapInArrow(run, schema)
 
 
-def _joined(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Tree join of each cell: rows ``(key.., node, label, probe)`` and ``(node, members)`` -> ``(a, b)``."""
-    cells = stored(cells, "cells")
+def _possible(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``cells`` that may link within their cell, by ``marks`` ``(node, n, mark)``."""
+    columns = cells.columns
+    keys = [c for c in columns if c not in ("node", "label", "probe")]
+
+    def pick(rows: pa.Table) -> pa.Table:
+        sizes, labels, probe = (rows[c].to_numpy() for c in ("n", "label", "probe"))
+        keep = may_link(sizes, rows["mark"].to_pylist(), labels, probe, percent)
+        return rows.select(columns).filter(pa.array(keep))
+
+    return marks.join(broadcast_if_small(cells), "node").groupBy(*keys).applyInArrow(pick, cells.schema)
+
+
+def _joined(cells: DataFrame, docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """Tree join of each cell: rows ``(key.., node, label, probe)`` -> ``(a, b)``.
+
+    ``wanted`` has each node's size, mark and a document that holds its set.
+    """
+    cells = stored(_possible(stored(cells, "cells"), wanted.select("node", "n", "mark"), percent), "possible")
+    held = stored(wanted.join(cells.select("node").distinct(), "node").select("node", "doc_id"), "held")
+
     def join(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("node", "ascending")])
         nodes, labels, probe = (rows[c].to_pylist() for c in ("node", "label", "probe"))
@@ -284,6 +343,7 @@ def _joined(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                          "b": pa.array([y for _, y in found], pa.int64())})
 
     keys = [c for c in cells.columns if c not in ("node", "label", "probe")]
+    sets = _sets(docs, held, n)
     return sets.join(broadcast_if_small(cells), "node").groupBy(*keys).applyInArrow(join, "a long, b long")
 
 
@@ -332,10 +392,9 @@ def _labelled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """``(a, b)``: links between different nodes, enough to give their components."""
     groups = _groups(docs, n, percent)
-    wanted = groups.select("node").distinct().join(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    wanted = stored(wanted.where("doc_id IS NOT NULL"), "wanted")
-    sets = stored(_sets(docs, wanted, n), "sets", "uncompressed")
+    holders = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    holders = groups.select("node").distinct().join(holders, "node").where("doc_id IS NOT NULL")
+    wanted = stored(rows.join(holders, ["node", "doc_id"]).dropDuplicates(["node"]), "wanted")
 
     # A star around each group's hub: its members with the hub, if their sizes fit.
     spread = _labelled(groups, None)
@@ -343,7 +402,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     spokes = _parts(spread.where(fits & (F.col("node") != F.col("hub"))).select("hub", "node", "n").distinct())
     heads = spokes.select("hub", "part", F.col("hub").alias("node")).distinct()
     star = spokes.withColumn("probe", F.lit(False)).unionByName(heads.withColumn("probe", F.lit(True)))
-    found = stored(_joined(star.withColumn("label", F.col("node")), sets, percent), "star-links")
+    found = stored(_joined(star.withColumn("label", F.col("node")), docs, wanted, n, percent), "star-links")
     # Nodes linked with one hub are in one component: the label is the hub with most links.
     linked_hubs = found.groupBy(F.col("a").alias("hub")).agg(F.count(F.lit(1)).alias("size"))
     either = found.select("a", F.col("b").alias("node")).unionByName(found.select("a", F.col("a").alias("node")))
@@ -376,7 +435,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
                                      F.lit(True).alias("probe")))
     # A probe may be among the members of its cell: it is one set there.
     cells = cells.groupBy("group", "i", "j", "node").agg(F.min("label").alias("label"), F.max("probe").alias("probe"))
-    return found.unionByName(stored(_joined(cells, sets, percent), "tree-links"))
+    return found.unionByName(stored(_joined(cells, docs, wanted, n, percent), "tree-links"))
 
 
 def _blocks(sets: Column, grams: Column, most: int = 1) -> Column:

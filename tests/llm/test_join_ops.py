@@ -113,6 +113,34 @@ def test_tree_join_finds_all_links():
                 assert find(i) == find(j)
 
 
+def test_marks_lose_no_link_and_drop_strangers():
+    """Near copies of many sizes, full counters (equal high bits) among them, against every pair."""
+    rng = np.random.default_rng(3)
+    for percent in (60, 80, 85):
+        sets = []
+        for size in (1, 3, 15, 33, 100, 255, 256, 700, 3000):
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1)
+            if size == 700:
+                base >>= np.uint64(40)
+            for change in (0.0, 0.05, 0.1, 0.2, 0.5):
+                new = rng.integers(0, 1 << 63, size, dtype=np.uint64) >> np.uint64(40 if size == 700 else 0)
+                sets.append(np.unique(np.where(rng.random(size) < change, new, base)))
+                sets.append(np.unique(base[rng.random(size) >= change]))
+        sets = [s for s in sets if len(s)]
+        sizes, probe = np.array([len(s) for s in sets]), rng.random(len(sets)) < 0.4
+        labels = np.arange(len(sets))
+        keep = ngram_join.may_link(sizes, [ngram_join.mark_of(s) for s in sets], labels, probe, percent)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if i != j and probe[i] and ngram_join.linked(len(np.intersect1d(a, b)), len(a), len(b), percent):
+                    assert keep[i] and keep[j]
+        assert not ngram_join.may_link(sizes, [ngram_join.mark_of(s) for s in sets], labels * 0, probe, percent).any()
+    strangers = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) << np.uint64(1)) for _ in range(40)]
+    n = np.array([len(s) for s in strangers])
+    marks = [ngram_join.mark_of(s) for s in strangers]
+    assert not ngram_join.may_link(n, marks, np.arange(40), np.ones(40, bool), 80).any()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
