@@ -138,3 +138,11 @@ def predict(windows: DataFrame, fitted: FittedEnsemble, keep=("contig", "positio
     nn, rf = (F.coalesce(F.get(vector_to_array(p), F.lit(1)), F.lit(0.0)) for p in ("nn_prob", "rf_prob"))
     return out.select(*keep, nn.alias("NeuralNetwork_Prob"), rf.alias("RandomForest_Prob"),
                       ensemble_mean(nn, rf).alias("Combined_Prob"))
+
+
+def training_history(spark: SparkSession, fitted: FittedEnsemble) -> DataFrame:
+    """(iteration, objective) of a network just fitted; no rows for a loaded one, which has no summary.
+    At most ``max_iter`` + 1 rows."""
+    network = fitted.model.stages[-1]
+    values = network.summary().objectiveHistory if network.hasSummary else []
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "iteration int, objective double")
