@@ -100,7 +100,8 @@ def exact_medians(events: DataFrame, columns, ranges: int = 1024) -> DataFrame:
         vc = (events.where(F.col(c).isNotNull())
               .groupBy(*K, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt")))
         ranked = running_before(vc, "_v", ["_cnt"], by=K, descending=False, ranges=ranges)
-        nn = vc.groupBy(*K).agg(F.sum("_cnt").alias("_nn"))
+        # One row per site: broadcast, so that a site's values aren't brought together by key.
+        nn, _ = broadcast_if_small(vc.groupBy(*K).agg(F.sum("_cnt").alias("_nn")))
         pos = (F.col("_nn") - 1) * 0.5
         lo_k, hi_k = F.floor(pos), F.ceil(pos)
         hit = ranked.join(nn, K)
@@ -194,10 +195,12 @@ def clipped_mean(events: DataFrame, columns=S.CLIPPED_COLUMNS,
     return with_clipped_means(events, stats, columns, sigma, hot=hot).select(*K, *columns)
 
 
-def group_median(events: DataFrame) -> DataFrame:
-    """(contig, position, event_level_median, event_stdv_median, event_length_median)."""
-    return _keyed(events).groupBy(*K).agg(
-        *[F.median(src).alias(dst) for dst, src in S.MEDIAN_COLUMNS.items()])
+def group_median(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(contig, position, event_level_median, event_stdv_median, event_length_median).
+    Hot sites take the distributed medians, as in the cleaning."""
+    hot, _ = site_summary(events, hot_rows)
+    stats = site_statistics(events, tuple(S.MEDIAN_COLUMNS.values()), with_kmer=False, with_model=False, hot=hot)
+    return stats.select(*K, *[F.col(_med(src)).alias(dst) for dst, src in S.MEDIAN_COLUMNS.items()])
 
 
 def kmer_mode(events: DataFrame) -> DataFrame:

@@ -32,8 +32,10 @@ def _double(name: str) -> Column:
 
 
 def _long(name: str) -> Column:
-    # int() semantics: integral text only.
-    return F.col(name).try_cast(T.LongType()).alias(name)
+    # Whole numbers only, also written with a fraction of zero (``12.0``).
+    number = F.col(name).try_cast(T.DoubleType())
+    whole = F.when((F.rint(number) == number) & (F.abs(number) < 2.0 ** 53), number.try_cast(T.LongType()))
+    return F.coalesce(F.col(name).try_cast(T.LongType()), whole).alias(name)
 
 
 def _file_order() -> Column:

@@ -158,3 +158,11 @@ def test_small_large_missing_and_infinite_values(spark):
         row = run([1.0, float("nan"), 3.0])
         assert row["event_level_median"] == 2.0 and row["event_level_mean"] is None
         assert run([1.0, 2.0, float("inf")])["event_level_mean"] == 2.0
+
+
+def test_group_median_of_hot_sites_is_the_same(spark):
+    df = events_df(spark, ev([3.0, None, 1.0, 2.0, 2.0, 9.0], pos=1) + ev([4.0, 5.0], pos=2)
+                   + ev([None, None, None, None], pos=3))
+    plain, hot = (sorted((tuple(r) for r in C.group_median(df, hot_rows=n).collect()), key=str) for n in (None, 3))
+    assert plain == hot
+    assert {r[1]: r[2] for r in hot} == {1: 2.0, 2: 4.5, 3: None}

@@ -32,6 +32,13 @@ def test_read_events_tokens_and_drop(spark, scratch):
     assert rows[0]["ord"] < rows[1]["ord"]
 
 
+def test_whole_positions_with_a_zero_fraction(spark, scratch):
+    p = write(os.path.join(scratch, "pos.tsv"), EV_HEADER + "".join(
+        f"ENST1.1\t{x}\tGGACT\t+\t1\t1\t1\tX\t1\t2.0\t0\tz\n" for x in ("12.0", "7", "7.5", "inf", "9e99")))
+    got = [r["position"] for r in tsv.read_events(spark, p).orderBy("ord").collect()]
+    assert got == [12, 7, None, None, None]
+
+
 def test_read_events_missing_column(spark, scratch):
     p = write(os.path.join(scratch, "bad.tsv"), "contig\tposition\n a\t1\n")
     with pytest.raises(tsv.SchemaError):
