@@ -3,10 +3,11 @@
 A page is cut into blocks, each with its root-to-leaf tag path.  Text length and
 punctuation are aggregated per path and divided by the path's number of blocks; both
 ratios are smoothed along the page and fused to one weight for each block.  Paths
-whose mean weight reaches a threshold are content paths.  The main element is the
-deepest one that holds most of the content's weight; its blocks are returned but for
-those in elements that are named, by tag, class, id or role, as something other than
-article text, and those that are mostly link text.
+whose mean weight reaches a threshold are content paths.  Their blocks are returned, with
+the headings above them, the blocks of all main and article elements and the paragraphs
+and list items under the lowest element that holds all these, but for those in elements
+that are named, by tag, class, id or role, as something other than article text, and those
+that are mostly link text.
 
 Defined results: null or empty html gives the empty text; pages without any tags are
 one block; unclosed elements end where HTML ends them; very long pages are read whole;
@@ -56,11 +57,10 @@ NOT_ARTICLE_WORDS = frozenset(
 HEADER_WORDS = frozenset(("header", "head", "top", "banner"))
 MAIN = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、]")
-#: Fixed parameters: the smoothing kernel, the threshold as a part of the mean weight, the
-#: part of the weight that the main element holds, and the most link text of a kept block.
+#: Fixed parameters: the smoothing kernel, the threshold as a part of the mean weight, and the
+#: most link text of a kept block.
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 THRESHOLD = 0.35
-HOLDS = 0.75
 MOST_LINKS = 0.6
 
 
@@ -71,6 +71,7 @@ class Element:
     path: str
     out: bool
     main: bool = False
+    inside: bool = False
 
 
 @dataclass
@@ -164,7 +165,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             not_article = False
         own = tag + "".join(sorted("." + w for w in words if w)) if tag in BLOCK else ""
         elements.append(Element(tag, parent, elements[parent].path + ("/" + own if own else ""),
-                                elements[parent].out or not_article, main))
+                                elements[parent].out or not_article, main, inside_main or main))
         stack.append(len(elements) - 1)
         links += tag == "a"
         if tag in BLOCK:
@@ -175,8 +176,8 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
     return elements, [b for b in blocks if b.text]
 
 
-def path_weights(elements: list[Element], blocks: list[Block]) -> np.ndarray:
-    """For each block the fused, smoothed ratio of its tag path."""
+def path_weights(elements: list[Element], blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the fused ratios of its tag path: smoothed, and its own without its neighbours."""
     totals: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
     for b in blocks:
         plain = max(0, len(b.text) - b.linked)
@@ -185,7 +186,35 @@ def path_weights(elements: list[Element], blocks: list[Block]) -> np.ndarray:
     ratios = ratios[:, :2] / ratios[:, 2:]
     smooth = np.stack([np.convolve(np.pad(x, 2, mode="edge"), KERNEL, mode="valid") for x in ratios.T], 1)
     scale = np.maximum(smooth.max(0), 1e-9)
-    return np.sqrt((smooth[:, 0] / scale[0]) * ((smooth[:, 1] + 0.1) / (scale[1] + 0.1)))
+    fused, own = (np.sqrt((x[:, 0] / scale[0]) * ((x[:, 1] + 0.1) / (scale[1] + 0.1))) for x in (smooth, ratios))
+    return fused, own
+
+
+def headed(elements: list[Element], blocks: list[Block], chosen: np.ndarray) -> None:
+    """Choose each heading that has a chosen block before the next heading of its rank or above."""
+    below = [False] * 7
+    for i in range(len(blocks) - 1, -1, -1):
+        e = elements[blocks[i].element]
+        if e.tag in HEADINGS:
+            rank = int(e.tag[1])
+            chosen[i] = not e.out and (chosen[i] or below[rank])
+            # What is below this heading is not below another one of its rank.
+            below[rank:] = [False] * (7 - rank)
+            below[1:rank] = [x or bool(chosen[i]) for x in below[1:rank]]
+        elif chosen[i]:
+            below = [True] * 7
+
+
+def common_ancestor(elements: list[Element], of: list[int]) -> int:
+    """The lowest element that holds all of ``of``; parents come before their children."""
+    top = of[0] if of else 0
+    for e in of:
+        while e != top:
+            if e > top:
+                e = elements[e].parent
+            else:
+                top = elements[top].parent
+    return top
 
 
 def extract(source: str | None) -> str:
@@ -197,7 +226,7 @@ def extract(source: str | None) -> str:
     linked = np.array([b.linked > MOST_LINKS * len(b.text) for b in blocks])
     if (outside | linked).all():
         return ""
-    fused = path_weights(elements, blocks)
+    fused, own_ratio = path_weights(elements, blocks)
     size = np.array([len(b.text) for b in blocks], dtype=float)
     weight = np.where(outside | linked, 0.0, fused * size)
     by_path: dict[str, list] = defaultdict(list)
@@ -207,26 +236,19 @@ def extract(source: str | None) -> str:
     enough = THRESHOLD * float(np.average(fused, weights=np.maximum(weight, 1e-12)))
     content = {p for p, f in by_path.items() if np.mean(f) >= enough}
     chosen = np.array([w > 0 and elements[b.element].path in content for b, w in zip(blocks, weight, strict=True)])
-    held: dict[int, float] = defaultdict(float)
-    for b, w, c in zip(blocks, weight, chosen, strict=True):
-        e = b.element
-        while c and e >= 0:
-            held[e] += w
-            e = elements[e].parent
-    total = held[0]
-    mains = [e for e, w in held.items() if elements[e].main and w >= total / 2]
-    # The deepest main element, else the deepest that holds most of the weight; never a single block's own element.
-    most = [e for e, w in held.items() if w >= HOLDS * total and elements[e].tag not in ("p", "td", "li", "pre")
-            and elements[e].tag not in HEADINGS and (not elements[e].tag or elements[e].tag in BLOCK)]
-    top = max(mains) if mains else max(most, default=0)
+    marked = np.array([elements[b.element].inside for b in blocks]) & ~outside
+    # A short block beside the content has its weight from there: it is kept, but does not widen the main element.
+    sure = chosen & (own_ratio >= THRESHOLD * enough)
+    headed(elements, blocks, sure)
+    chosen |= sure
+    top = common_ancestor(elements, [b.element for b, c in zip(blocks, sure | marked, strict=True) if c])
     kept = []
-    for b, o, l, c in zip(blocks, outside, linked, chosen, strict=True):
+    for b, o, l, c, m in zip(blocks, outside, linked, chosen, marked, strict=True):
         e = b.element
         while e > top:
             e = elements[e].parent
-        # Inside a marked main element short paths such as headings stay too.
         own = elements[b.element].tag
-        if e == top and not o and not l and (c or mains or own in HEADINGS or own == "p" or own == "li"):
+        if e == top and not o and not l and (c or m or own in HEADINGS or own == "p" or own == "li"):
             kept.append(b.text)
     return "\n".join(kept)
 

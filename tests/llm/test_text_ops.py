@@ -176,6 +176,28 @@ def test_html():
     assert len(html_extract.extract("<article>" + "<p>some words, here.</p>" * 20_000)) == 20_000 * 18 - 1
 
 
+def paragraphs(name, n):
+    return "".join(f"<p>{name} {i}, long enough, with words and commas, to be content.</p>" for i in range(n))
+
+
+def lines(name, n):
+    return re.sub("</p>(?=<p>)", "\n", paragraphs(name, n)).replace("<p>", "").replace("</p>", "")
+
+
+def test_html_keeps_all_content_elements():
+    nav = "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>"
+    both = lines("A", 8) + "\n" + lines("B", 2)
+    for first, second in (("section", "section"), ("div", "div"), ("div", "section"), ("article", "article")):
+        page = f"<body>{nav}<{first}>{paragraphs('A', 8)}</{first}><{second}>{paragraphs('B', 2)}</{second}></body>"
+        assert html_extract.extract(page) == both
+    title = "<h1>The title</h1>"
+    two = f"<article>{paragraphs('A', 8)}</article><article>{paragraphs('B', 2)}</article>"
+    assert html_extract.extract(f"<body>{nav}<main>{title}{two}</main></body>") == "The title\n" + both
+    for inner in ("article", "div"):
+        page = f"<body>{nav}{title}<{inner}>{paragraphs('A', 8)}</{inner}><footer>(c), me, 2020.</footer></body>"
+        assert html_extract.extract(page) == "The title\n" + lines("A", 8)
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", PAGE, 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, text int")
