@@ -29,7 +29,7 @@ from sigwin.llm.common import map_rows
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is not markup.
 RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,18 +44,23 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th"
 SCOPE = frozenset(("table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "main", "body", "html", "form",
                    "aside", "nav", "header", "footer", "blockquote", "figure"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-NOT_ARTICLE_TAGS = frozenset("head nav aside footer form button select option fieldset legend dialog menu script "
-                             "style noscript template iframe object svg math canvas audio video search".split())
-#: Words of class, id and role that name parts of a page other than its article.
-NOT_ARTICLE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adslot sponsor sponsored promo promotion banner sidebar side "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead topbar toolbar comment comments "
-    "commentlist disqus replies reply discussion respond cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription "
-    "signup login widget pagination pager skip search searchbox form copyright legal disclaimer contentinfo "
-    "complementary dialog hidden toc tags outbrain taboola".split())
-HEADER_WORDS = frozenset(("header", "head", "top", "banner"))
-MAIN = frozenset(("article", "main"))
+NOT_ARTICLE_TAGS = frozenset("head button select option legend script style noscript template iframe object svg math "
+                             "canvas audio video".split())
+#: Elements that are no part of an article, but may wrap the whole page.
+WRAPPERS = frozenset(("nav", "aside", "footer", "form", "fieldset", "dialog", "menu", "search"))
+#: Whole names in class, id and role of parts of a page other than its article.
+NOT_ARTICLE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adslot ad-slot ad-banner ad-container ad-wrapper google-ad "
+    "sponsor sponsored promo banner sidebar side-bar left-sidebar right-sidebar sidebar-left sidebar-right "
+    "nav navbar nav-bar navigation nav-menu main-nav main-menu main-navigation site-nav site-navigation menu menubar "
+    "breadcrumb breadcrumbs footer site-footer page-footer masthead topbar top-bar toolbar "
+    "comment comments commentlist comment-list comments-area comments-section comment-form disqus disqus_thread replies "
+    "respond cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr popup modal overlay "
+    "share sharing share-buttons social social-share social-links social-media related related-posts related-articles "
+    "related-links recommended recommendations newsletter newsletter-signup subscribe subscription signup sign-up login "
+    "widget widget-area pagination pager skip-link search searchbox search-box search-form searchform copyright "
+    "contentinfo complementary dialog hidden toc tags skip side promotion outbrain taboola".split())
+HEADER_NAMES = frozenset(("header", "site-header", "banner"))
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、]")
 #: Fixed parameters: the smoothing kernel, the threshold as a part of the mean weight, and the
 #: most link text of a kept block.
@@ -66,12 +71,15 @@ MOST_LINKS = 0.6
 
 @dataclass
 class Element:
+    """``main`` is 3 for main elements, 2 for articles, 1 for what is named main; ``inside`` the most of all around."""
+
     tag: str
     parent: int
     path: str
     out: bool
-    main: bool = False
-    inside: bool = False
+    main: int = 0
+    inside: int = 0
+    named: bool = False
 
 
 @dataclass
@@ -82,16 +90,20 @@ class Block:
     text: str = ""
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words, hidden = set(), False
+def _names(attributes: str) -> tuple[set[str], set[str], set[str], bool]:
+    """The names in class, id and role, and whether the element is hidden."""
+    names: dict[str, set[str]] = {"class": set(), "id": set(), "role": set()}
+    hidden, seen = False, set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("hidden", "aria-hidden"):
-            hidden = hidden or name == "hidden" or value == "true"
+        if name in seen:  # of an attribute given twice the first counts
+            continue
+        seen.add(name)
+        if name in names:
+            names[name].update(value.split())
         else:
-            words.update(re.split(r"[^a-z]+", value))
-    return words, hidden
+            hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.strip() == "true")
+    return names["class"], names["id"], names["role"], hidden
 
 
 def parse(source: str) -> tuple[list[Element], list[Block]]:
@@ -155,17 +167,18 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
                         break
                     if open_tag in SCOPE:
                         break
-        words, hidden = _names(attributes) if attributes.strip() else (set(), False)
+        classes, ids, roles, hidden = _names(attributes) if attributes.strip() else (set(), set(), set(), False)
         parent = stack[-1]
-        inside_main = any(elements[e].main for e in stack)
-        main = (tag in MAIN or "main" in words) and not elements[parent].out
-        not_article = (tag in NOT_ARTICLE_TAGS or hidden or (not main and bool(words & NOT_ARTICLE_WORDS))
-                       or (not inside_main and not main and (tag == "header" or bool(words & HEADER_WORDS))))
-        if tag in ("html", "body"):
-            not_article = False
-        own = tag + "".join(sorted("." + w for w in words if w)) if tag in BLOCK else ""
+        # A heading's id is an anchor made of its text.
+        names = classes | roles | (ids if tag not in HEADINGS else set())
+        inside_main = elements[parent].inside
+        page = tag in ("html", "body")
+        main = 0 if page else 3 if tag == "main" or "main" in roles else 2 if tag == "article" else int("main" in names)
+        named = not page and (hidden or tag in WRAPPERS or (not main and bool(names & NOT_ARTICLE_NAMES)) or (
+            not inside_main and not main and (tag == "header" or bool(names & HEADER_NAMES))))
+        own = tag + "".join(sorted("." + w for w in names)) if tag in BLOCK else ""
         elements.append(Element(tag, parent, elements[parent].path + ("/" + own if own else ""),
-                                elements[parent].out or not_article, main, inside_main or main))
+                                elements[parent].out or tag in NOT_ARTICLE_TAGS, main, max(inside_main, main), named))
         stack.append(len(elements) - 1)
         links += tag == "a"
         if tag in BLOCK:
@@ -190,6 +203,32 @@ def path_weights(elements: list[Element], blocks: list[Block]) -> tuple[np.ndarr
     return fused, own
 
 
+def judge_names(elements: list[Element], blocks: list[Block], weight: np.ndarray) -> None:
+    """Take named elements and all in them out, but for those that wrap the page's main text.
+
+    These are the elements that hold a main element, or most of the weight of the articles
+    outside any named element; without such articles, most of all the weight.
+    """
+    free = [False] * len(elements)  # under an article that is in no named element
+    under = [False] * len(elements)  # under a named element
+    for i, e in enumerate(elements):
+        under[i] = e.named or (i > 0 and under[e.parent])
+        free[i] = not under[i] and (e.main > 1 or (i > 0 and free[e.parent]))
+    articles = np.array([free[b.element] for b in blocks])
+    core = np.where(articles, weight, 0.0) if (articles & (weight > 0)).any() else weight
+    held = [0.0] * len(elements)
+    wraps = [False] * len(elements)
+    for b, w in zip(blocks, core, strict=True):
+        held[b.element] += w
+    for i in range(len(elements) - 1, 0, -1):
+        e = elements[i]
+        held[e.parent] += held[i]
+        wraps[e.parent] |= wraps[i] or (e.main == 3 and held[i] > 0)
+    for i, e in enumerate(elements[1:], 1):
+        e.out |= elements[e.parent].out or (e.named and not wraps[i] and held[i] * 2 <= held[0])
+        e.inside = 0 if e.out else e.inside
+
+
 def headed(elements: list[Element], blocks: list[Block], chosen: np.ndarray) -> None:
     """Choose each heading that has a chosen block before the next heading of its rank or above."""
     below = [False] * 7
@@ -222,12 +261,14 @@ def extract(source: str | None) -> str:
     elements, blocks = parse(source or "")
     if not blocks:
         return ""
-    outside = np.array([elements[b.element].out for b in blocks])
     linked = np.array([b.linked > MOST_LINKS * len(b.text) for b in blocks])
-    if (outside | linked).all():
-        return ""
     fused, own_ratio = path_weights(elements, blocks)
     size = np.array([len(b.text) for b in blocks], dtype=float)
+    outside = np.array([elements[b.element].out for b in blocks])
+    judge_names(elements, blocks, np.where(outside | linked, 0.0, fused * size))
+    outside = np.array([elements[b.element].out for b in blocks])
+    if (outside | linked).all():
+        return ""
     weight = np.where(outside | linked, 0.0, fused * size)
     by_path: dict[str, list] = defaultdict(list)
     for b, w, f in zip(blocks, weight, fused, strict=True):
@@ -236,7 +277,9 @@ def extract(source: str | None) -> str:
     enough = THRESHOLD * float(np.average(fused, weights=np.maximum(weight, 1e-12)))
     content = {p for p, f in by_path.items() if np.mean(f) >= enough}
     chosen = np.array([w > 0 and elements[b.element].path in content for b, w in zip(blocks, weight, strict=True)])
-    marked = np.array([elements[b.element].inside for b in blocks]) & ~outside
+    # A class or id "main" counts on pages without main and article elements.
+    inside = np.array([elements[b.element].inside for b in blocks])
+    marked = inside >= max(1, min(2, inside.max()))
     # A short block beside the content has its weight from there: it is kept, but does not widen the main element.
     sure = chosen & (own_ratio >= THRESHOLD * enough)
     headed(elements, blocks, sure)

@@ -198,6 +198,33 @@ def test_html_keeps_all_content_elements():
         assert html_extract.extract(page) == "The title\n" + lines("A", 8)
 
 
+def test_html_names_are_whole():
+    text, want = paragraphs("A", 6), lines("A", 6)
+    for attributes in ('style="overflow:hidden"', 'data-hidden="false"', 'title="The hidden cost"', 'aria-hidden="false"',
+                       'class="overflow-hidden"', 'class="no-sidebar x"', "class='has-sidebar'", "class=legal-form",
+                       'id="top"', 'id="related-work"', 'id="discussion"', 'data-class="ad"', 'data-x="a" title=" class=ad "'):
+        for page in (f"<div {attributes}><article>{text}</article></div>", f"<div {attributes}>{text}</div>",
+                     f"<article>{paragraphs('B', 20)}<section {attributes}>{text}</section></article>"):
+            assert html_extract.extract(f"<body>{page}</body>").endswith(want), (attributes, page[:80])
+    page = f'<article>{text}<h2 id="related">Related work</h2>{text}<h2 id="comments">Comments</h2>{text}</article>'
+    assert html_extract.extract(page) == f"{want}\nRelated work\n{want}\nComments\n{want}"
+
+
+def test_html_wrappers_are_not_out():
+    text, want = paragraphs("A", 6), lines("A", 6)
+    other = "<p>Other text, of the page, that is outside, of it.</p>"
+    for wrapper in ("form", "div class=widget", "div class='modal x'", "div hidden", "aside", "div aria-hidden=true"):
+        end = wrapper.split()[0]
+        assert html_extract.extract(f"<body><{wrapper}>{text}</{end}></body>") == want
+        for main in ("main", "div role=main"):
+            page = f"<body><{wrapper}><{main}>{text}</{main.split()[0]}></{end}></body>"
+            assert html_extract.extract(page) == want
+        # Beside an article the same element is something else, also if it is longer.
+        page = f"<body><article>{text}</article><{wrapper}>{other * 20}</{end}></body>"
+        assert html_extract.extract(page) == want
+        assert html_extract.extract(f"<article>{text}<{wrapper}>{other}</{end}</article>") == want
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", PAGE, 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, text int")
