@@ -32,6 +32,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is not markup.
 RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -134,7 +135,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             if links:
                 blocks[-1].linked += len(text)
 
-    at, lowered = 0, None
+    at = 0
     for m in iter(lambda: TAG.search(source, at), None):
         add(html.unescape(source[at:m.start()]))
         at = m.end()
@@ -147,9 +148,8 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
                 pop(where)
             continue
         if tag in RAW:
-            lowered = source.lower() if lowered is None else lowered
-            end = lowered.find(f"</{tag}", at)
-            close = source.find(">", end) if end >= 0 else -1
+            end = RAW_END[tag].search(source, at)
+            close = source.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else len(source)
             continue
         if tag in VOID:

@@ -225,6 +225,14 @@ def test_html_wrappers_are_not_out():
         assert html_extract.extract(f"<article>{text}<{wrapper}>{other}</{end}</article>") == want
 
 
+def test_html_raw_elements_end_where_they_do():
+    text, want = paragraphs("A", 3), lines("A", 3)
+    for raw in ("<script>a</SCRIPT>", "<style>a</style >", "<script>'</scripted>'</script\n>"):
+        for n in (1, 7, 60, 2000):  # lower() makes each of these letters two
+            page = f"<article><p>{'\u0130' * n} il, bu.</p>{raw}{text}{raw}{text}</article>"
+            assert html_extract.extract(page) == f"{'\u0130' * n} il, bu.\n{want}\n{want}"
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", PAGE, 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, text int")
