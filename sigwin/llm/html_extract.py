@@ -3,11 +3,17 @@
 A page is cut into blocks, each with its root-to-leaf tag path.  Text length and
 punctuation are aggregated per path and divided by the path's number of blocks; both
 ratios are smoothed along the page and fused to one weight for each block.  Paths
-whose mean weight reaches a threshold are content paths.  Their blocks are returned, with
-the headings above them, the blocks of all main and article elements and the paragraphs
-and list items under the lowest element that holds all these, but for those in elements
-that are named, by tag, class, id or role, as something other than article text, and those
-that are mostly link text.
+whose mean weight reaches a threshold are content paths, and their blocks are returned.
+The threshold is overridden for
+
+* the blocks of main and article elements, which all stay;
+* headings, which stay if a block below them does;
+* paragraphs with sentences (by their path's own means) and lists with text, under the lowest
+  element that holds all content paths, main and article elements;
+* blocks of mostly link text, which go if their path, or list, is mostly link text too and
+  they are in no main or article element;
+* elements that are named, by tag, class, id or role, as something other than article text
+  or are hidden, which go unless they wrap the page's main text.
 
 Defined results: null or empty html gives the empty text; pages without any tags are
 one block; unclosed elements end where HTML ends them; very long pages are read whole;
@@ -68,6 +74,8 @@ PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、]")
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 THRESHOLD = 0.35
 MOST_LINKS = 0.6
+#: Characters without links that a path's paragraphs or lists have on average to be prose.
+PROSE = 40
 
 
 @dataclass
@@ -203,6 +211,35 @@ def path_weights(elements: list[Element], blocks: list[Block]) -> tuple[np.ndarr
     return fused, own
 
 
+@dataclass
+class PathTotal:
+    """``linked``: mostly link text.  ``prose``: paragraphs with sentences, or lists with text, by the path's mean."""
+
+    linked: bool
+    prose: bool
+
+
+def path_totals(elements: list[Element], blocks: list[Block]) -> list[PathTotal]:
+    """For each block what its path is in itself, however long other blocks are; each list is one unit by itself."""
+    def key(b: Block) -> tuple[str, int]:
+        e = elements[b.element]
+        return e.path, e.parent if e.tag == "li" else -1
+
+    by_path: dict[tuple[str, int], list[Block]] = defaultdict(list)
+    for b in blocks:
+        by_path[key(b)].append(b)
+    out = {}
+    for path, own in by_path.items():
+        size, linked = sum(len(b.text) for b in own), sum(b.linked for b in own)
+        if elements[own[0].element].tag == "li":
+            prose = size - linked >= PROSE
+        else:
+            prose = (elements[own[0].element].tag == "p" and size - linked >= PROSE * len(own)
+                     and sum(len(PUNCTUATION.findall(b.text)) for b in own) >= len(own))
+        out[path] = PathTotal(linked > MOST_LINKS * size, prose)
+    return [out[key(b)] for b in blocks]
+
+
 def judge_names(elements: list[Element], blocks: list[Block], weight: np.ndarray) -> None:
     """Take named elements and all in them out, but for those that wrap the page's main text.
 
@@ -218,12 +255,16 @@ def judge_names(elements: list[Element], blocks: list[Block], weight: np.ndarray
     core = np.where(articles, weight, 0.0) if (articles & (weight > 0)).any() else weight
     held = [0.0] * len(elements)
     wraps = [False] * len(elements)
-    for b, w in zip(blocks, core, strict=True):
+    filled = [False] * len(elements)
+    for b, w, any_w in zip(blocks, core, weight, strict=True):
         held[b.element] += w
+        filled[b.element] |= bool(any_w > 0)
     for i in range(len(elements) - 1, 0, -1):
         e = elements[i]
         held[e.parent] += held[i]
-        wraps[e.parent] |= wraps[i] or (e.main == 3 and held[i] > 0)
+        filled[e.parent] |= filled[i]
+        wraps[i] |= e.main == 3 and filled[i]
+        wraps[e.parent] |= wraps[i]
     for i, e in enumerate(elements[1:], 1):
         e.out |= elements[e.parent].out or (e.named and not wraps[i] and held[i] * 2 <= held[0])
         e.inside = 0 if e.out else e.inside
@@ -261,15 +302,20 @@ def extract(source: str | None) -> str:
     elements, blocks = parse(source or "")
     if not blocks:
         return ""
-    linked = np.array([b.linked > MOST_LINKS * len(b.text) for b in blocks])
     fused, own_ratio = path_weights(elements, blocks)
+    totals = path_totals(elements, blocks)
+    link = np.array([b.linked > MOST_LINKS * len(b.text) and t.linked for b, t in zip(blocks, totals, strict=True)])
     size = np.array([len(b.text) for b in blocks], dtype=float)
     outside = np.array([elements[b.element].out for b in blocks])
-    judge_names(elements, blocks, np.where(outside | linked, 0.0, fused * size))
+    judge_names(elements, blocks, np.where(outside | link, 0.0, fused * size))
     outside = np.array([elements[b.element].out for b in blocks])
-    if (outside | linked).all():
+    # A class or id "main" counts on pages without main and article elements.
+    inside = np.array([elements[b.element].inside for b in blocks])
+    marked = inside >= max(1, min(2, inside.max()))
+    link &= ~marked
+    if (outside | link).all():
         return ""
-    weight = np.where(outside | linked, 0.0, fused * size)
+    weight = np.where(outside | link, 0.0, fused * size)
     by_path: dict[str, list] = defaultdict(list)
     for b, w, f in zip(blocks, weight, fused, strict=True):
         if w:
@@ -277,23 +323,19 @@ def extract(source: str | None) -> str:
     enough = THRESHOLD * float(np.average(fused, weights=np.maximum(weight, 1e-12)))
     content = {p for p, f in by_path.items() if np.mean(f) >= enough}
     chosen = np.array([w > 0 and elements[b.element].path in content for b, w in zip(blocks, weight, strict=True)])
-    # A class or id "main" counts on pages without main and article elements.
-    inside = np.array([elements[b.element].inside for b in blocks])
-    marked = inside >= max(1, min(2, inside.max()))
     # A short block beside the content has its weight from there: it is kept, but does not widen the main element.
     sure = chosen & (own_ratio >= THRESHOLD * enough)
     headed(elements, blocks, sure)
     chosen |= sure
     top = common_ancestor(elements, [b.element for b, c in zip(blocks, sure | marked, strict=True) if c])
-    kept = []
-    for b, o, l, c, m in zip(blocks, outside, linked, chosen, marked, strict=True):
+    kept = np.zeros(len(blocks), dtype=bool)
+    for i, b in enumerate(blocks):
         e = b.element
         while e > top:
             e = elements[e].parent
-        own = elements[b.element].tag
-        if e == top and not o and not l and (c or m or own in HEADINGS or own == "p" or own == "li"):
-            kept.append(b.text)
-    return "\n".join(kept)
+        kept[i] = e == top and not outside[i] and not link[i] and (chosen[i] or marked[i] or totals[i].prose)
+    headed(elements, blocks, kept)
+    return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def _report(page_id: list, url: list, source: list) -> dict:

@@ -233,6 +233,33 @@ def test_html_raw_elements_end_where_they_do():
             assert html_extract.extract(page) == f"{'\u0130' * n} il, bu.\n{want}\n{want}"
 
 
+def test_html_links_of_the_article_stay():
+    text, want = paragraphs("A", 6), lines("A", 6)
+    links = "<ul><li><a href=a>First link, of a list</a><li><a href=b>Second link</a></ul>"
+    page = f"<article><h1><a href=x>A linked title</a></h1>{text}{links}</article>"
+    assert html_extract.extract(f"<body>{links}{page}{links}</body>") == (
+        f"A linked title\n{want}\nFirst link, of a list\nSecond link")
+    # Without an article: a linked heading and a linked item among others stay, a list of links goes.
+    some = "<ul><li>One item, with some words<li><a href=a>Linked item</a><li>Other item, with more words</ul>"
+    page = f"<body><div>{text}<h2><a href=x>Linked head</a></h2>{text}{some}</div><div>{links}</div></body>"
+    assert html_extract.extract(page) == (
+        f"{want}\nLinked head\n{want}\nOne item, with some words\nLinked item\nOther item, with more words")
+
+
+def test_html_threshold_decides():
+    text, want = paragraphs("A", 8), lines("A", 8)
+    for poor in ("<p>Sign up</p>", "<div>Sign up</div>", "<ul><li>Up</ul>", "<h3>Popular</h3>"):
+        page = f"<body><div class=a>{text}</div><div class=x>{poor * 9}</div><div class=b>{text}</div></body>"
+        got = html_extract.extract(page).split("\n")
+        assert len(got) < 16 + 9 and [g for g in got if g.startswith("A")] == 2 * want.split("\n"), poor
+    # Paragraphs with sentences and lists stay however long the rest is; a list's items count together.
+    short = "<p>A short paragraph, as in a talk. It has two sentences.</p>" * 9
+    items = "<ul>" + "".join(f"<li>item {i}" for i in range(9)) + "</ul>"
+    page = f"<div><section class=a>{short}</section>{paragraphs('A', 400)}{'word, ' * 20_000}{items}</div>"
+    got = html_extract.extract(page).split("\n")
+    assert len(got) == 9 + 401 + 9 and got[-1] == "item 8"
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", PAGE, 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, text int")
