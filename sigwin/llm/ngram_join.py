@@ -256,15 +256,15 @@ def _batches_of(rows: Iterator[tuple], schema: str, size: int = 20_000) -> Itera
 
 
 def document_nodes(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, node, n, mark)`` for each row; the empty set has no node."""
-    schema = "doc_id long, node long, n long, mark binary"
+    """``(doc_id, node, n, mark, key)`` for each row of ``(doc_id, text, key)``; the empty set has no node."""
+    schema = "doc_id long, node long, n long, mark binary, key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = shingles(text, n)
-                rows.append((doc_id, node_of(s) if len(s) else None, len(s), mark_of(s)))
+                rows.append((doc_id, node_of(s) if len(s) else None, len(s), mark_of(s), key))
             yield from _batches_of(iter(rows), schema)
 
     return docs.mapInArrow(run, schema)
@@ -298,19 +298,23 @@ def _filed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFra
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``(node, members)`` of the wanted ``(node, doc_id)`` pairs; a repeated doc_id may repeat its node."""
+    """``(node, members)`` of the wanted ``(node, key)`` pairs; a repeated key may repeat its node, once a task."""
     schema = "node long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches):
             rows = []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if node in seen:
+                    continue
                 s = shingles(text, n)
                 if len(s) and node_of(s) == node:
+                    seen.add(node)
                     rows.append((node, s.tobytes()))
             yield from _batches_of(iter(rows), schema, 2_000)
 
-    return docs.join(broadcast_if_small(wanted), "doc_id").select("node", "text").mapInArrow(run, schema)
+    return docs.join(broadcast_if_small(wanted), "key").select("node", "text").mapInArrow(run, schema)
 
 
 def _possible(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -329,10 +333,10 @@ def _possible(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 def _joined(cells: DataFrame, docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
     """Tree join of each cell: rows ``(key.., node, label, probe)`` -> ``(a, b)``.
 
-    ``wanted`` has each node's size, mark and a document that holds its set.
+    ``wanted`` has each node's size, mark and the key of a document that holds its set.
     """
     cells = stored(_possible(stored(cells, "cells"), wanted.select("node", "n", "mark"), percent), "possible")
-    held = stored(wanted.join(cells.select("node").distinct(), "node").select("node", "doc_id"), "held")
+    held = stored(wanted.join(cells.select("node").distinct(), "node").select("node", "key"), "held")
 
     def join(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("node", "ascending")])
@@ -392,9 +396,13 @@ def _labelled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """``(a, b)``: links between different nodes, enough to give their components."""
     groups = _groups(docs, n, percent)
-    holders = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    holders = groups.select("node").distinct().join(holders, "node").where("doc_id IS NOT NULL")
-    wanted = stored(rows.join(holders, ["node", "doc_id"]).dropDuplicates(["node"]), "wanted")
+    holders = rows.where("node IS NOT NULL").groupBy("node").agg(
+        F.coalesce(F.min("doc_id"), F.min("key")).alias("key"))
+    holders = groups.select("node").distinct().join(holders, "node")
+    # Rows without doc_id that are copies have one key: one of them is enough.
+    nameless = rows.where("node IS NOT NULL AND doc_id IS NULL").dropDuplicates(["node", "key"])
+    named = rows.where("doc_id IS NOT NULL").unionByName(nameless)
+    wanted = stored(named.join(holders, ["node", "key"]).dropDuplicates(["node"]), "wanted")
 
     # A star around each group's hub: its members with the hub, if their sizes fit.
     spread = _labelled(groups, None)
@@ -453,6 +461,8 @@ def _parts(spokes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # A row's text is fetched again by its key: the doc_id, or without one the text's hash.
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     rows = stored(document_nodes(docs, n), "nodes")
     known = components(links(docs, rows, n, percent))
     # Each node's smallest doc_id, and of these the smallest of the component.

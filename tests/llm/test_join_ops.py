@@ -53,6 +53,18 @@ def test_ngram_join_edges(docs, no_docs):
     assert kept.columns == docs.columns
 
 
+def test_ngram_join_links_through_texts_without_id(spark):
+    """A chain whose inner texts have no doc_id, one of them twice; its ends don't link with each other."""
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[i:i + 60]) for i in range(0, 25, 4)]
+    ids = [7, None, None, 3, None, None, 9]
+    rows = list(zip(ids, chain, strict=True)) + [(None, chain[1]), (None, chain[1].upper()), (None, None), (20, "x y")]
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "chain")
+    want = _brute(rows, 4, 85)
+    assert [x for x in want if x[0] in (3, 7, 9)] == [(3, 57, 3), (7, 57, 3), (9, 57, 3)]
+    assert _got(df, 4, 85) == want
+
+
 @pytest.mark.parametrize("percent,block,grams", [(85, 4, 1 << 17), (60, 64, 300), (60, 64, 1 << 17)])
 def test_ngram_join_is_brute_force(spark, monkeypatch, percent, block, grams):
     """Chains, near copies, a passage that many share, copies; small blocks (by sets or n-grams) make many cells."""
