@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from sigwin.llm.common import ascii_lower
 
-TOKEN = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
+#: What the rules' patterns take as a border: a token is what a word between two borders is.
+BORDER = "[^a-z0-9]"
 
 
 @dataclass(frozen=True)
@@ -37,14 +38,14 @@ class Rule:
 def host_rule(verdict: str, rule: str) -> Rule:
     """``rule`` is host and path, as in ``example.net/en/``; it fits subdomains; longer ones win."""
     host, _, path = rule.partition("/")
-    tokens = [t for t in re.split("[^a-z0-9]+", host) if t]
+    tokens = [t for t in re.split(f"{BORDER}+", host) if t]
     # A path need not end where a token ends, so only the host's tokens are sure literals.
     return Rule(rule, verdict, f"^(?:[^/]*\\.)?{re.escape(host)}\\n/{re.escape(path)}", tuple(tokens), 1000 + len(rule))
 
 
 def word_rule(word: str) -> Rule:
     """Block a URL that has ``word`` as a whole token of its host or path."""
-    return Rule(None, "block", f"(?:^|[^a-z0-9]){word}(?:$|[^a-z0-9])", (word,), len(word))
+    return Rule(None, "block", f"(?:^|{BORDER}){word}(?:$|{BORDER})", (word,), len(word))
 
 
 #: Fixed values of the contract.
@@ -76,7 +77,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     # Host and path are kept apart by a line feed, so that a host's pattern ends with the host.
     parsed = parsed.withColumn("_subject", F.concat_ws("\n", "host", "path"))
-    return parsed.withColumn("_tokens", F.array_distinct(F.split(ascii_lower(F.col("_subject")), TOKEN)))
+    return parsed.withColumn("_tokens", F.array_distinct(F.split(F.col("_subject"), f"{BORDER}+")))
 
 
 def rule_index(parsed: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,20 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_borders_are_those_of_the_sql(spark):
+    urls = [f"http://{host}/{path}" for host in ("h.org", "ads.org", "éads.org", "xads.org", "Ads.org", "a.éNET")
+            for path in ("", "Xads/", "éads/", "adsX", "xads/", "Casino/", "POKER", "pokeR", "a/ads", "ads2", "日ads本", "de/ads")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(map(tuple, url_filter.judge_urls(pages).collect()), key=lambda r: r[0])
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+        con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+        want = sorted(con.execute(url_filter.oracle_sql()).fetchall(), key=lambda r: r[0])
+    assert got == want
+    verdicts = {urls[r[0]]: r[4] for r in got}
+    assert verdicts["http://h.org/Xads/"] == verdicts["http://h.org/éads/"] == "block"
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>x="<p>no</p>"</script></head><body>
 <header><h2>Site name</h2></header><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies, really; please agree to all of them now.</p></div>
