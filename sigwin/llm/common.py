@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sigwin.session import ensure_checkpoint_dir
 
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder under the session's ``spark.checkpoint.dir``, which all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +36,14 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def fresh_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted`` names, with as many underscores before all of them as keep them apart from ``taken``."""
+    lower, mark = {t.lower() for t in taken}, "_"
+    while any((mark + w).lower() in lower for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,6 +107,16 @@ def added_up(partial: DataFrame, schema: str, add: Callable[[Iterator[pa.RecordB
     return partial
 
 
+def matrix(lists: pa.ListArray, width: int, dtype: type) -> np.ndarray:
+    """A list column as a matrix of ``width`` columns; shorter lists are padded with zeros."""
+    out = np.zeros((len(lists), width), dtype)
+    sizes = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(lists)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row, at] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def map_rows(df: DataFrame, schema: str, function: Callable[..., dict]) -> DataFrame:
     """``mapInArrow`` over the rows of ``df``, batch by batch.
 

@@ -14,11 +14,14 @@ from sigwin.llm import (
     html_extract,
     license_scan,
     mixing,
+    nearest,
     ngram_join,
     quality,
+    resampling,
     token_files,
     topk,
     url_filter,
+    vector_codes,
 )
 from sigwin.llm.common import table
 
@@ -64,16 +67,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_token_files, op3_ngram_join, op4_quality, op5_mix, op6_url_filter,
-                            op7_topk, op8_licenses, op9_exact_dedup, op10_byte_bpe, pipeline)
+                            op7_topk, op8_licenses, op9_exact_dedup, op10_byte_bpe, op11_resampling,
+                            op12_vector_codes, op13_nearest, pipeline)
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": url_filter.oracle_sql(),
     "op7_topk": topk.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_resampling": resampling.oracle_sql(),
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_nearest": nearest.ORACLE,
 }
