@@ -86,6 +86,12 @@ def focal_loss_terms(label, z0, z1, alpha: float = 1.0, gamma: float = 2.0) -> C
     return F.lit(float(alpha)) * F.pow(F.lit(1.0) - pt, F.lit(float(gamma))) * ce
 
 
+def bit_is_set(bits: Column, at: Column) -> Column:
+    """Whether bit ``at`` of a bitmap (``bitmap_construct_agg``) is set; NULL without a bitmap."""
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
 def shuffle_key(*cols, seed: int = SHUFFLE_SEED) -> Column:
     """Reproducible permutation key: md5 of the row key and the seed.  Equal in
     Spark and DuckDB, and independent of partitioning (unlike rand(seed))."""

@@ -11,21 +11,17 @@ Per site and column:
 * ``diff_stdv = (clipped event_stdv - model_stdv) / model_stdv`` (NULL on a
   zero divisor)
 
-Plan: two keyed aggregates, both combined map side, and no shuffle of raw
-events when the per-site statistics fit a checked broadcast:
-
-    events -> partial agg -> Exchange -> final agg (median, std, mode, first)
-    events -> BroadcastHashJoin(stats) -> partial agg -> Exchange -> final agg
-
-A position holding a third of all events must not land in one task.  A
-first cheap pass counts events per site; sites above ``hot_rows`` events
-(a set of at most total/hot_rows keys, count-checked and broadcast) take a
-separate exact path: their medians come from a (value, count) aggregate and
-range-bucketed running counts (``metrics.running_before``), so no task holds
-more than one range of one site's distinct values, and their raw rows meet
-their statistics through a broadcast join.  Ordinary sites use the built-in
-median aggregate and, when the statistics are too many to broadcast, a
-shuffle join in which every key is small.
+Plan: at most five scans of the events, and one path for all sites.
+
+    1.   events -> partial agg -> Exchange -> final agg (counts, std, mode, first)
+    2-4. events -> digit counts -> Exchange -> middle digits      (operators.medians)
+    5.   events -> join(median, std) -> partial agg -> Exchange -> final agg (clipped means)
+
+All aggregates are combined map side.  The joins broadcast the per-site table if its
+bytes allow (``sigwin.broadcast.maxBytes``); beyond that they are shuffle joins whose
+per-site side has one row a site, so that AQE can split the events of a site that holds
+a third of all.  The medians come from counts of digits: no buffer holds the values of
+a site, however many it has.
 """
 
 from __future__ import annotations
@@ -35,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sigwin import schemas as S
 from sigwin.operators.joins import broadcast_if_small
-from sigwin.operators.joins import max_broadcast_rows as max_rows_for
+from sigwin.operators.medians import exact_medians
 
 K = S.KEYS
 CLIP_SIGMA = 3.0
@@ -60,92 +56,21 @@ def _nn(c: str) -> str:
     return f"_nn_{c}"
 
 
-DEFAULT_HOT_ROWS = 1_000_000
-
-
-def hot_rows_threshold(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("sigwin.clean.hotRows", None)
-    return int(conf) if conf else DEFAULT_HOT_ROWS
-
-
-def site_summary(events: DataFrame, hot_rows: int | None = None
-                 ) -> tuple[DataFrame | None, int]:
-    """One counting job over the keys: (hot site keys or None, number of
-    sites).  Hot sites have more than ``hot_rows`` events; there are at most
-    total / hot_rows of them, so their keys are broadcast (count-checked)."""
-    limit = hot_rows_threshold(events) if hot_rows is None else hot_rows
-    sizes = _keyed(events).groupBy(*K).agg(F.count(F.lit(1)).alias("_rows"))
-    row = sizes.agg(F.count(F.lit(1)).alias("sites"),
-                    F.count(F.when(F.col("_rows") > limit, 1)).alias("hot")).first()
-    if not row["hot"]:
-        return None, int(row["sites"])
-    hot, _ = broadcast_if_small(sizes.where(F.col("_rows") > limit).select(*K),
-                                max_rows=None)
-    return hot, int(row["sites"])
-
-
-def hot_sites(events: DataFrame, hot_rows: int | None = None) -> DataFrame | None:
-    """Keys of sites with more than ``hot_rows`` events, or None."""
-    return site_summary(events, hot_rows)[0]
-
-
-def exact_medians(events: DataFrame, columns, ranges: int = 1024) -> DataFrame:
-    """Exact median per site and column (NULLs skipped) without buffering a
-    site in one task: distinct (site, value) counts, running counts in value
-    order per site, then the value(s) at rank floor/ceil((n-1)/2).
-    Interpolation as Spark's percentile: 0.5 * lower + 0.5 * higher."""
-    from sigwin.operators.metrics import running_before
-    out = None
-    for c in columns:
-        vc = (events.where(F.col(c).isNotNull())
-              .groupBy(*K, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt")))
-        ranked = running_before(vc, "_v", ["_cnt"], by=K, descending=False, ranges=ranges)
-        # One row per site: broadcast, so that a site's values aren't brought together by key.
-        nn, _ = broadcast_if_small(vc.groupBy(*K).agg(F.sum("_cnt").alias("_nn")))
-        pos = (F.col("_nn") - 1) * 0.5
-        lo_k, hi_k = F.floor(pos), F.ceil(pos)
-        hit = ranked.join(nn, K)
-        first, last = F.col("_cnt_before"), F.col("_cnt_before") + F.col("_cnt")
-        picked = hit.groupBy(*K).agg(
-            F.max(F.when((first <= lo_k) & (lo_k < last), F.col("_v"))).alias("_lo"),
-            F.max(F.when((first <= hi_k) & (hi_k < last), F.col("_v"))).alias("_hi"))
-        med = (F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
-               .otherwise(F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi")))
-        part = picked.select(*K, med.alias(_med(c)))
-        out = part if out is None else out.join(part, K, "full")
-    return out
-
-
-def _stats(events: DataFrame, columns, with_kmer: bool, with_model: bool,
-           with_median: bool) -> DataFrame:
+def site_statistics(events: DataFrame, columns=S.CLIPPED_COLUMNS,
+                    with_kmer: bool = True, with_model: bool = True) -> DataFrame:
+    """One row per site: row count, and per column non-NULL count, median
+    and population std; optionally the modal k-mer and first model_stdv."""
+    keyed = _keyed(events)
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
-        aggs += [F.count(c).alias(_nn(c))]
-        if with_median:
-            aggs.append(F.median(c).alias(_med(c)))
-        aggs.append(F.stddev_pop(c).alias(_sd(c)))
+        aggs += [F.count(c).alias(_nn(c)), F.stddev_pop(c).alias(_sd(c))]
     if with_kmer:
         aggs.append(F.mode("reference_kmer", True).alias("reference_kmer"))
     if with_model:
         aggs.append(F.min_by("model_stdv", "ord").alias("model_stdv"))
-    return events.groupBy(*K).agg(*aggs)
-
-
-def site_statistics(events: DataFrame, columns=S.CLIPPED_COLUMNS,
-                    with_kmer: bool = True, with_model: bool = True,
-                    hot: DataFrame | None = None) -> DataFrame:
-    """One row per site: row count, and per column non-NULL count, median
-    and population std; optionally the modal k-mer and first model_stdv.
-    ``hot`` (from ``hot_sites``) routes the largest sites to exact
-    distributed medians."""
-    keyed = _keyed(events)
-    if hot is None:
-        return _stats(keyed, columns, with_kmer, with_model, True)
-    cold = _stats(keyed.join(hot, K, "left_anti"), columns, with_kmer, with_model, True)
-    hot_rows = keyed.join(hot, K, "left_semi")
-    hot_stats = _stats(hot_rows, columns, with_kmer, with_model, False).join(
-        exact_medians(hot_rows, columns), K, "left")
-    return cold.unionByName(hot_stats.select(*cold.columns))
+    stats = keyed.groupBy(*K).agg(*aggs)
+    medians = exact_medians(keyed, K, list(columns), [_med(c) for c in columns])
+    return stats.join(medians, K, "left")
 
 
 def _clip_result(c: str):
@@ -159,48 +84,34 @@ def _clip_result(c: str):
 
 
 def with_clipped_means(events: DataFrame, stats: DataFrame, columns=S.CLIPPED_COLUMNS,
-                       sigma: float = CLIP_SIGMA, max_broadcast_rows: int | None = None,
-                       hot: DataFrame | None = None) -> DataFrame:
+                       sigma: float = CLIP_SIGMA, max_broadcast_bytes: int | None = None) -> DataFrame:
     """Join the statistics back to the events, sum the values inside the
     clip band per site, and add the clipped mean of every column to
     ``stats`` (as the column's own name)."""
-    limit = max_rows_for(stats) if max_broadcast_rows is None else max_broadcast_rows
-    small, n_sites = broadcast_if_small(stats, limit)
+    stats = broadcast_if_small(stats, max_broadcast_bytes, "site-statistics")
     band_cols = K + [x for c in columns for x in (_med(c), _sd(c))]
-    raw = _keyed(events).select(*K, *columns)
-    if hot is None or n_sites <= limit:
-        joined = raw.join(small.select(*band_cols), K)
-    else:
-        # Too many sites to broadcast: hot sites meet their (few) statistics
-        # by broadcast, all other sites by a shuffle join of small keys.
-        hot_band, _ = broadcast_if_small(stats.join(hot, K, "left_semi").select(*band_cols), limit)
-        cold_band = stats.join(hot, K, "left_anti").select(*band_cols)
-        joined = (raw.join(hot, K, "left_semi").join(hot_band, K)
-                  .unionByName(raw.join(hot, K, "left_anti").join(cold_band, K)))
+    joined = _keyed(events).select(*K, *columns).join(stats.select(*band_cols), K)
     sums = []
     for c in columns:
         inside = F.abs(F.col(c) - F.col(_med(c))) <= F.lit(sigma) * F.col(_sd(c))
         sums.append(F.avg(F.when(inside, F.col(c))).alias(f"_mean_{c}"))
-    clipped = joined.groupBy(*K).agg(*sums)
-    out = small.join(clipped, K, "left")
+    out = stats.join(joined.groupBy(*K).agg(*sums), K, "left")
     return out.select(*[F.col(x) for x in stats.columns],
                       *[_clip_result(c).alias(c) for c in columns])
 
 
-def clipped_mean(events: DataFrame, columns=S.CLIPPED_COLUMNS,
-                 sigma: float = CLIP_SIGMA, hot_rows: int | None = None) -> DataFrame:
+def clipped_mean(events: DataFrame, columns=S.CLIPPED_COLUMNS, sigma: float = CLIP_SIGMA) -> DataFrame:
     """(contig, position, <clipped mean per column>)."""
-    hot, _ = site_summary(events, hot_rows)
-    stats = site_statistics(events, columns, with_kmer=False, with_model=False, hot=hot)
-    return with_clipped_means(events, stats, columns, sigma, hot=hot).select(*K, *columns)
+    stats = site_statistics(events, columns, with_kmer=False, with_model=False)
+    return with_clipped_means(events, stats, columns, sigma).select(*K, *columns)
 
 
-def group_median(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """(contig, position, event_level_median, event_stdv_median, event_length_median).
-    Hot sites take the distributed medians, as in the cleaning."""
-    hot, _ = site_summary(events, hot_rows)
-    stats = site_statistics(events, tuple(S.MEDIAN_COLUMNS.values()), with_kmer=False, with_model=False, hot=hot)
-    return stats.select(*K, *[F.col(_med(src)).alias(dst) for dst, src in S.MEDIAN_COLUMNS.items()])
+def group_median(events: DataFrame) -> DataFrame:
+    """(contig, position, event_level_median, event_stdv_median, event_length_median)."""
+    keyed = _keyed(events)
+    sources, names = list(S.MEDIAN_COLUMNS.values()), list(S.MEDIAN_COLUMNS)
+    # Sites without any value have a row too.
+    return keyed.select(*K).distinct().join(exact_medians(keyed, K, sources, names), K, "left").select(*K, *names)
 
 
 def kmer_mode(events: DataFrame) -> DataFrame:
@@ -221,23 +132,17 @@ def relative_diff(a, b):
 
 
 def clean_events(events: DataFrame, sigma: float = CLIP_SIGMA,
-                 max_broadcast_rows: int | None = None, hot_rows: int | None = None
-                 ) -> DataFrame:
+                 max_broadcast_bytes: int | None = None) -> DataFrame:
     """Event table -> site table (11 columns), unordered (sort at the sink)."""
-    hot, _ = site_summary(events, hot_rows)
-    stats = site_statistics(events, hot=hot)
-    full = with_clipped_means(events, stats, S.CLIPPED_COLUMNS, sigma, max_broadcast_rows,
-                              hot=hot)
+    full = with_clipped_means(events, site_statistics(events), S.CLIPPED_COLUMNS, sigma, max_broadcast_bytes)
     medians = [F.col(_med(src)).alias(dst) for dst, src in S.MEDIAN_COLUMNS.items()]
     return full.select(
         *K, "reference_kmer", *S.CLIPPED_COLUMNS, *medians,
         relative_diff("event_stdv", "model_stdv").alias("diff_stdv"))
 
 
-def clean_events_with_model(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def clean_events_with_model(events: DataFrame) -> DataFrame:
     """Like clean_events but keeps model_stdv (for the relative-diff check)."""
-    hot, _ = site_summary(events, hot_rows)
-    stats = site_statistics(events, hot=hot)
-    full = with_clipped_means(events, stats, hot=hot)
+    full = with_clipped_means(events, site_statistics(events))
     return full.select(*K, "event_stdv", "model_stdv",
                        relative_diff("event_stdv", "model_stdv").alias("diff_stdv"))

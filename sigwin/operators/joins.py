@@ -1,24 +1,17 @@
-"""Join helpers: broadcast a side only behind a checked row count."""
+"""Join helpers: broadcast a side only behind a check of its bytes."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+from sigwin.session import broadcast_bytes, stored, table_bytes
 
 
-def max_broadcast_rows(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("sigwin.broadcast.maxRows", None)
-    return int(conf) if conf else DEFAULT_MAX_BROADCAST_ROWS
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Persist ``df``, count it, and mark it for broadcast only when the count
-    is within ``max_rows``.  Beyond that the plain frame is returned and Spark
-    plans a shuffle join (AQE splits skewed partitions)."""
-    limit = max_broadcast_rows(df) if max_rows is None else max_rows
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return (F.broadcast(df) if n <= limit else df), n
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None, name: str = "side") -> DataFrame:
+    """Store ``df`` in the shared folder and mark it for broadcast if its bytes are within
+    ``max_bytes`` (``sigwin.broadcast.maxBytes`` by default).  Beyond that the stored table
+    is returned and Spark plans a shuffle join (AQE splits skewed partitions)."""
+    limit = broadcast_bytes(df.sparkSession) if max_bytes is None else max_bytes
+    df = stored(df, name)
+    return F.broadcast(df) if table_bytes(df) <= limit else df

@@ -1,5 +1,12 @@
-"""Labelling of windows: known-site joins (m6A) and reactivity profiles
-(structure), plus the constant label of inference sets."""
+"""Labelling of windows: known sites (m6A) and reactivity profiles (structure),
+plus the constant label of inference sets.
+
+Known sites are an index of bitmaps: for each transcript one bitmap per 32,768
+positions, made by the built-in bitmap aggregates.  A window joins the bitmap of its
+bucket and tests one bit, so the joined side has a row per bucket and not per site, and
+duplicate sites are one bit.  Profiles are pieces of 4,096 scores, joined the same way.
+Both sides are broadcast if their bytes allow.
+"""
 
 from __future__ import annotations
 
@@ -7,44 +14,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigwin.functions.columns import binarise, contig_key
+from sigwin.functions.columns import binarise, bit_is_set, contig_key
 from sigwin.operators.joins import broadcast_if_small
 
 SITE_OFFSET = 1   # event positions are 0-based, reference sites 1-based
 INFERENCE_LABEL = -1
+#: Bits of a bitmap, fixed by bitmap_construct_agg, and scores of a profile's piece.
+BITMAP = 4096 * 8
+PIECE = 4096
+
+
+def _bucket(position, size: int):
+    return F.floor(position / F.lit(size)).cast("long")
 
 
-def _site_keys(windows: DataFrame) -> DataFrame:
-    return windows.withColumn("_tx", contig_key("contig")).withColumn(
-        "_pos1", F.col("position") + SITE_OFFSET)
+def site_index(ref: DataFrame) -> DataFrame:
+    """``(tx, bucket, bits)``: the known 1-based positions of a transcript as bitmaps."""
+    sites = ref.select("tx", F.col("pos1").cast("long").alias("pos1")).where(
+        F.col("tx").isNotNull() & F.col("pos1").isNotNull())
+    return (sites.groupBy("tx", _bucket(F.col("pos1"), BITMAP).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.pmod(F.col("pos1"), F.lit(BITMAP))).alias("bits")))
 
 
-def _reference(ref: DataFrame, max_rows: int | None):
-    r = (ref.select(F.col("tx").alias("_tx"), F.col("pos1").cast("long").alias("_pos1"))
-         .where(F.col("_tx").isNotNull() & F.col("_pos1").isNotNull())
-         .dropDuplicates(["_tx", "_pos1"]))
-    small, _ = broadcast_if_small(r, max_rows)
-    return small
+def with_known_site(windows: DataFrame, ref: DataFrame, name: str = "_known",
+                    max_bytes: int | None = None) -> DataFrame:
+    """``windows`` with a boolean: is (transcript id, centre + 1) a known site?  A contig without an id is not."""
+    index = broadcast_if_small(site_index(ref).select(
+        F.col("tx").alias("_tx"), F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")), max_bytes, "site-index")
+    pos1 = F.col("position") + SITE_OFFSET
+    hit = F.coalesce(bit_is_set(F.col("_bits"), F.pmod(pos1, F.lit(BITMAP))), F.lit(False))
+    return (windows.withColumn("_tx", contig_key("contig")).withColumn("_bucket", _bucket(pos1, BITMAP))
+            .join(index, ["_tx", "_bucket"], "left").withColumn(name, hit).drop("_tx", "_bucket", "_bits"))
 
 
-def sites_positive(windows: DataFrame, ref: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Windows whose (transcript id, centre + 1) is a known site: semi join."""
-    return (_site_keys(windows).join(_reference(ref, max_rows), ["_tx", "_pos1"], "left_semi")
-            .drop("_tx", "_pos1"))
+def sites_positive(windows: DataFrame, ref: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Windows whose (transcript id, centre + 1) is a known site."""
+    return with_known_site(windows, ref, max_bytes=max_bytes).where("_known").drop("_known")
 
 
-def sites_negative(windows: DataFrame, ref: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """All other windows (anti join); a contig without an id is negative."""
-    return (_site_keys(windows).join(_reference(ref, max_rows), ["_tx", "_pos1"], "left_anti")
-            .drop("_tx", "_pos1"))
+def sites_negative(windows: DataFrame, ref: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """All other windows; a contig without an id is negative."""
+    return with_known_site(windows, ref, max_bytes=max_bytes).where("NOT _known").drop("_known")
 
 
-def label_by_sites(windows: DataFrame, ref: DataFrame, max_rows: int | None = None) -> DataFrame:
+def label_by_sites(windows: DataFrame, ref: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Both classes in one pass: label 1 for known sites, else 0."""
-    marked = _reference(ref, max_rows).withColumn("_hit", F.lit(1))
-    return (_site_keys(windows).join(marked, ["_tx", "_pos1"], "left")
-            .withColumn("label", F.coalesce(F.col("_hit"), F.lit(0)).cast(T.IntegerType()))
-            .drop("_tx", "_pos1", "_hit"))
+    return (with_known_site(windows, ref, max_bytes=max_bytes)
+            .withColumn("label", F.col("_known").cast(T.IntegerType())).drop("_known"))
 
 
 def union_classes(positive: DataFrame, negative: DataFrame) -> DataFrame:
@@ -53,16 +69,23 @@ def union_classes(positive: DataFrame, negative: DataFrame) -> DataFrame:
             .unionByName(negative.withColumn("label", F.lit(0).cast(T.IntegerType()))))
 
 
-def profile_lookup(windows: DataFrame, profile_long: DataFrame,
-                   max_rows: int | None = None) -> DataFrame:
-    """Attach the profile score (text) at the window centre: equi join on
-    (transcript id, position) against the exploded profile; a window with
-    no score keeps a NULL (left join)."""
-    prof = profile_long.select(F.col("tx").alias("_tx"), F.col("pos").alias("position"),
-                               F.col("score"))
-    small, _ = broadcast_if_small(prof, max_rows)
-    return (windows.withColumn("_tx", contig_key("contig"))
-            .join(small, ["_tx", "position"], "left").drop("_tx"))
+def profile_pieces(profile_long: DataFrame, size: int = PIECE) -> DataFrame:
+    """``(tx, bucket, scores)``: a map of position in the bucket to score for every ``size`` positions."""
+    placed = profile_long.where(F.col("tx").isNotNull() & F.col("pos").isNotNull()).groupBy(
+        "tx", _bucket(F.col("pos"), size).alias("bucket"), F.pmod(F.col("pos"), F.lit(size)).cast("int").alias("at"))
+    # One score a position; at most ``size`` of them meet in a bucket.
+    return (placed.agg(F.min("score").alias("score")).groupBy("tx", "bucket")
+            .agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("scores")))
+
+
+def profile_lookup(windows: DataFrame, profile_long: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Attach the profile score (text) at the window centre: equi join on (transcript id, bucket)
+    against the profile's pieces and a look-up there; a window with no score keeps a NULL (left join)."""
+    pieces = profile_pieces(profile_long).select(F.col("tx").alias("_tx"), F.col("bucket").alias("_bucket"), "scores")
+    pieces = broadcast_if_small(pieces, max_bytes, "profile-pieces")
+    score = F.try_element_at("scores", F.pmod(F.col("position"), F.lit(PIECE)).cast("int"))
+    return (windows.withColumn("_tx", contig_key("contig")).withColumn("_bucket", _bucket(F.col("position"), PIECE))
+            .join(pieces, ["_tx", "_bucket"], "left").withColumn("score", score).drop("_tx", "_bucket", "scores"))
 
 
 def reactivity_filter(df: DataFrame, score_col: str = "score", lo: float = 0.2,

@@ -2,61 +2,18 @@
 
 ROC AUC (ties count half, one class -> 0.0), step-wise average precision and
 the precision/recall table all come from one cumulative table over distinct
-scores in descending order.  The running sums are exact and distributed: the
-distinct scores are cut into ranges by approximate quantiles, per-range
-totals (one row per range) give the offsets, and the running sum inside a
-range is a window partitioned by the range.  No unpartitioned window over
-the scores.
+scores in descending order.  Its running sums are exact and distributed
+(``operators.ranges``): the scores are cut into ranges that are split until each
+holds a bounded number of distinct scores.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigwin.functions.columns import focal_loss_terms
-
-DEFAULT_RANGES = 256
-
-
-def _range_ids(df: DataFrame, col: str, ranges: int) -> DataFrame:
-    probs = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(col, probs, 10_000).alias("q")).first()
-    qs = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
-    splits = [float("-inf")] + qs + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn("_r", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=col, outputCol="_r",
-                      handleInvalid="keep").transform(df)
-
-
-def running_before(df: DataFrame, order_col: str, sum_cols: list[str],
-                   by: list[str] | None = None, descending: bool = True,
-                   ranges: int = DEFAULT_RANGES) -> DataFrame:
-    """For each row, the sums of ``sum_cols`` over the rows of its group
-    (``by``) strictly before it in the order of ``order_col`` (values unique
-    within a group), as ``<col>_before``."""
-    by = list(by or [])
-    ranged = _range_ids(df, order_col, ranges)
-    tot = ranged.groupBy(*by, "_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    rng_order = F.col("_r").desc() if descending else F.col("_r").asc()
-    # At most `ranges` rows per group: the running sum over ranges is bounded.
-    prev = Window.partitionBy(*by).orderBy(rng_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*by, "_r", *[F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0))
-                                      .alias(f"_o_{c}") for c in sum_cols])
-    if not by:
-        offsets = F.broadcast(offsets)
-    val_order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    inside = (Window.partitionBy(*by, "_r").orderBy(val_order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    joined = ranged.join(offsets, by + ["_r"])
-    return joined.select(
-        *[c for c in df.columns],
-        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before")
-          for c in sum_cols])
+from sigwin.operators.ranges import running_before
 
 
 def score_table(df: DataFrame, label: str = "label", score: str = "score",

@@ -1,29 +1,34 @@
-"""Two-model ensemble on Spark ML: a random forest and a multilayer
-perceptron, each giving P(class 1); the combined probability is their mean.
-
-Tree building and the network's gradient sums are distributed by Spark ML;
-scoring is a narrow ``transform`` with no shuffle.  The fitted state is the
-scaler (one (mean, scale) pair per feature), the feature names, the
-hyper-parameters and one ``PipelineModel``; all are saved together.
+"""Two-model ensemble: a random forest and a ReLU network under focal loss, each giving
+P(class 1); the combined probability is their mean.
+
+Spark ML builds the trees (``operators.forest`` adds the minimum split); the network's
+gradients are summed over stored blocks (``operators.network``).  Both read training
+rows that are stored once.  Scoring is narrow.  The fitted state is the scaler (one
+(mean, scale) pair per feature), the feature names, the hyper-parameters, the forest
+and the network's weights; all are saved together.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigwin import schemas as S
 from sigwin.functions.columns import ensemble_mean
-from sigwin.operators.features import fit_scaler, scale_features, with_class_weight
+from sigwin.operators.counts import RowCounts
+from sigwin.operators.features import class_weights, fit_scaler, scale_features
+from sigwin.operators.forest import with_min_split
+from sigwin.operators.network import Network, Training, fit_network, with_probability
 from sigwin.operators.windows import finite_filter
+from sigwin.session import stored
 
 
 @dataclass
@@ -32,10 +37,13 @@ class EnsembleParams:
     num_trees: int = 200
     max_depth: int = 10
     min_instances_per_node: int = 2
+    min_split: int = 5
     feature_subset: str = "sqrt"
     hidden_layers: list[int] = field(default_factory=lambda: [256, 128])
     max_iter: int = 100
-    block_size: int = 128
+    patience: int = 20
+    alpha: float = 1.0
+    gamma: float = 2.0
     max_memory_mb: int = 1024
     seed: int = 42
     valid_ratio: float = 0.2
@@ -45,104 +53,104 @@ class EnsembleParams:
 class FittedEnsemble:
     features: list[str]
     scaler: dict[str, tuple[float, float]]
-    model: PipelineModel
+    forest: RandomForestClassificationModel
+    network: Network
     params: EnsembleParams
+    #: (round, split, n, loss, auc, ap) of the network's training; empty for a loaded state.
+    history: list[tuple] = field(default_factory=list)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(os.path.join(path, "pipeline"))
         spark = SparkSession.getActiveSession()
+        self.forest.write().overwrite().save(os.path.join(path, "forest"))
         state = {"features": self.features,
                  "scaler": {k: list(v) for k, v in self.scaler.items()},
-                 "params": self.params.__dict__}
-        (spark.createDataFrame([(json.dumps(state),)], "state string")
-         .write.mode("overwrite").text(os.path.join(path, "state")))
+                 "layers": list(self.network.layers), "params": asdict(self.params)}
+        # One row, as large as the network.
+        (spark.createDataFrame([(json.dumps(state), self.network.weights.tolist())], "state string, weights array<double>")
+         .write.mode("overwrite").parquet(os.path.join(path, "state")))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedEnsemble":
-        state_path = os.path.join(path, "state")
-        model = PipelineModel.load(os.path.join(path, "pipeline"))
-        raw = spark.read.text(state_path).first()
-        if raw is None:
-            raise FileNotFoundError(f"missing fitted state under {path}")
-        state = json.loads(raw[0])
+        row = spark.read.parquet(os.path.join(path, "state")).first()
+        if row is None:
+            raise FileNotFoundError(f"no fitted state under {path}")
+        state = json.loads(row["state"])
         return FittedEnsemble(
             features=state["features"],
             scaler={k: (float(v[0]), float(v[1])) for k, v in state["scaler"].items()},
-            model=model, params=EnsembleParams(**state["params"]))
+            forest=RandomForestClassificationModel.load(os.path.join(path, "forest")),
+            network=Network(tuple(state["layers"]), np.array(row["weights"])),
+            params=EnsembleParams(**state["params"]))
+
+
+def _feature_array(features: list[str]):
+    return F.array(*[F.col(S.q(c)) for c in features])
 
 
-def _stages(n_features: int, p: EnsembleParams, weight_col: str | None):
-    assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(n_features)],
-                                outputCol="features")
-    rf = RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=p.num_trees, maxDepth=p.max_depth,
+def _fit_forest(rows: DataFrame, p: EnsembleParams) -> RandomForestClassificationModel:
+    vectors = rows.where("NOT valid").select(array_to_vector("x").alias("features"), F.col("label").cast("double"), "weight")
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol="label", weightCol="weight", numTrees=p.num_trees, maxDepth=p.max_depth,
         minInstancesPerNode=p.min_instances_per_node, featureSubsetStrategy=p.feature_subset,
         seed=p.seed, maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True,
         predictionCol="rf_pred", probabilityCol="rf_prob", rawPredictionCol="rf_raw")
-    if weight_col:
-        rf.setWeightCol(weight_col)
-    mlp = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="label", layers=[n_features, *p.hidden_layers, 2],
-        maxIter=p.max_iter, blockSize=p.block_size, seed=p.seed, predictionCol="nn_pred",
-        probabilityCol="nn_prob", rawPredictionCol="nn_raw")
-    return assembler, rf, mlp
-
-
-def _fit_models(data: DataFrame, n_features: int, p: EnsembleParams,
-                weight_col: str | None) -> PipelineModel:
-    """Fit the forest and the network as two concurrent Spark jobs (they are
-    independent), then chain them behind the assembler."""
-    from concurrent.futures import ThreadPoolExecutor
-    from sigwin.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(data.sparkSession)
-    assembler, rf, mlp = _stages(n_features, p, weight_col)
-    vectors = assembler.transform(data).select("features", "label", *(
-        [weight_col] if weight_col else [])).checkpoint(eager=True)
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        rf_job = pool.submit(rf.fit, vectors)
-        mlp_job = pool.submit(mlp.fit, vectors)
-        rf_model, mlp_model = rf_job.result(), mlp_job.result()
-    return PipelineModel(stages=[assembler, rf_model, mlp_model])
+    return forest.fit(vectors)
 
 
-def _positional(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    # Spark ML column names must be plain: '-3_x' becomes '_x0'.
-    return df.select(*keep, *[F.col(S.q(c)).alias(f"_x{i}") for i, c in enumerate(features)])
+def _fit_network(rows: DataFrame, n_features: int, p: EnsembleParams) -> Training:
+    return fit_network(rows, (n_features, *p.hidden_layers, 2), p.alpha, p.gamma, p.max_iter, p.patience, p.seed)
 
 
-def fit_ensemble(train: DataFrame, features: list[str] | None = None,
+def fit_ensemble(windows: DataFrame, features: list[str] | None = None,
                  params: EnsembleParams | None = None) -> FittedEnsemble:
-    """Finite filter -> scaler (population std) -> balanced class weights ->
-    forest + network, on a labelled window table."""
+    """Finite filter -> scaler (population std) -> balanced class weights for the forest ->
+    forest + network, on a labelled window table.
+
+    With a column ``split`` only its ``train`` rows are fitted on; the others give the
+    network's validation metrics and its stopping.
+    """
     features = features or S.FEATURES
     params = params or EnsembleParams()
-    clean = finite_filter(train, features).withColumn("label", F.col("label").cast("double"))
-    scaler = fit_scaler(clean, features)
-    scaled = scale_features(clean, scaler, keep=["label"])
-    weighted = with_class_weight(scaled, "label", "weight")
-    # Both learners iterate over the same rows (L-BFGS passes, tree levels):
-    # the assembled vectors are materialised once in the checkpoint folder.
-    data = _positional(weighted, features, ["label", "weight"])
-    model = _fit_models(data, len(features), params, "weight")
-    return FittedEnsemble(features, scaler, model, params)
-
-
-def predict(windows: DataFrame, fitted: FittedEnsemble, keep=("contig", "position")) -> DataFrame:
+    valid = (F.col("split") != "train") if "split" in windows.columns else F.lit(False)
+    clean = finite_filter(windows, features).where(F.col("label").isin(0, 1)).withColumn("valid", valid)
+    train = clean.where("NOT valid")
+    scaler = fit_scaler(train, features)
+    weights = class_weights(train, "label").select(F.col("label").cast("int"), "weight")
+    scaled = scale_features(clean, scaler, keep=["label", "valid"])
+    # One row a class.  Both learners read these rows many times: they are stored.
+    rows = stored(scaled.select(F.col("label").cast("int"), "valid", _feature_array(features).alias("x"))
+                  .join(F.broadcast(weights), "label", "left"), "training-rows")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        forest, training = pool.submit(_fit_forest, rows, params), pool.submit(_fit_network, rows, len(features), params)
+        forest, training = forest.result(), training.result()
+    forest = with_min_split(windows.sparkSession, forest, params.min_split)
+    return FittedEnsemble(features, scaler, forest, training.network, params, training.history)
+
+
+def scaled_arrays(windows: DataFrame, fitted: FittedEnsemble, keep: list[str], rows: RowCounts | None = None) -> DataFrame:
+    """``keep`` and the scaled features as array ``x``, for every finite window."""
+    clean = finite_filter(windows, fitted.features, rows)
+    return scale_features(clean, fitted.scaler, keep=keep).select(*keep, _feature_array(fitted.features).alias("x"))
+
+
+def predict(windows: DataFrame, fitted: FittedEnsemble, keep=("contig", "position"),
+            rows: RowCounts | None = None) -> DataFrame:
     """Prediction table: keys, NeuralNetwork_Prob, RandomForest_Prob, Combined_Prob.
-    Windows with a non-finite feature are dropped first."""
+    Windows with a non-finite feature are dropped first (counted as ``not_finite`` in ``rows``)."""
     keep = list(keep)
-    clean = finite_filter(windows, fitted.features)
-    scaled = scale_features(clean, fitted.scaler, keep=keep)
-    out = fitted.model.transform(_positional(scaled, fitted.features, keep))
+    arrays = scaled_arrays(windows, fitted, keep, rows)
+    scored = fitted.forest.transform(arrays.withColumn("features", array_to_vector("x")))
     # A model fitted on class 0 alone has no second probability: it is 0.
-    nn, rf = (F.coalesce(F.get(vector_to_array(p), F.lit(1)), F.lit(0.0)) for p in ("nn_prob", "rf_prob"))
-    return out.select(*keep, nn.alias("NeuralNetwork_Prob"), rf.alias("RandomForest_Prob"),
-                      ensemble_mean(nn, rf).alias("Combined_Prob"))
+    forest = F.coalesce(F.get(vector_to_array("rf_prob"), F.lit(1)), F.lit(0.0))
+    both = with_probability(scored.select(*keep, forest.alias("RandomForest_Prob"), "x"), fitted.network, "x",
+                            "NeuralNetwork_Prob")
+    return both.select(*keep, "NeuralNetwork_Prob", "RandomForest_Prob",
+                       ensemble_mean("NeuralNetwork_Prob", "RandomForest_Prob").alias("Combined_Prob"))
+
+
+HISTORY = "round int, split string, n long, loss double, auc double, ap double"
 
 
 def training_history(spark: SparkSession, fitted: FittedEnsemble) -> DataFrame:
-    """(iteration, objective) of a network just fitted; no rows for a loaded one, which has no summary.
-    At most ``max_iter`` + 1 rows."""
-    network = fitted.model.stages[-1]
-    values = network.summary().objectiveHistory if network.hasSummary else []
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "iteration int, objective double")
+    """``HISTORY``: two rows for each accepted round of a network just fitted (no more than twice ``max_iter``)."""
+    return spark.createDataFrame([tuple(h) for h in fitted.history], HISTORY)

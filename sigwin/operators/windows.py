@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sigwin import schemas as S
 from sigwin.functions.columns import all_finite, is_drach
+from sigwin.operators.counts import RowCounts, watch
 
 DEFAULT_BUCKET = 4096
 MOTIF_OFFSET = -2          # the 5-mer starting at centre-2 has the centre in its middle
@@ -88,10 +89,10 @@ def motif_filter(windows: DataFrame) -> DataFrame:
     return windows.where(is_drach(F.col(MOTIF_COL)))
 
 
-def finite_filter(windows: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Drop windows with a NULL, NaN or +/-inf feature."""
+def finite_filter(windows: DataFrame, features: list[str] | None = None, rows: RowCounts | None = None) -> DataFrame:
+    """Drop windows with a NULL, NaN or +/-inf feature; counted as ``not_finite`` in ``rows``."""
     features = features or [c for c in windows.columns if c in set(S.FEATURES)]
-    return windows.where(all_finite(features))
+    return watch(windows, rows, not_finite=~all_finite(features)).where(all_finite(features))
 
 
 def windows_long(sites: DataFrame, radius: int = S.RADIUS, bucket: int = DEFAULT_BUCKET,

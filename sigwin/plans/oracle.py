@@ -311,4 +311,24 @@ def oracle_sql() -> dict[str, str]:
                                f"fl AS (SELECT split, count(*) AS n, avg({focal_sql()}) AS loss FROM sp GROUP BY split)") + (
         f"SELECT fl.split, fl.n, {rnd('fl.loss', 'loss')}, {rnd('ms.auc', 'auc')}, {rnd('ms.ap', 'ap')} "
         "FROM fl JOIN ms ON fl.split = ms.split")
+    # Through files, and the structures that joins look into.
+    q["site_file"] = q["clean_events"]
+    q["training_file"] = q["m6a_train"]
+    q["inference_files"] = with_(*wc) + (
+        f"SELECT contig, position, -1 AS label, 'structure' AS \"set\" FROM win WHERE {FINITE} UNION ALL "
+        f"SELECT contig, position, -1, 'm6a' FROM win WHERE {MOTIF} AND {FINITE}")
+    q["site_index"] = with_(EA, SITES_REF) + (
+        "SELECT tx, pos1 // 32768 AS bucket, count(*) AS sites FROM sites_ref WHERE tx IS NOT NULL GROUP BY ALL")
+    q["profile_pieces"] = with_(EA, PROFILE) + (
+        "SELECT tx, pos // 4096 AS bucket, CAST(count(*) AS INTEGER) AS scores FROM prof GROUP BY ALL")
+    q["tied_split"] = with_(*wc) + (
+        "SELECT split, n FROM (SELECT 'valid' AS split, CAST(round_even(0.3 * count(*), 0) AS BIGINT) AS n, count(*) AS c "
+        f"FROM win WHERE {FINITE} UNION ALL SELECT 'train', count(*) - CAST(round_even(0.3 * count(*), 0) AS BIGINT), "
+        f"count(*) FROM win WHERE {FINITE}) t WHERE c > 0 AND n > 0")
+    # What holds for every window, whatever the fit: each once, and true.
+    every = f"FROM win WHERE {FINITE}"
+    q["forest_check"] = with_(*wc) + f"SELECT contig, position, TRUE AS same, TRUE AS min_split_holds {every}"
+    q["model_file"] = with_(*wc) + f"SELECT contig, position, TRUE AS same {every}"
+    q["history_check"] = with_(*sw, split_sql("slab", ["contig", "position"])) + (
+        "SELECT split, count(*) AS n, TRUE AS learns FROM sp GROUP BY split")
     return q

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +19,16 @@ from sigwin.operators import clean as C
 from sigwin.operators import features as FE
 from sigwin.operators import labels as L
 from sigwin.operators import metrics as M
+from sigwin.operators import models as ML
 from sigwin.operators import ordering as O
 from sigwin.operators import windows as W
+from sigwin.operators.counts import RowCounts
+from sigwin.operators.forest import node_table, walked_probability
 from sigwin.plans import jobs as J
+from sigwin.session import scratch_path, stored
 from sigwin.sources import fixtures as FX
-from sigwin.sources import tsv
+from sigwin.sources import sinks, tsv
+from sigwin.sources.profile import profile_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +38,7 @@ def _events(spark, sf):
 
 
 def _sites(spark, sf):
-    return C.clean_events(_events(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return stored(C.clean_events(_events(spark, sf)), "sites")
 
 
 def _windows(spark, sf):
@@ -62,7 +67,7 @@ def q_site_reference(spark, sf):
 
 
 def q_profile_dedup(spark, sf):
-    return tsv.profile_to_long(tsv.parse_profile_lines(FX.profile_lines(spark, sf)))
+    return profile_scores(FX.profile_fields(spark, sf))
 
 
 def q_clean_events(spark, sf):
@@ -132,7 +137,7 @@ def q_m6a_labels(spark, sf):
 
 
 def q_union_classes(spark, sf):
-    w = _m6a_windows(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    w = stored(_m6a_windows(spark, sf), "windows")
     ref = FX.site_reference(spark, sf)
     return L.union_classes(L.sites_positive(w, ref), L.sites_negative(w, ref)).select(
         "contig", "position", "label")
@@ -148,7 +153,7 @@ def q_seeded_shuffle(spark, sf):
 
 def q_sample_negatives(spark, sf):
     m = J.m6a_training_set(_sites(spark, sf), FX.site_reference(spark, sf), shuffled=False)
-    m = m.persist(StorageLevel.MEMORY_AND_DISK)
+    m = stored(m, "windows")
     n_pos = m.where(F.col("label") == 1).count()
     return O.sample_n(m.where(F.col("label") == 0), n_pos).select("contig", "position", O.KEY)
 
@@ -189,31 +194,68 @@ def q_scaler_stats(spark, sf):
 
 
 def q_scaled_features(spark, sf):
-    st = _structure(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    st = stored(_structure(spark, sf), "windows")
     scaled = FE.scale_with_stats(st, FE.scaler_stats(st), keep=["contig", "position", "label"])
     return round_doubles(scaled)
 
 
 def q_exact_split(spark, sf):
-    st = _structure(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    return O.exact_split(st).select("contig", "position", "split")
+    return O.exact_split(_structure(spark, sf)).select("contig", "position", "split")
+
+
+def q_tied_split(spark, sf):
+    """Rows of each part when only the contig is the key: a few keys, each shared by many rows."""
+    split = O.exact_split(_finite(spark, sf).select("contig", "position"), 0.3, key_cols=("contig",))
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_row_accounting(spark, sf):
-    ea = _events(spark, sf)
-    sites = _sites(spark, sf)
-    win = W.context_windows(sites).persist(StorageLevel.MEMORY_AND_DISK)
-    m6a = J.m6a_training_set(sites, FX.site_reference(spark, sf), shuffled=False)
-    st = J.structure_training_set(sites, FX.profile_long(spark, sf))
-    return FE.count_rows([
-        ("events", ea), ("sites", sites), ("windows", win),
-        ("motif_windows", W.motif_filter(win)),
-        ("finite_windows", W.finite_filter(W.drop_kmer_columns(win))),
-        ("m6a_windows", m6a), ("m6a_positive", m6a.where(F.col("label") == 1)),
-        ("m6a_negative", m6a.where(F.col("label") == 0)),
-        ("structure_0", st.where(F.col("label") == 0)),
-        ("structure_1", st.where(F.col("label") == 1)),
-    ])
+    """Counts observed by the jobs as they write: cleaning, both training sets."""
+    rows, m6a, st = RowCounts(), RowCounts(), RowCounts()
+    sites = stored(rows.watch(J.clean(_events(spark, sf), rows), sites=J.EVERY), "sites")
+    stored(J.m6a_training_set(sites, FX.site_reference(spark, sf), shuffled=False, rows=m6a), "m6a-set")
+    stored(J.structure_training_set(sites, FX.profile_long(spark, sf), rows=st), "structure-set")
+    r, m, s = rows.values(), m6a.values(), st.values()
+    return spark.createDataFrame([
+        ("events", r["events"]), ("sites", r["sites"]), ("windows", m["windows"]),
+        ("motif_windows", m["windows"] - m["without_motif"]),
+        ("finite_windows", s["windows"] - s["not_finite"]),
+        ("m6a_windows", m["label_0"] + m["label_1"]), ("m6a_positive", m["label_1"]), ("m6a_negative", m["label_0"]),
+        ("structure_0", s["label_0"]), ("structure_1", s["label_1"])], "item string, n long")
+
+
+def q_site_index(spark, sf):
+    """The bitmap index of the known sites: bits set in each bucket."""
+    return L.site_index(FX.site_reference(spark, sf)).select("tx", "bucket", F.bitmap_count("bits").alias("sites"))
+
+
+def q_profile_pieces(spark, sf):
+    """The pieces that windows look their scores up in."""
+    return L.profile_pieces(profile_scores(FX.profile_fields(spark, sf))).select(
+        "tx", "bucket", F.size("scores").alias("scores"))
+
+
+# Through files: written and read back by the library's own sinks and sources.
+def q_site_file(spark, sf):
+    path = scratch_path(spark, "site-file")
+    sinks.write_sites(C.clean_events(_events(spark, sf)), path)
+    return round_doubles(tsv.read_sites(spark, path))
+
+
+def q_training_file(spark, sf):
+    path = scratch_path(spark, "training-file")
+    sinks.write_training_windows(_m6a(spark, sf), path, shuffle_col=O.KEY)
+    back = tsv.read_windows(spark, path)
+    tsv.check_window_columns(back)
+    return _wide_cols(back, ["label"])
+
+
+def q_inference_files(spark, sf):
+    path = scratch_path(spark, "inference-files")
+    paths = sinks.write_inference_sets(J.inference_windows(_sites(spark, sf)), path)
+    sets = [tsv.read_windows(spark, p).select("contig", "position", "label", F.lit(name).alias("set"))
+            for name, p in paths.items()]
+    return sets[0].unionByName(sets[1])
 
 
 def _scored(spark, sf):
@@ -258,9 +300,8 @@ def q_predicted_class(spark, sf):
         "doc_id", predicted_class("z0", "z1").alias("p_a"), predicted_class("z0", "z1b").alias("p_b"))
 
 
-# Model queries: Spark ML fits have no SQL oracle, but their keys, ranges and counts do.
+# Model queries: fits have no SQL oracle, but their keys, ranges, counts and scoring do.
 def _fitted(spark, sf):
-    from sigwin.operators import models as ML
     return ML.fit_ensemble(_structure(spark, sf))
 
 
@@ -285,6 +326,34 @@ def q_predict_check(spark, sf):
         (F.abs(both - (nn + rf) / 2) < 1e-12).alias("is_mean"))
 
 
+def q_forest_check(spark, sf):
+    """Every finite window once: is its forest score what a walk down the node table gives, and is no
+    node of fewer than ``min_split`` rows split?"""
+    fitted = _fitted(spark, sf)
+    structure, _ = J.inference_sets(_sites(spark, sf))
+    nodes = stored(node_table(spark, fitted.forest), "nodes")
+    small = nodes.where((F.col("left") >= 0) & (F.col("n") < fitted.params.min_split)).count()
+    arrays = ML.scaled_arrays(structure, fitted, ["contig", "position"])
+    walked = walked_probability(arrays, nodes, "x", fitted.params.max_depth, "walked")
+    scored = fitted.forest.transform(walked.withColumn("features", array_to_vector("x")))
+    return scored.select("contig", "position",
+                         (F.abs(F.col("walked") - F.get(vector_to_array("rf_prob"), F.lit(1))) < 1e-9).alias("same"),
+                         F.lit(small == 0).alias("min_split_holds"))
+
+
+def q_model_file(spark, sf):
+    """Every finite window once: does the fitted state, saved and loaded, score as before?"""
+    fitted, path = _fitted(spark, sf), scratch_path(spark, "model-file")
+    structure = stored(J.inference_sets(_sites(spark, sf))[0], "windows")
+    fitted.save(path)
+    out = f"{path}-predictions"
+    sinks.write_predictions(J.predict(structure, ML.FittedEnsemble.load(spark, path)), out)
+    again = spark.read.option("sep", "\t").option("header", True).csv(out).select(
+        "contig", F.col("position").cast("long"), F.col("Combined_Prob").cast("double").alias("again"))
+    both = J.predict(structure, fitted).join(again, ["contig", "position"], "full")
+    return both.select("contig", "position", (F.abs(F.col("again") - F.col("Combined_Prob")) < 1e-9).alias("same"))
+
+
 def q_fit_counts(spark, sf):
     """The rows that the report counts, by split and model."""
     return q_fit_report(spark, sf).select("split", "model", "n")
@@ -295,9 +364,23 @@ def q_fit_report(spark, sf):
     return report
 
 
+def q_fit_history(spark, sf):
+    """Rows and metrics of both splits for each round of the network's training."""
+    fitted, _ = J.fit(_structure(spark, sf))
+    return ML.training_history(spark, fitted)
+
+
+def q_history_check(spark, sf):
+    """The rows of both splits in the first round; whether the best training loss is below the first."""
+    history = stored(q_fit_history(spark, sf), "history")
+    return history.groupBy("split").agg(
+        F.max(F.when(F.col("round") == 0, F.col("n"))).alias("n"),
+        ((F.min("loss") < F.max(F.when(F.col("round") == 0, F.col("loss")))) | (F.col("split") == "valid")).alias("learns"))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)
 }
 
-ROWS_ONLY = {"ensemble_predict", "forest_score", "mlp_score", "fit_report"}
+ROWS_ONLY = {"ensemble_predict", "forest_score", "mlp_score", "fit_report", "fit_history"}

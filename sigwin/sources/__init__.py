@@ -1,3 +1,3 @@
-from sigwin.sources import fixtures, sinks, tsv
+from sigwin.sources import fixtures, profile, sinks, tsv
 
-__all__ = ["fixtures", "sinks", "tsv"]
+__all__ = ["fixtures", "profile", "sinks", "tsv"]

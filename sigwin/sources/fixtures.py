@@ -7,7 +7,7 @@ query reads the given tables and its work grows with them:
 * ``event_table``   -- signal events (T1) from ``events``
 * ``site_reference``-- 1-based modification sites (T5) from the event table
 * ``profile_long``  -- per-position reactivity scores, as text
-* ``profile_lines`` -- the same as ragged text lines (T6 file format), with a
+* ``profile_fields`` -- the same as the fields of a ragged profile file (T6), with a
   duplicate line and a short line so the dedup rule is exercised
 * ``scored_docs``   -- truth + scores for the ranking metrics
 
@@ -16,10 +16,16 @@ The identical definitions in DuckDB SQL live in ``sigwin.plans.oracle``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigwin.functions.columns import contig_key
+from sigwin.operators.labels import PIECE, profile_pieces
+
+#: Splits of the second line of the first transcript's file come after those of the first.
+SECOND = 1 << 40
 
 # Fixed values of the fixture: the k-mer source pattern and the event types
 # mapped to contig numbers (anything else shares contig 5).
@@ -93,42 +99,50 @@ def profile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(contig_key("contig").alias("tx"), p.alias("pos"), score.alias("score")))
 
 
-def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ragged profile lines ``tx  length  *  s0  s1 ...`` with an ``ord``.
+def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields ``(value, file, start, row)`` of profile files, as ``sources.profile`` reads them.
 
-    Gaps are padded with 'NULL' so array index = position.  A second, later
-    line for the first transcript (all '0.50') must lose to the first line,
-    and a short line for the 'view' transcript leaves it without scores.
+    One file a transcript, and one split for every 4,096 positions; gaps are 'NULL', so that
+    a score's place is its position.  The last field of a line ends with a line break.  The
+    first transcript's file has a second line (all '0.50'), whose id follows the break in the
+    same field and which must lose to the first line; a file for the 'view' transcript has
+    a short line, which leaves it without scores.
     """
-    pl = profile_long(spark, sf_dir)
-    per_tx = pl.groupBy("tx").agg(
-        F.max("pos").alias("max_pos"),
-        F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("m"))
-    scores = F.transform(F.sequence(F.lit(0).cast("long"), F.col("max_pos")),
-                         lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit("NULL")))
-    long_lines = per_tx.select(
-        "tx",
-        F.concat_ws("\t", F.col("tx"), (F.col("max_pos") + 1).cast("string"), F.lit("*"),
-                    F.array_join(scores, "\t")).alias("value"),
-        F.lit(0).alias("grp"))
+    long = profile_long(spark, sf_dir)
+    pieces = profile_pieces(long)
+    last = long.groupBy("tx").agg(F.max("pos").alias("last"))
+    bucket = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.lit(PIECE)).cast("long")))
+    # At most PIECE positions a row, so no row holds a transcript.
+    cut = last.select("tx", "last", bucket.alias("bucket")).join(pieces, ["tx", "bucket"], "left")
+    places = F.sequence(F.lit(0), F.least(F.lit(PIECE - 1), (F.col("last") - F.col("bucket") * PIECE)).cast("int"))
+    score = F.coalesce(F.try_element_at("scores", F.col("at")), F.lit("NULL"))
+    scores = (cut.select("tx", "last", "bucket", "scores", F.explode(places).alias("at"))
+              .select("tx", "last", "bucket", (F.col("bucket") * PIECE + F.col("at")).alias("pos"), score.alias("score")))
     first_tx = F.concat(F.lit("ENST"), F.lpad(F.lit("1"), 11, "0"), F.lit(".1"))
-    dup = (per_tx.where(F.col("tx") == first_tx)
-           .select("tx", F.concat_ws("\t", F.col("tx"), (F.col("max_pos") + 1).cast("string"),
-                                     F.lit("*"),
-                                     F.array_join(F.transform(
-                                         F.sequence(F.lit(0).cast("long"), F.col("max_pos")),
-                                         lambda i: F.lit("0.50")), "\t")).alias("value"),
-                   F.lit(1).alias("grp")))
-    view_tx = F.concat(F.lit("ENST"), F.lpad(F.lit("5"), 11, "0"), F.lit(".1"))
-    short = (event_table(spark, sf_dir).where(F.col("contig").like("%view"))
-             .select(contig_key("contig").alias("tx")).distinct()
-             .where(F.col("tx") == view_tx)
-             .select("tx", F.concat_ws("\t", F.col("tx"), F.lit("0")).alias("value"),
-                     F.lit(2).alias("grp")))
-    lines = long_lines.unionByName(dup).unionByName(short)
-    # ord orders the lines of one transcript as in a file: the long line
-    # first, then the duplicate, then the short line.
-    return lines.select("value", F.col("grp").cast("long").alias("ord"))
+    ends = F.col("pos") == F.col("last")
+    after = F.when(F.col("tx") == first_tx, F.concat(F.lit("\n"), F.col("tx"))).otherwise(F.lit("\n"))
+    line = scores.select(F.when(ends, F.concat("score", after)).otherwise(F.col("score")).alias("value"),
+                         F.col("tx").alias("file"), "bucket", (F.col("pos") + 3).alias("row"))
+    lead = F.array(*[F.struct(F.lit(i).cast("long").alias("row"), v.alias("value")) for i, v in enumerate(
+        (F.col("tx"), (F.col("last") + 1).cast("string"), F.lit("*")))])
+    leads = last.select(F.col("tx").alias("file"), F.lit(0).cast("long").alias("bucket"), F.inline(lead))
+    again = scores.where(F.col("tx") == first_tx)
+    second = again.select(F.when(ends, F.lit("0.50\n")).otherwise(F.lit("0.50")).alias("value"),
+                          F.col("tx").alias("file"), (F.col("bucket") + SECOND).alias("bucket"),
+                          (F.col("last") + 6 + F.col("pos")).alias("row"))
+    lead = F.array(*[F.struct((F.col("last") + 4 + i).alias("row"), v.alias("value")) for i, v in enumerate(
+        ((F.col("last") + 1).cast("string"), F.lit("*")))])
+    leads2 = last.where(F.col("tx") == first_tx).select(
+        F.col("tx").alias("file"), F.lit(SECOND).cast("long").alias("bucket"), F.inline(lead))
+    view = F.concat(F.lit("ENST"), F.lpad(F.lit("5"), 11, "0"), F.lit(".1"))
+    short = F.array(*[F.struct(F.lit(i).cast("long").alias("row"), v.alias("value")) for i, v in enumerate(
+        (F.col("tx"), F.lit("0\n")))])
+    shorts = (event_table(spark, sf_dir).where(F.col("contig").like("%view")).select(contig_key("contig").alias("tx"))
+              .distinct().where(F.col("tx") == view)
+              .select(F.col("tx").alias("file"), F.lit(0).cast("long").alias("bucket"), F.inline(short)))
+    names = ["value", "file", F.col("bucket").alias("start"), "row"]
+    parts = [t.select(*names) for t in (line, leads, second, leads2, shorts)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,15 +38,15 @@ def write_training_windows(df: DataFrame, path: str, fmt: str = "tsv",
     (write_tsv if fmt == "tsv" else write_parquet)(df, path, order)
 
 
-def write_inference_sets(structure: DataFrame, m6a: DataFrame, prefix: str,
-                         fmt: str = "tsv") -> tuple[str, str]:
-    """Both inference outputs (B3): ``<prefix>.structure`` and ``<prefix>.m6a``.
-    The caller builds both from one (persisted) window table."""
-    writer = write_tsv if fmt == "tsv" else write_parquet
-    s_path, m_path = f"{prefix}.structure.{fmt}", f"{prefix}.m6a.{fmt}"
-    writer(structure, s_path, ["contig", "position"])
-    writer(m6a, m_path, ["contig", "position"])
-    return s_path, m_path
+def write_inference_sets(tagged: DataFrame, prefix: str, fmt: str = "tsv") -> dict[str, str]:
+    """Both inference outputs (B3) by one job: the folder ``prefix`` has a partition ``set=...``
+    for each set of the tagged windows, ordered by contig, position.  Returns set -> path."""
+    writer = tagged.orderBy("set", "contig", "position").write.mode("overwrite").partitionBy("set")
+    if fmt == "tsv":
+        writer.option("sep", "\t").option("header", True).option("emptyValue", "").csv(prefix)
+    else:
+        writer.parquet(prefix)
+    return {name: f"{prefix}/set={name}" for name in ("structure", "m6a")}
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "tsv") -> None:

@@ -1,5 +1,5 @@
 """Readers for the tab-separated files of the pipeline (events, sites, site
-reference, reactivity profile, windows).
+reference, windows); ``sources.profile`` reads reactivity profiles.
 
 Every column is read as text and converted with ``try_cast`` so that the
 tokens ``nan``, ``inf`` and ``-inf`` survive (the typed CSV reader turns them
@@ -9,7 +9,9 @@ NaN becomes NULL at this boundary; +/-inf is kept until the finite filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +34,7 @@ def _double(name: str) -> Column:
 
 
 def _long(name: str) -> Column:
-    # Whole numbers only, also written with a fraction of zero (``12.0``).
-    number = F.col(name).try_cast(T.DoubleType())
-    whole = F.when((F.rint(number) == number) & (F.abs(number) < 2.0 ** 53), number.try_cast(T.LongType()))
-    return F.coalesce(F.col(name).try_cast(T.LongType()), whole).alias(name)
+    return _integer(F.col(name), T.LongType()).alias(name)
 
 
 def _file_order() -> Column:
@@ -57,7 +56,7 @@ def events_from_frame(df: DataFrame, ord_col: str | None = None,
     df = df.drop(*S.EVENT_DROPPED)
     missing = [c for c in S.EVENT_REQUIRED if c not in df.columns]
     if missing:
-        raise SchemaError(f"Lack of necessary columns: {missing}")
+        raise SchemaError(f"the table has no column {', '.join(missing)}")
     if ord_col is not None:
         ord_expr = F.col(ord_col).cast("long")
     elif "ord" in df.columns:
@@ -83,7 +82,7 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     df = _read_text_table(spark, path)
     missing = [c for c in S.SITE_COLUMNS if c not in df.columns]
     if missing:
-        raise SchemaError(f"Lack of necessary columns: {missing}")
+        raise SchemaError(f"the table has no column {', '.join(missing)}")
     return df.select(F.col("contig"), _long("position"), F.col("reference_kmer"),
                      *[_double(c) for c in S.SITE_COLUMNS[3:]])
 
@@ -98,46 +97,11 @@ def read_site_reference(spark: SparkSession, path: str) -> DataFrame:
             .dropDuplicates(["tx", "pos1"]))
 
 
-def read_profile_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw profile lines with their order: by file name, then as in the file."""
-    return spark.read.text(path).select("value", _file_order().alias("ord"))
-
-
-def parse_profile_lines(lines: DataFrame) -> DataFrame:
-    """Ragged profile lines ``tx  length  *  s0  s1 ...`` -> (tx, scores).
-
-    Rule for repeated transcripts: the first long line wins, but any short
-    line (< 4 fields) for a transcript, before or after, leaves it with no
-    scores.  One keyed aggregate; partial aggregation keeps at most one
-    candidate array per transcript per task.
-    """
-    stripped = F.regexp_replace(F.col("value"), r"^\s+|\s+$", "")
-    parsed = (lines.select(stripped.alias("line"), F.col("ord"))
-              .where(F.length("line") > 0)
-              .select(F.split(F.col("line"), "\t", -1).alias("cols"), "ord"))
-    short = F.size("cols") < 4
-    per_line = parsed.select(
-        F.col("cols")[0].alias("tx"), short.alias("short"),
-        F.when(~short, F.slice(F.col("cols"), 4, F.size("cols") - 3)).alias("scores"),
-        F.when(~short, F.col("ord")).alias("long_ord"))
-    agg = per_line.groupBy("tx").agg(
-        F.max(F.col("short").cast("int")).alias("poisoned"),
-        F.min_by("scores", "long_ord").alias("first_scores"))
-    return agg.select(
-        "tx",
-        F.when(F.col("poisoned") == 1, F.array().cast("array<string>"))
-         .otherwise(F.col("first_scores")).alias("scores"))
-
-
-def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Reactivity profile (A4) as (tx, scores array<string>)."""
-    return parse_profile_lines(read_profile_lines(spark, path))
-
-
-def profile_to_long(profile: DataFrame) -> DataFrame:
-    """(tx, scores) -> (tx, pos, score): zero-based position per score."""
-    return profile.select("tx", F.posexplode("scores").alias("pos", "score")).select(
-        "tx", F.col("pos").cast("long").alias("pos"), "score")
+def _integer(text: Column, kind: T.DataType) -> Column:
+    """A whole number that fits, also written with a fraction of zero (``1.0``); else NULL."""
+    number = text.try_cast(T.DoubleType())
+    whole = F.when((F.rint(number) == number) & (F.abs(number) < 2.0 ** 53), number.try_cast(kind))
+    return F.coalesce(text.try_cast(kind), whole)
 
 
 def read_windows(spark: SparkSession, path: str, with_accounting: bool = False):
@@ -145,36 +109,43 @@ def read_windows(spark: SparkSession, path: str, with_accounting: bool = False):
 
     Lines with more fields than the header are skipped (pandas'
     on_bad_lines='skip'); shorter lines are padded with NULL and later
-    removed by the finite filter.  With ``with_accounting`` also returns a
-    (item, n) frame with lines read and skipped.
+    removed by the finite filter.  Lines whose position or label is no whole
+    number (``nan``, ``inf``, ``5.7``, text) are dropped; a label may be
+    missing.  With ``with_accounting`` also returns an ``Observation`` with the
+    lines read, skipped and dropped, counted by the first job that reads the windows.
     """
     lines = spark.read.text(path)
     header = lines.first()
     if header is None:
         raise SchemaError(f"empty window file: {path}")
     names = header[0].rstrip("\r\n").split("\t")
-    body = lines.where(F.col("value") != F.lit(header[0]))
-    parts = body.select(F.split(F.regexp_replace("value", "\r$", ""), "\t", -1).alias("p"))
+    parts = (lines.where(F.col("value") != F.lit(header[0]))
+             .select(F.split(F.regexp_replace("value", "\r$", ""), "\t", -1).alias("p")))
     fits = F.size("p") <= len(names)
-    kept = parts.where(fits)
+    whole = {n: _integer(F.get(F.col("p"), names.index(n)), kind)
+             for n, kind in (("position", T.LongType()), ("label", T.IntegerType())) if n in names}
+    usable = F.lit(True)
+    for name, value in whole.items():
+        given = F.get(F.col("p"), names.index(name))
+        missing = (F.lit(name == "label") & (given.isNull() | (F.trim(given) == "")))
+        usable = usable & F.coalesce(value.isNotNull() | missing, F.lit(False))
+    seen = None
+    if with_accounting:
+        seen = Observation(f"windows-{uuid.uuid4().hex}")
+        parts = parts.observe(seen, F.count(F.lit(1)).alias("lines_read"),
+                              F.count(F.when(~fits, 1)).alias("lines_skipped"),
+                              F.count(F.when(fits & ~usable, 1)).alias("lines_dropped"))
     cols = []
     for i, name in enumerate(names):
         raw = F.get(F.col("p"), i)
         if name == "contig":
             cols.append(raw.alias(name))
-        elif name in ("position", "label"):
-            cols.append(raw.try_cast(T.DoubleType()).cast(
-                T.LongType() if name == "position" else T.IntegerType()).alias(name))
+        elif name in whole:
+            cols.append(whole[name].alias(name))
         else:
             cols.append(nan_to_null(raw.try_cast(T.DoubleType())).alias(name))
-    out = kept.select(*cols)
-    if not with_accounting:
-        return out
-    acct = parts.agg(F.count(F.lit(1)).alias("read"),
-                     F.sum(F.when(~fits, 1).otherwise(0)).cast("long").alias("skipped"))
-    acct = acct.select(F.expr("stack(2, 'lines_read', read, 'lines_skipped', skipped)")
-                       .alias("item", "n"))
-    return out, acct
+    out = parts.where(fits & usable).select(*cols)
+    return (out, seen) if with_accounting else out
 
 
 def check_window_columns(df: DataFrame, expected: int = len(S.WINDOW_COLUMNS)) -> None:

@@ -89,7 +89,7 @@ def test_relative_diff_formula(spark):
 
 def test_clean_plan_does_not_shuffle_raw_events_when_stats_are_small(spark):
     df = events_df(spark, ev([1.0, 2.0, 3.0]))
-    plan = C.clean_events(df, max_broadcast_rows=1000)._jdf.queryExecution().executedPlan().toString()
+    plan = C.clean_events(df, max_broadcast_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
 
 
@@ -108,39 +108,21 @@ def test_clean_result_independent_of_partitioning(spark):
             assert u == v or abs(u - v) <= 1e-9 * max(1.0, abs(u))
 
 
-def test_hot_site_path_equals_default(spark):
-    """Forcing every site over 8 events through the hot path (exact
-    distributed medians, split joins, no broadcast of the statistics)
-    gives the same site table."""
+def test_shuffle_joins_equal_broadcast(spark):
+    """Without any broadcast (statistics, digits of the medians) the site table is the same."""
     from sigwin.sources import fixtures as FX
     from sigwin.functions.columns import round_doubles
     ea = FX.event_table(spark, "/root/testdata/sf0.01")
-    hot = C.hot_sites(ea, 8)
-    assert hot is not None and hot.count() > 100
     a = round_doubles(C.clean_events(ea)).collect()
-    b = round_doubles(C.clean_events(ea, max_broadcast_rows=10, hot_rows=8)).collect()
+    spark.conf.set("sigwin.broadcast.maxBytes", "1")
+    try:
+        b = round_doubles(C.clean_events(ea)).collect()
+    finally:
+        spark.conf.unset("sigwin.broadcast.maxBytes")
     key = lambda r: (r["contig"], r["position"])
     assert sorted(a, key=key) == sorted(b, key=key)
 
 
-def test_exact_medians_brute_force(spark):
-    import random
-    import statistics
-    rnd = random.Random(11)
-    rows = []
-    for p in range(4):
-        for i in range(rnd.randint(1, 60)):
-            v = None if rnd.random() < 0.1 else round(rnd.gauss(10, 3), 1)
-            rows.append(("ENST1.1", p, "GGACT", v, 1.0, 1.0, 1.0, 1.0, len(rows)))
-    df = events_df(spark, rows)
-    got = {r["position"]: r["_med_event_level_mean"]
-           for r in C.exact_medians(df, ["event_level_mean"], ranges=3).collect()}
-    for p in range(4):
-        vals = [r[3] for r in rows if r[1] == p and r[3] is not None]
-        if vals:
-            assert got[p] == pytest.approx(statistics.median(vals))
-
-
 def _site(spark, values):
     rows = [("ENST1", 1, "AAAAA", float(v), 1.0, 1.0, 1.0, 0.0, i) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "contig string, position long, reference_kmer string, event_level_mean double, "
@@ -150,19 +132,16 @@ def _site(spark, values):
 
 def test_small_large_missing_and_infinite_values(spark):
     from sigwin.operators.clean import clean_events
-    for hot in (None, 2):
-        def run(values, hot=hot):
-            return clean_events(_site(spark, values), hot_rows=hot).first()
-        assert abs(run([1e-13, 2e-13, 3e-13])["event_level_mean"] - 2e-13) < 1e-20
-        assert abs(run([9e25, 8e25, 7e25])["event_level_mean"] / 8e25 - 1) < 1e-12
-        row = run([1.0, float("nan"), 3.0])
-        assert row["event_level_median"] == 2.0 and row["event_level_mean"] is None
-        assert run([1.0, 2.0, float("inf")])["event_level_mean"] == 2.0
+    def run(values):
+        return clean_events(_site(spark, values)).first()
+    assert abs(run([1e-13, 2e-13, 3e-13])["event_level_mean"] - 2e-13) < 1e-20
+    assert abs(run([9e25, 8e25, 7e25])["event_level_mean"] / 8e25 - 1) < 1e-12
+    row = run([1.0, float("nan"), 3.0])
+    assert row["event_level_median"] == 2.0 and row["event_level_mean"] is None
+    assert run([1.0, 2.0, float("inf")])["event_level_mean"] == 2.0
 
 
-def test_group_median_of_hot_sites_is_the_same(spark):
+def test_group_median_of_missing_values(spark):
     df = events_df(spark, ev([3.0, None, 1.0, 2.0, 2.0, 9.0], pos=1) + ev([4.0, 5.0], pos=2)
                    + ev([None, None, None, None], pos=3))
-    plain, hot = (sorted((tuple(r) for r in C.group_median(df, hot_rows=n).collect()), key=str) for n in (None, 3))
-    assert plain == hot
-    assert {r[1]: r[2] for r in hot} == {1: 2.0, 2: 4.5, 3: None}
+    assert {r[1]: r[2] for r in C.group_median(df).collect()} == {1: 2.0, 2: 4.5, 3: None}

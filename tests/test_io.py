@@ -5,7 +5,7 @@ import os
 import pytest
 
 from sigwin import schemas as S
-from sigwin.sources import sinks, tsv
+from sigwin.sources import profile, sinks, tsv
 
 
 def write(path, text):
@@ -56,8 +56,8 @@ def test_read_profile_file(spark, scratch):
     p = write(os.path.join(scratch, "prof.tsv"),
               "ENST1.1\t4\t*\t0.1\tNULL\t0.9\t0.3\nENST2.1\t2\t*\t0.5\t0.6\nENST2.1\t1\n"
               "ENST1.1\t4\t*\t1\t1\t1\t1\n")
-    got = {r["tx"]: r["scores"] for r in tsv.read_profile(spark, p).collect()}
-    assert got == {"ENST1.1": ["0.1", "NULL", "0.9", "0.3"], "ENST2.1": []}
+    got = sorted(tuple(r) for r in profile.read_profile(spark, p).collect())
+    assert got == [("ENST1.1", i, x) for i, x in enumerate(["0.1", "NULL", "0.9", "0.3"])]
 
 
 def test_read_windows_skips_long_rows(spark, scratch):
@@ -66,15 +66,25 @@ def test_read_windows_skips_long_rows(spark, scratch):
     long = good + "\textra"
     short = "\t".join(["ENST1.1", "4"] + ["1.0"] * 10)
     p = write(os.path.join(scratch, "w.tsv"), "\n".join([header, good, long, short]) + "\n")
-    df, acct = tsv.read_windows(spark, p, with_accounting=True)
+    df, seen = tsv.read_windows(spark, p, with_accounting=True)
     tsv.check_window_columns(df)
-    assert df.count() == 2
-    a = {r["item"]: r["n"] for r in acct.collect()}
-    assert a == {"lines_read": 3, "lines_skipped": 1}
+    assert len(df.collect()) == 2
+    assert seen.get == {"lines_read": 3, "lines_skipped": 1, "lines_dropped": 0}
     from sigwin.operators.windows import finite_filter
     assert finite_filter(df).count() == 1
 
 
+def test_read_windows_drops_what_is_no_whole_number(spark, scratch):
+    header = "\t".join(S.WINDOW_COLUMNS)
+    ends = [("3", "1"), ("4.0", "0.0"), ("5.7", "1"), ("6", "1.9"), ("inf", "1"), ("nan", "0"), ("7", "nan"),
+            ("8", "1e30"), ("x", "1"), ("9", ""), ("1e300", "1")]
+    lines = ["\t".join(["ENST1.1", p] + ["1.0"] * 56 + [label]) for p, label in ends]
+    path = write(os.path.join(scratch, "odd.tsv"), "\n".join([header, *lines]) + "\n")
+    df, seen = tsv.read_windows(spark, path, with_accounting=True)
+    assert sorted((r["position"], r["label"]) for r in df.collect()) == [(3, 1), (4, 0), (9, None)]
+    assert seen.get == {"lines_read": 11, "lines_skipped": 0, "lines_dropped": 8}
+
+
 def test_sites_round_trip(spark, scratch):
     from tests.helpers import site_rows, sites_df
     df = sites_df(spark, site_rows("ENST1.1", range(0, 5)))
@@ -89,10 +99,12 @@ def test_inference_outputs_and_predictions(spark, scratch):
     from sigwin.plans import jobs as J
     sites = sites_df(spark, site_rows("ENST1.1", range(0, 12), kmer="GGACT"))
     structure, m6a = J.inference_sets(sites)
-    s_path, m_path = sinks.write_inference_sets(structure, m6a, os.path.join(scratch, "x"))
-    s_back, _ = tsv.read_windows(spark, s_path), None
-    assert s_back.count() == structure.count() == 6
-    assert {r["label"] for r in s_back.collect()} == {-1}
+    for fmt in ("tsv", "parquet"):
+        paths = sinks.write_inference_sets(J.inference_windows(sites), os.path.join(scratch, fmt), fmt)
+        for name, want in (("structure", structure), ("m6a", m6a)):
+            back = tsv.read_windows(spark, paths[name]) if fmt == "tsv" else spark.read.parquet(paths[name])
+            assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
+    assert structure.count() == m6a.count() == 6 and {r["label"] for r in structure.collect()} == {-1}
 
 
 def test_first_row_over_many_files_follows_their_names(spark, scratch):
@@ -107,7 +119,7 @@ def test_first_row_over_many_files_follows_their_names(spark, scratch):
     os.makedirs(folder)
     write(os.path.join(folder, "a.tsv"), "ENST1.1\t1\t*\t0.1\n")
     write(os.path.join(folder, "b.tsv"), "ENST1.1\t1\t*\t0.9\n" * 500)
-    assert [r["scores"] for r in tsv.read_profile(spark, folder).collect()] == [["0.1"]]
+    assert [tuple(r) for r in profile.read_profile(spark, folder).collect()] == [("ENST1.1", 0, "0.1")]
 
 
 def test_training_windows_and_predictions_round_trip(spark, scratch):
