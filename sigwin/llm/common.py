@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwin.session import ensure_checkpoint_dir
+from sigwin.session import broadcast_bytes, ensure_checkpoint_dir, table_bytes
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -27,13 +27,12 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers that may be broadcast: 64 bytes each are 32 MiB.
-BROADCAST_ROWS = 1 << 19
+def broadcast_if_small(df: DataFrame, row_bytes: int | None = None) -> DataFrame:
+    """``df``, a stored table, to be broadcast if its bytes allow (``sigwin.broadcast.maxBytes``).
 
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """``df``, a stored table of a few numbers a row, to be broadcast if its counted rows allow."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    ``row_bytes`` bounds a row of fixed width; without it the values' lengths are summed.
+    """
+    return F.broadcast(df) if table_bytes(df, row_bytes) <= broadcast_bytes(df.sparkSession) else df
 
 
 def fresh_names(taken: Iterable[str], *wanted: str) -> list[str]:

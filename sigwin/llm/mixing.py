@@ -8,7 +8,8 @@ decided by a seeded hash of the document.
 Defined results: a null text has size 0 and is taken 0 words; a null source is a
 source of its own, last in order; repeated rows get the same draw (one row in,
 one row out); a source without words has target 0; an empty table gives no rows;
-columns of the input beyond the ones read stay untouched in ``mixed_documents``.
+columns of the input beyond the ones read, whatever their names, stay untouched in
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwin.llm.common import broadcast_if_small, stored, text_or_empty
+from sigwin.llm.common import broadcast_if_small, fresh_names, stored, text_or_empty
 
 SEED = 20240
 MAX_RATE = 3.0
@@ -64,29 +65,31 @@ def copies(rate: Column, key: Column, seed: int = SEED) -> Column:
     return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies`` appended."""
-    sized = docs.withColumn("_size", word_count(text_or_empty()))
-    targets = source_targets(sized.select("source", F.col("_size").alias("size")), **options)
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
-                             F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    # One row per source: broadcast if its counted rows allow; else a join in which hot sources are split.
+def _mix(docs: DataFrame, names: list[str], **options) -> DataFrame:
+    """``docs`` with size, size of its source, target of its source and copies, called ``names``."""
+    size, source_size, target, times = names
+    source, rate = fresh_names([*docs.columns, *names], "source", "rate")
+    sized = docs.withColumn(size, word_count(text_or_empty()))
+    targets = source_targets(sized.select("source", F.col(size).alias("size")), **options)
+    targets = targets.select(F.col("source").alias(source), F.col("source_size").alias(source_size),
+                             F.col("target").alias(target), F.col("rate").alias(rate))
+    # One row per source: broadcast if its bytes allow; else a join in which hot sources are split.
     targets = broadcast_if_small(stored(targets, "targets"))
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(source)), "left")
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(text_or_empty()).cast("string"))
-    return joined.withColumn("_copies", copies(F.col("_rate"), key)).drop("_source", "_rate")
+    return joined.withColumn(times, copies(F.col(rate), key)).drop(source, rate)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, copies."""
-    return mix(docs.select("doc_id", "text", "source"), **options).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
-        F.col("_copies").alias("copies"))
+    names = ["size", "source_size", "target", "copies"]
+    return _mix(docs.select("doc_id", "text", "source"), names, **options).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns as in ``docs``."""
-    repeated = mix(docs, **options).where(F.col("_copies") > 0)
-    return (repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    *names, copy = fresh_names(docs.columns, "size", "source_size", "target", "copies", "copy")
+    repeated = _mix(docs, names, **options).where(F.col(names[-1]) > 0)
+    return (repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[-1]).cast("int"))))
             .select(*docs.columns))

@@ -40,6 +40,46 @@ def test_exact_dedup_full_filter(docs, monkeypatch):
     assert sorted(map(str, exact_dedup.dedup_report(docs).collect())) == want
 
 
+@pytest.mark.parametrize("broadcast", ["", "1"])
+def test_exact_dedup_of_a_shuffled_table(spark, broadcast):
+    """Rows whose places differ from read to read: each of 500 texts keeps one row; columns clash with all names used."""
+    clash = ["_row", "_sha", "sha", "_block", "_bits", "_maybe", "_key", "maybe", "__KEY", "_stays", "_times", "bits"]
+    df = spark.range(4000).selectExpr(
+        "id AS doc_id", "concat(if(id % 2 = 0, 'Text ', 'tEXT '), id % 500) AS text", *[f"id * 3 AS `{c}`" for c in clash])
+    spark.conf.set("sigwin.broadcast.maxBytes", broadcast or str(64 << 20))
+    try:
+        for docs in (df.repartition(3), df.repartition(7), df.unionByName(df).repartition(5)):
+            kept = exact_dedup.deduplicated(docs)
+            assert kept.columns == docs.columns
+            rows = kept.collect()
+            assert sorted(r.doc_id for r in rows) == list(range(3500, 4000))
+            assert all(r[c] == 3 * r.doc_id for r in rows for c in clash)
+            report = exact_dedup.dedup_report(docs).collect()
+            assert len(report) == docs.count() and sum(r.kept for r in report) == 500
+            assert {r.group_size for r in report} == {docs.count() // 500}
+    finally:
+        spark.conf.unset("sigwin.broadcast.maxBytes")
+
+
+def test_exact_dedup_of_null_ids(spark):
+    rows = [(None, "a"), (None, "A"), (3, "b"), (None, "B"), (3, "b"), (4, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in exact_dedup.deduplicated(df).collect()))) in (
+        [str(x) for x in sorted([(3, "b"), (4, None), (None, t)], key=str)] for t in ("a", "A"))
+    assert sum(r.kept for r in exact_dedup.dedup_report(df).collect()) == 3
+
+
+def test_mix_leaves_columns_of_its_own_names_alone(spark):
+    clash = ["_size", "_source", "_source_size", "_target", "_rate", "_copies", "_copy", "SIZE", "copies"]
+    df = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', int(id % 9)) AS text", "concat('s', id % 4) AS source",
+                                     *[f"id * 7 AS `{c}`" for c in clash])
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert all(r[c] == 7 * r.doc_id for r in rows for c in clash)
+    assert len(rows) == sum(r.copies for r in mixing.mix_report(df).collect())
+
+
 def test_exact_dedup_plan_is_native(docs):
     plan = exact_dedup.dedup_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
