@@ -2,88 +2,124 @@
 
 Every word (hashed to one of ``VOCABULARY`` rows) has a fixed sparse random index
 vector; its word vector is the sum of the index vectors of its neighbours over all
-documents.  A document's word vectors are pooled (mean and deviation) next to a few
-counts of its words, and a two-layer numpy network with a temperature fitted on
-labelled rows it was not trained on gives the probability of label 1.
+documents.  A document's word vectors are pooled: their mean, their deviation, and the
+mean product of neighbouring vectors, each by component.  A two-layer numpy network with
+a temperature fitted on labelled rows it was not trained on gives the probability of
+label 1.  Nothing but the pooled vectors is an input.
 
-The word vectors cover all documents; their matrix has a fixed size (1 MiB).  The
+The word vectors cover all documents; their matrix has a fixed size (4 MiB).  The
 network is fitted on the driver from at most ``MAX_LABELLED`` labelled rows, chosen by
-a hash of doc_id, whose pooled vectors are ``2 * WIDTH + 8`` numbers each.
+a hash of doc_id, whose pooled vectors are ``3 * WIDTH`` numbers each.
 
 Defined results: null texts are empty texts; empty texts are scored like any other
 (all inputs zero); rows with a null doc_id are scored and not held out; repeated
 rows get equal scores; with no usable label the score is 0.5, with labels of one
-class it is near that class's rate; an empty table gives no rows; other columns are
-not read.
+class it is near that class's rate; an empty table gives no rows; other columns,
+whatever their names, are not read, and ``good_documents`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigwin.llm.common import added_up, arrow_schema, slices, task_batch
+from sigwin.llm.chunks import SortedChunkTable, bounds
+from sigwin.llm.common import added_up, arrow_schema, fresh_names, slices, task_batch
 
-VOCABULARY = 8192
+VOCABULARY = 32_768
 WIDTH = 32
 NONZERO = 4
 WINDOW = 2
-ROWS_OF_CHUNK = 512
+ROWS_OF_CHUNK = 2048
 #: The bound of the labelled sample.
 MAX_LABELLED = 20_000
 HIDDEN = 32
 EPOCHS = 60
 SEED = 7
 THRESHOLD = 0.3
-#: Words kept in a worker's table of hashes; beyond it the table starts anew.
-CACHED = 300_000
-TOKEN = re.compile(r"\w+|[^\w\s]+")
-_rows: dict[str, int] = {}
+#: Chunks of text whose words a worker keeps, and how many of them stay when there are more.
+CACHED, KEPT = 1_000_000, 500_000
+#: Bytes of text that are split at a time.
+AT_ONCE = 1 << 20
+WORD = re.compile(r"\w+|[^\w\s]+")
+SPACE, SIGN, LETTER = (np.isin(np.arange(256), list(x)) for x in (
+    b" \t\n\r", b"!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~", b"_0123456789" + bytes(range(65, 91)) + bytes(range(97, 123))))
 
 
 def index_vectors() -> np.ndarray:
-    """One sparse vector of +1 and -1 for each row of the vocabulary."""
+    """One sparse vector of +1 and -1 for each row of the vocabulary, and one of zeros: no word."""
     rng = np.random.default_rng(SEED)
     at = np.argsort(rng.random((VOCABULARY, WIDTH)), axis=1)[:, :NONZERO]
-    out = np.zeros((VOCABULARY, WIDTH), dtype=np.int8)
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], dtype=np.int8), at.shape), axis=1)
+    out = np.zeros((VOCABULARY + 1, WIDTH), dtype=np.int8)
+    np.put_along_axis(out[:-1], at, rng.choice(np.array([-1, 1], dtype=np.int8), at.shape), axis=1)
     return out
 
 
-def word_rows(words: list[str]) -> np.ndarray:
-    """The vocabulary rows of words."""
-    if len(_rows) > CACHED:
-        _rows.clear()
-    try:
-        return np.fromiter(map(_rows.__getitem__, words), np.int32, len(words))
-    except KeyError:
-        for w in set(words).difference(_rows):
-            _rows[w] = crc32(w.encode("utf-8", "replace")) % VOCABULARY
-        return np.fromiter(map(_rows.__getitem__, words), np.int32, len(words))
+def _words(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary rows of the words of chunks, and how many each chunk has."""
+    found = [[crc32(w.encode("utf-8", "replace")) % VOCABULARY for w in WORD.findall(c)] for c in chunks]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((r for rows in found for r in rows), "<u4", sizes.sum()), sizes
 
 
-def neighbour_sums(texts: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
-    """Add to ``into`` the index vectors of each word's neighbours in its text."""
-    rows = np.concatenate(texts)
-    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    for shift in range(1, min(WINDOW, len(rows) - 1) + 1):
-        pair = rows[:-shift].astype(np.int64) * VOCABULARY + rows[shift:]
-        pair, times = np.unique(pair[text[:-shift] == text[shift:]], return_counts=True)
-        if not len(pair):
+@lru_cache(1)
+def _table() -> SortedChunkTable:
+    return SortedChunkTable()
+
+
+def word_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vocabulary rows of the words of all texts, and how many words each has, about ``AT_ONCE`` bytes at a
+    time.  A text is cut at white space and between ASCII letters and signs, where words end anyway; each
+    distinct chunk is split once."""
+    table, held, size = _table(), [], 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size < AT_ONCE and i + 1 < len(texts):
             continue
-        left, right = pair // VOCABULARY, pair % VOCABULARY
-        for word, near in ((left, right), (right, left)):
-            at = np.argsort(word, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(word[at]) > 0])
-            into[word[at][first]] += np.add.reduceat(index[near[at]] * times[at, None], first, axis=0)
+        if len(table) > CACHED:
+            table.keep(KEPT)
+        data = b" " + b" ".join(held) + b" "
+        raw = np.frombuffer(data, np.uint8)
+        cut = np.zeros(len(raw), bool)
+        sign, letter = SIGN[raw], LETTER[raw]
+        cut[1:] = (sign[1:] & letter[:-1]) | (letter[1:] & sign[:-1])
+        start, end = bounds(raw, SPACE[raw], cut)
+        rows, upto = table.values(data, start, end, _words)
+        begins = 1 + np.cumsum([0] + [len(t) + 1 for t in held])
+        yield rows.astype(np.uint16), np.diff(np.r_[0, upto][np.searchsorted(start, begins)])
+        held, size = [], 0
+
+
+def neighbour_sums(rows: np.ndarray, sizes: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
+    """Add to ``into`` the index vectors of each word's neighbours in its text."""
+    if not len(rows):
+        return
+    # Between texts are places without a word, so that no window reaches another text.
+    gaps = np.repeat(np.arange(len(sizes)), sizes) * WINDOW + np.arange(len(rows)) + WINDOW
+    vectors = np.zeros((len(rows) + WINDOW * (len(sizes) + 1), WIDTH), np.int8)
+    vectors[gaps] = index[rows]
+    near = np.zeros_like(vectors)
+    for shift in range(1, WINDOW + 1):
+        near[shift:] += vectors[:-shift]
+        near[:-shift] += vectors[shift:]
+    order = np.argsort(rows, kind="stable")
+    word = rows[order]
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    into[word[first]] += np.add.reduceat(near[gaps[order]], first, axis=0, dtype=np.int32)
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -96,23 +132,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     arrow = arrow_schema(schema)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sums = index_vectors().astype(np.int64), np.zeros((VOCABULARY, WIDTH), dtype=np.int64)
+        index, sums = index_vectors(), np.zeros((VOCABULARY, WIDTH), dtype=np.int32)
         for batch in slices(batches):
-            texts, n = [], 0
-            for text in batch.column(0).to_pylist():
-                if text:
-                    texts.append(word_rows(TOKEN.findall(text)))
-                    n += len(texts[-1])
-                if n > 200_000:
-                    neighbour_sums(texts, index, sums)
-                    texts, n = [], 0
-            if n:
-                neighbour_sums(texts, index, sums)
+            for rows, sizes in word_rows(_texts(batch.column(0))):
+                neighbour_sums(rows, sizes, index, sums)
         for k in range(0, VOCABULARY, ROWS_OF_CHUNK):
             part = sums[k:k + ROWS_OF_CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [k], "batch": [task_batch()], "sums": [part.tobytes()]},
-                                                 schema=arrow)
+                yield pa.RecordBatch.from_pydict({"chunk": [k], "batch": [task_batch()],
+                                                  "sums": [part.astype(np.int64).tobytes()]}, schema=arrow)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, chunk = np.zeros(ROWS_OF_CHUNK * WIDTH, np.int64), 0
@@ -122,7 +150,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(part.as_py(), np.int64)
         yield pa.RecordBatch.from_pydict({"chunk": [chunk], "batch": [0], "sums": [total.tobytes()]}, schema=arrow)
 
-    sums = added_up(docs.select("text").mapInArrow(partial, schema), schema, add)
+    sums = added_up(docs.select(F.col("text").cast("string")).mapInArrow(partial, schema), schema, add)
     out = np.zeros((VOCABULARY, WIDTH))
     for row in sums.toLocalIterator():
         out[row["chunk"]:row["chunk"] + ROWS_OF_CHUNK] = np.frombuffer(row["sums"], np.int64).reshape(-1, WIDTH)
@@ -133,26 +161,17 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """A row of ``2 * WIDTH + 8`` inputs for each text."""
-    out = np.zeros((len(texts), 2 * vectors.shape[1] + 8))
-    for i, text in enumerate(texts):
-        words = TOKEN.findall(text or "")
-        if not words:
-            continue
-        rows, n = word_rows(words), len(words)
-        times = np.bincount(rows, minlength=1)
-        at = np.flatnonzero(times)
-        share = times[at] / n
-        v = vectors[at]
-        mean = share @ v
-        counts = Counter(words)
-        signs = sum(c for w, c in counts.items() if not (w[0].isalnum() or w[0] == "_"))
-        upper = sum(c for w, c in counts.items() if len(w) > 1 and w.isupper())
-        letters = sum(len(w) * c for w, c in counts.items())
-        out[i] = np.r_[mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0)), np.log1p(n) / 10,
-                       len(counts) / n, max(counts.values()) / n, signs / n, upper / n, letters / n / 10,
-                       text.count("\n") / n, len(text) / n / 10]
+def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """A row of ``3 * WIDTH`` inputs for each text: mean, deviation and neighbours' mean product."""
+    out, text = np.zeros((len(texts), 3 * vectors.shape[1])), 0
+    for rows, sizes in word_rows(texts):
+        every, end = vectors[rows], 0
+        for n in sizes.tolist():
+            if n:
+                v, one = every[end:end + n].astype(np.float64), np.ones(n)
+                mean, square, near = one @ v / n, one @ (v * v) / n, one[1:] @ (v[1:] * v[:-1]) / n
+                out[text] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), near])
+            text, end = text + 1, end + n
     return out
 
 
@@ -227,8 +246,9 @@ class Classifier:
     vectors: np.ndarray
     network: Network
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        return self.network.scores(pooled(texts, self.vectors)).tolist()
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Probabilities to nine places: the last ones depend on which texts are scored together."""
+        return np.round(self.network.scores(pooled(texts, self.vectors)), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
@@ -243,41 +263,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             if b.num_rows:
-                x = pooled(b.column("text").to_pylist(), vectors).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality"),
+                x = pooled(_texts(b.column(2)), vectors).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1),
                                                   pa.array([v.tobytes() for v in x], pa.binary())],
                                                  names=["doc_id", "quality", "x"])
 
-    got = (rows.select("doc_id", F.col("quality").cast("int"), "text")
+    got = (rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("text").cast("string"))
            .mapInArrow(inputs, "doc_id long, quality int, x binary")
            .groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect())
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], dtype=float).reshape(len(got), 2 * WIDTH + 8)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], dtype=float).reshape(len(got), 3 * WIDTH)
     return Classifier(vectors, fit_network(x, np.array([r["quality"] for r in got], dtype=float)))
 
 
-def with_score(docs: DataFrame, classifier: Classifier, column: str = "_score") -> DataFrame:
+def with_score(docs: DataFrame, classifier: Classifier, column: str) -> DataFrame:
     """``docs`` with the score of its text appended."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
+    fields = [*docs.schema.fields, T.StructField(column, T.DoubleType())]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            if b.num_rows:
-                scores = classifier.scores(b.column(names.index("text")).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, column])
+            scores = classifier.scores(_texts(b.column(at)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, f"{schema}, `{column}` double")
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     docs = docs.select("doc_id", "text")
-    scored = with_score(docs, fit(docs, labels, **options))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"),
-                         (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = with_score(docs, fit(docs, labels, **options), "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    return with_score(docs, fit(docs, labels, **options)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    score, = fresh_names(docs.columns, "score")
+    return with_score(docs, fit(docs, labels, **options), score).where(F.col(score) >= THRESHOLD).drop(score)

@@ -13,7 +13,8 @@ writes the same block.  Lengths come from counts over all documents.
 
 Defined results: null and empty texts are the end id alone; a null doc_id comes first;
 repeated rows are written one after the other; very long texts make one large block;
-an empty table gives no rows and no codes; other columns are not read.
+an empty table gives no rows and no codes; other columns are not read.  A corpus with
+more than ``2 ** LONGEST`` distinct ids raises a ValueError: its codes would be longer.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigwin.llm.chunks import ChunkTable
+from sigwin.llm.chunks import SortedChunkTable, bounds
 from sigwin.llm.common import arrow_schema, pack, scratch_path, stored, text_or_empty, unpack
 
 END_ID = 2
@@ -40,30 +41,62 @@ LONGEST = 16
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 18
 #: Chunks of text whose ids a worker keeps, and how many of them stay when there are more.
-CACHED = 800_000
-KEPT = 200_000
+CACHED = 1_500_000
+KEPT = 750_000
+#: How the vocabulary marks the last token of a word, and the letters that all versions of Unicode agree on.
+WORD_END = "</w>"
+LATIN_END = "\u0250"
 #: Documents of a batch, and characters, that are split at a time.
 DOCS_AT_ONCE = 1024
 AT_ONCE = 1 << 20
 #: White space on which the tokenizer and str.split might differ.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SPACE, STOP, LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r", b".,", bytes(range(97, 123))))
+SPACE, SIGN, LETTER = (np.isin(np.arange(256), list(x)) for x in (
+    b" \t\n\r", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123))))
+#: The small letters of Latin-1 beyond ASCII are two bytes: this one and one of these (no division sign).
+ACCENTED, ACCENT = 0xC3, np.isin(np.arange(256), sorted({*range(0xA0, 0xC0)} - {0xB7}))
 
 
 class TokenCache:
     """Ids of texts by the tokenizers library, each distinct chunk of text encoded once.
 
-    A chunk ends at white space, or before a full stop or comma between an ASCII letter
-    and white space.  The tokenizer drops white space and splits there itself, so a text's
+    A chunk ends at white space, or between a small Latin letter and an ASCII sign that is no
+    apostrophe.  The tokenizer drops white space and splits there itself, so a text's
     ids are its chunks' ids one after the other.  Its lower-casing is done before, where
     that is sure to be the same, so that fewer chunks are distinct.
     """
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer, self.table = tokenizers.Tokenizer.from_file(path), ChunkTable()
+    def __init__(self, vocabulary: bytes) -> None:
+        self.tokenizer, self.table = tokenizers.Tokenizer.from_buffer(vocabulary), SortedChunkTable()
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        # Which ids end a word; the tokenizer marks them.
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for word, i in words.items() if word.endswith(WORD_END)]] = True
 
     def _make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has.
+
+        A chunk of letters is one word of the tokenizer, so such chunks are encoded together
+        without positions and told apart where words end.
+        """
+        plain = np.array([c.isalpha() and (c.isascii() or max(c) < LATIN_END) for c in chunks], bool)
+        letters = [c for c, p in zip(chunks, plain.tolist(), strict=True) if p]
+        others = [c for c, p in zip(chunks, plain.tolist(), strict=True) if not p]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+        upto = np.flatnonzero(self.ends[ids]) + 1
+        if len(upto) != len(letters):  # a tokenizer that does not mark words
+            return self._make_each(chunks)
+        other_ids, other_sizes = self._make_each(others)
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(upto, prepend=0), other_sizes
+        flat, of_letters = np.empty(sizes.sum(), "<u4"), np.repeat(plain, sizes)
+        flat[of_letters], flat[~of_letters] = ids, other_ids
+        return flat, sizes
+
+    def _make_each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode chunks as one sequence of single words."""
+        if not chunks:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
         sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(chunks))
         return np.array(found.ids, dtype="<u4"), sizes
@@ -78,11 +111,10 @@ class TokenCache:
         raw = np.frombuffer(data, np.uint8)
         space = SPACE[raw]
         cut = np.zeros(len(raw), bool)
-        cut[1:-1] = STOP[raw[1:-1]] & LETTER[raw[:-2]] & space[2:]
-        first, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
-        first[1:] = ~space[1:] & (space[:-1] | cut[1:])
-        last[:-1] = ~space[:-1] & (space[1:] | cut[1:])
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        letter = LETTER[raw]
+        letter[1:] |= (raw[:-1] == ACCENTED) & ACCENT[raw[1:]]
+        cut[1:] = SIGN[raw[1:]] & letter[:-1]
+        start, end = bounds(raw, space, cut)
         ids, upto = self.table.values(data, start, end, self._make)
         begins = 1 + np.cumsum([0] + [len(j) + 1 for j in joined])
         cuts = np.r_[0, upto][np.searchsorted(start, begins)].tolist()
@@ -125,8 +157,8 @@ def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 
 @lru_cache(1)
-def _cache(path: str) -> TokenCache:
-    return TokenCache(path)
+def _cache(vocabulary: bytes) -> TokenCache:
+    return TokenCache(vocabulary)
 
 
 def code_lengths(counts: dict[int, int], longest: int = LONGEST) -> dict[int, int]:
@@ -206,13 +238,15 @@ CODED = f"{PLACE}, checkpoints binary, bits binary"
 def tokenized_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Blocks of plain ids (``PLAIN``) in doc_id order, stored."""
     arrow = arrow_schema(PLAIN)
+    with open(tokenizer_path, "rb") as f:  # a vocabulary file of the driver's machine, of fixed size
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     ordered = (docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
                .withColumn("h", F.xxhash64("text"))
                .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h"))
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard = _cache(tokenizer_path), TaskContext.get().partitionId()
+        cache, shard = _cache(vocabulary.value), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         number = before = 0
         doc_ids, payloads, held = [], [], 0

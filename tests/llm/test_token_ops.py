@@ -16,6 +16,8 @@ from sigwin.llm import byte_bpe, token_files
 from .conftest import TEXTS
 
 WORD = P.path("word_bpe_49k.json")
+with open(WORD, "rb") as file:
+    CACHE = token_files.TokenCache(file.read())
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
 
@@ -33,9 +35,9 @@ def test_token_files(docs, no_docs):
 
 
 @settings(deadline=None, max_examples=60)
-@given(st.lists(st.text(alphabet="aAbBéÉΣσİ.,'<|> \n\t\x1c\u00a0\u0301x1", max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet="aAbBéÉΣσİ.,'<|> \n\t\x1c\u00a0\u0301x1#-_?’ñÿ÷×ªß中", max_size=40), max_size=5))
 def test_token_cache_is_the_library(texts):
-    cache = token_files._cache(WORD)
+    cache = CACHE
     want = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert cache.encode(texts) == want
 
@@ -96,3 +98,26 @@ def test_all_code_points_split_as_tiktoken_does():
 
     ids = [i for w in regex.findall(P.PATTERN, text) for i in encoding._encode_single_piece(w)]
     assert ids == encoding.encode_ordinary(text)
+
+
+def test_texts_of_many_lines_and_over_a_mebibyte_are_the_library():
+    texts = ["don't stop... l'été, naïve# " * 60_000, "word " * 3 + "x" * 1_100_000, "a-b_c d.e's " * 9]
+    library = tokenizers.Tokenizer.from_file(WORD)
+    for text, got in zip(texts, CACHE.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_sorted_chunk_table_forgets_and_finds():
+    from sigwin.llm.chunks import SortedChunkTable
+    table, rng = SortedChunkTable(), np.random.default_rng(1)
+    make = lambda chunks: (np.array([len(c) for c in chunks for _ in c], "<u4"), np.array([len(c) for c in chunks]))
+    for step in range(30):
+        words = ["w" * int(n) for n in rng.integers(1, 40, 50)]
+        data = " ".join(words).encode()
+        end = np.cumsum([len(w) + 1 for w in words]) - 1
+        start = end - [len(w) for w in words]
+        flat, upto = table.values(data, start, end, make)
+        assert flat.tolist() == [len(w) for w in words for _ in w] and upto[-1] == len(flat)
+        if step % 7 == 6:
+            table.keep(10)
+            assert len(table) == 10
