@@ -6,7 +6,9 @@ ratios are smoothed along the page and fused to one weight for each block.  Path
 whose mean weight reaches a threshold are content paths, and their blocks are returned.
 The threshold is overridden for
 
-* the blocks of main and article elements, which all stay;
+* the blocks of main and article elements: there only a container's own lines (a ``div``'s, not a
+  paragraph's, list item's, cell's or the like) are judged, against a lower threshold and by their
+  path's own ratios without their neighbours;
 * headings, which stay if a block below them does;
 * paragraphs with sentences (by their path's own means) and lists with text, under the lowest
   element that holds all content paths, main and article elements;
@@ -37,7 +39,7 @@ TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is not markup.
-RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -66,13 +68,19 @@ NOT_ARTICLE_NAMES = frozenset(
     "share sharing share-buttons social social-share social-links social-media related related-posts related-articles "
     "related-links recommended recommendations newsletter newsletter-signup subscribe subscription signup sign-up login "
     "widget widget-area pagination pager skip-link search searchbox search-box search-form searchform copyright "
-    "contentinfo complementary dialog hidden toc tags skip side promotion outbrain taboola".split())
+    "contentinfo complementary dialog hidden toc skip promotion outbrain taboola sponsored-box sponsored-content ad-unit ad_unit adunit ad-box adbox notice notices site-notice alert alerts legal legal-notice disclaimer privacy-notice privacy-policy paywall author-bio reader-comment reader-comments user-comment user-comments".split())
+#: Names of comments; an article element that bears one is a comment.
+COMMENT_NAMES = frozenset("comment comments comment-body reader-comment reader-comments user-comment user-comments "
+                          "reply replies".split())
+#: Elements whose lines are text of the article they are in, however short.
+TEXT_TAGS = frozenset("p li dt dd td th caption figcaption pre blockquote address details summary".split())
 HEADER_NAMES = frozenset(("header", "site-header", "banner"))
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、]")
-#: Fixed parameters: the smoothing kernel, the threshold as a part of the mean weight, and the
-#: most link text of a kept block.
+#: Fixed parameters: the smoothing kernel, the thresholds (within articles) as parts of the mean
+#: weight, and the most link text of a kept block.
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 THRESHOLD = 0.35
+ARTICLE_THRESHOLD = 0.25
 MOST_LINKS = 0.6
 #: Characters without links that a path's paragraphs or lists have on average to be prose.
 PROSE = 40
@@ -181,12 +189,16 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
         names = classes | roles | (ids if tag not in HEADINGS else set())
         inside_main = elements[parent].inside
         page = tag in ("html", "body")
-        main = 0 if page else 3 if tag == "main" or "main" in roles else 2 if tag == "article" else int("main" in names)
+        comment = bool(names & COMMENT_NAMES)
+        main = 0 if page else 3 if tag == "main" or "main" in roles else 2 if tag == "article" and not comment else int(
+            "main" in names)
         named = not page and (hidden or tag in WRAPPERS or (not main and bool(names & NOT_ARTICLE_NAMES)) or (
             not inside_main and not main and (tag == "header" or bool(names & HEADER_NAMES))))
         own = tag + "".join(sorted("." + w for w in names)) if tag in BLOCK else ""
+        # Within an article noscript holds what its script would show.
+        gone = tag in NOT_ARTICLE_TAGS and not (tag == "noscript" and inside_main > 1)
         elements.append(Element(tag, parent, elements[parent].path + ("/" + own if own else ""),
-                                elements[parent].out or tag in NOT_ARTICLE_TAGS, main, max(inside_main, main), named))
+                                elements[parent].out or gone, main, max(inside_main, main), named))
         stack.append(len(elements) - 1)
         links += tag == "a"
         if tag in BLOCK:
@@ -313,6 +325,7 @@ def extract(source: str | None) -> str:
     inside = np.array([elements[b.element].inside for b in blocks])
     marked = inside >= max(1, min(2, inside.max()))
     link &= ~marked
+    lines = np.array([elements[b.element].tag not in TEXT_TAGS | HEADINGS for b in blocks])
     if (outside | link).all():
         return ""
     weight = np.where(outside | link, 0.0, fused * size)
@@ -323,7 +336,10 @@ def extract(source: str | None) -> str:
     enough = THRESHOLD * float(np.average(fused, weights=np.maximum(weight, 1e-12)))
     content = {p for p, f in by_path.items() if np.mean(f) >= enough}
     chosen = np.array([w > 0 and elements[b.element].path in content for b, w in zip(blocks, weight, strict=True)])
+    weak = marked & lines & (own_ratio < ARTICLE_THRESHOLD * enough)
+    marked &= ~weak
     # A short block beside the content has its weight from there: it is kept, but does not widen the main element.
+    chosen &= ~weak
     sure = chosen & (own_ratio >= THRESHOLD * enough)
     headed(elements, blocks, sure)
     chosen |= sure

@@ -1,6 +1,6 @@
 """Operator 8: license scans with ordered signature rules.
 
-Rules are regular expressions over a document's words (joined by one space), each
+Rules (``license_rules``) are regular expressions over a document's words (joined by one space), each
 with a keyword that every match holds, a label and a priority.  One pass of a keyword
 automaton over the text says which rules can match at all; only those run.  Overlapping
 detections are resolved in rule order: a detection goes if another of at least its
@@ -18,12 +18,12 @@ import bisect
 import re
 from dataclasses import dataclass
 from functools import cache
-from itertools import product
 
 import ahocorasick
 from pyspark.sql import DataFrame
 
 from sigwin.llm.common import map_rows
+from sigwin.llm.license_rules import written_rules
 
 #: A word, in UTF-8 bytes: letters, digits and every byte of a non-ASCII character.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,84 +41,10 @@ class Rule:
     strength: float
 
 
-#: Families as (label, name pattern, keyword in it, versions); a rule is made for each
-#: way of naming a license and each version.
-FAMILIES = (
-    ("apache", "apache(?: software)?", "apache", ("1 0", "1 1", "2 0")),
-    ("gpl", "(?:gnu )?general public", "general public", ("1", "2", "3")),
-    ("gpl", "(?:gnu )?gpl", "gpl", ("1", "2", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "general public", ("2", "2 1", "3")),
-    ("agpl", "(?:gnu )?affero general public", "affero", ("1", "3")),
-    ("mpl", "mozilla public", "mozilla", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse public", "eclipse", ("1 0", "2 0")),
-    ("cddl", "common development and distribution", "common development", ("1 0", "1 1")),
-    ("eupl", "european union public", "european union", ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic", "artistic", ("1 0", "2 0")),
-    ("bsl", "boost software", "boost software", ("1 0",)),
-    ("osl", "open software", "open software", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", "academic free", ("1 1", "2 0", "2 1", "3 0")),
-    ("fdl", "(?:gnu )?free documentation", "free documentation", ("1 1", "1 2", "1 3")),
-    ("ofl", "sil open font", "open font", ("1 0", "1 1")),
-    ("odbl", "open database", "open database", ("1 0",)),
-)
-#: (pattern with the name and version to fill in, priority, strength)
-PHRASES = (
-    ("licensed under the {n} license(?: version)? v?{v}", 90, 1.0),
-    ("under the terms of the {n} license(?: version)? v?{v}", 90, 1.0),
-    ("{n} license(?: version)? v?{v}", 80, 0.9),
-    ("{n} license(?: version)? v?{v} or (?:any )?later", 95, 1.0),
-    ("{n} licence(?: version)? v?{v}", 80, 0.9),
-)
-UNVERSIONED = (
-    ("licensed under the {n} licen[sc]e", 60, 0.9),
-    ("released under the {n} licen[sc]e", 60, 0.9),
-    ("distributed under the {n} licen[sc]e", 60, 0.9),
-    ("subject to the {n} licen[sc]e", 60, 0.9),
-    ("{n} licen[sc]e", 40, 0.7),
-)
-#: Creative Commons elements, versions and ways of writing them.
-CC_ELEMENTS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd", "zero")
-CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Rules of their own: (pattern, keyword, label, priority, strength).
-SINGLE = (
-    ("(?:the )?mit licen[sc]e", "mit", "mit", 60, 0.9),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", "mit", 95, 1.0),
-    ("the software is provided as is without warranty", "provided as is", "mit", 50, 0.7),
-    ("redistribution and use in source and binary forms", "redistribution and use", "bsd", 95, 1.0),
-    ("(?:2|3|4|two|three|four) clause bsd", "clause bsd", "bsd", 80, 1.0),
-    ("(?:new |simplified |modified |revised )?bsd licen[sc]e", "bsd", "bsd", 60, 0.9),
-    ("isc licen[sc]e", "isc", "isc", 60, 0.9),
-    ("zlib licen[sc]e", "zlib", "zlib", 60, 0.9),
-    ("(?:the )?unlicense", "unlicense", "unlicense", 60, 0.9),
-    ("released into the public domain", "public domain", "public-domain", 80, 1.0),
-    ("public domain", "public domain", "public-domain", 30, 0.5),
-    ("creative commons", "creative commons", "cc", 30, 0.6),
-    ("spdx license identifier [0-9a-z]+", "spdx license", "spdx", 70, 1.0),
-    ("copyright (?:c )?[12][0-9]{3}", "copyright", "copyright", 50, 0.5),
-    ("copyright (?:c )?by", "copyright", "copyright", 45, 0.5),
-    ("proprietary and confidential", "proprietary", "proprietary", 80, 0.9),
-    ("no part of this (?:publication|work|book) may be reproduced", "no part of", "reserved", 90, 1.0),
-    ("may not be reproduced without (?:prior )?(?:written )?permission", "not be reproduced", "reserved", 90, 1.0),
-)
-
-
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order; the base phrases come first and have the lowest priority."""
-    out = [Rule(p, p, label, 10, 0.6) for p, label in BASE]
-    for label, name, keyword, versions in FAMILIES:
-        for (phrase, priority, strength), v in product(PHRASES, versions):
-            out.append(Rule(phrase.format(n=name, v=v), keyword, f"{label}-{v.replace(' ', '.')}", priority, strength))
-        for phrase, priority, strength in UNVERSIONED:
-            out.append(Rule(phrase.format(n=name), keyword, label, priority, strength))
-    for element, v in product(CC_ELEMENTS, CC_VERSIONS):
-        label = f"cc-{element.replace(' ', '-')}-{v.replace(' ', '.')}"
-        out.append(Rule(f"cc {element} {v}", "cc " + element, label, 85, 1.0))
-    for element in CC_ELEMENTS:
-        out.append(Rule(f"creative commons {element}", "creative commons", f"cc-{element.replace(' ', '-')}", 70, 0.9))
-        out.append(Rule(f"cc {element}", "cc " + element, f"cc-{element.replace(' ', '-')}", 20, 0.7))
-    out += [Rule(*x) for x in SINGLE]
-    return tuple(out)
+    return tuple([Rule(p, p, label, 10, 0.6) for p, label in BASE] + [Rule(*x) for x in written_rules()])
 
 
 @cache

@@ -10,15 +10,10 @@ pair survives if its upper bound reaches the k-th best cosine known of its query
 survivors are recomputed in double precision from the original vectors and merged by
 heaps.  The result is exact, so recall is 1.
 
-Queries are dealt into blocks and candidates into slices of bounded size; a (block,
-slice) cell is one group.  Slices are joined in rounds, each of ``GROWTH`` times as
-many as before it: after a round a query knows its k-th best cosine among all rows so
-far, and only about ``k * GROWTH`` of the next round's rows can beat it, however many
-there are.
-
-Of candidates with one and the same vector only the ``k + 1`` of the smallest vec_id
-can be among the k nearest of anything (they tie exactly, and one of them may be the
-query's own row), so a query against very many copies is no work of their number.
+Blocks of queries meet slices of candidates in rounds (``rounds``): after a round a query
+knows its k-th best cosine among all rows so far, and only about ``k * GROWTH`` of the
+next round's rows can beat it, however many there are.  Of candidates with one and the
+same vector only the ``k + 1`` of the smallest vec_id take part.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite
 components take no part; rows of one vec_id are candidates and queries of their own,
@@ -30,21 +25,21 @@ are not read.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigwin.llm.common import matrix, slices, stored
+from sigwin.llm.rounds import best_in_rounds, few_copies, found_table, merged
 
 K, QUERY_EVERY = 5, 50
 #: Rows of a block of queries and of a slice of candidates: bounds what a group holds.
 QUERY_ROWS, SLICE_ROWS = 2048, 8192
-#: Queries of a tile, and slices of a round as a multiple of those before it.
-TILE, GROWTH = 256, 4
+#: Queries of a tile.
+TILE = 256
 #: Dimensions whose int8 products add up exactly in float32.
 EXACT = 1024
 #: Room for rounding in bounds that are compared with exact cosines.
@@ -105,33 +100,6 @@ def cell_survivors(floor: np.ndarray, query: tuple, candidate: tuple, own: np.nd
             yield live[live != own[i]]
 
 
-def _order(score: float, vec_id: int | None, row: int) -> tuple:
-    """Sorts results: high scores first, ties to the smaller vec_id, null last, then by row."""
-    return -score, vec_id is None, vec_id or 0, row
-
-
-def merged(rows: Iterator[tuple], k: int) -> dict[int, list[tuple]]:
-    """The k best of each query among ``(query row, score, vec_id, row)``, best first, by a heap a query."""
-    heaps: dict[int, list] = {}
-    for query, score, vec_id, row in rows:
-        heap = heaps.setdefault(query, [])
-        entry = tuple(-p for p in _order(score, vec_id, row))  # the worst of the heap comes first
-        if len(heap) < k:
-            heapq.heappush(heap, (entry, score, vec_id, row))
-        elif entry > heap[0][0]:
-            heapq.heapreplace(heap, (entry, score, vec_id, row))
-    return {q: [x[1:] for x in sorted(heap, key=lambda x: x[0], reverse=True)] for q, heap in heaps.items()}
-
-
-_FOUND = "qrow long, query_id long, vec_id long, crow long, score double"
-_FOUND_ARROW = pa.schema([("qrow", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("crow", pa.int64()),
-                          ("score", pa.float64())])
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FOUND_ARROW)})
-
-
 def coded_vectors(embeddings: DataFrame, query_every: int = QUERY_EVERY) -> DataFrame:
     """Stored ``(row, vec_id, asked, e, code, scale, rest)`` of the usable vectors; codes are made once."""
     e = F.transform("embedding", lambda x: x.cast("double"))
@@ -168,7 +136,7 @@ def _cell(k: int):
     """The function of a cell: the k best candidates of each query here that can be among its k best of all."""
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _table([])
+            return found_table([], "double")
         width = int(max(np.diff(t["e"].combine_chunks().offsets.to_numpy()).max() for t in (left, right)))
         x, y = (matrix(t["e"].combine_chunks(), width, np.float64) for t in (left, right))
         query, candidate = ((_codes(t["code"], width), t["scale"].to_numpy(), t["rest"].to_numpy()) for t in (left, right))
@@ -176,7 +144,7 @@ def _cell(k: int):
         qid, cid = left["vec_id"].to_pylist(), right["vec_id"].to_pylist()
         place = {row: i for i, row in enumerate(crow.tolist())}
         own = np.array([place.get(row, -1) for row in qrow.tolist()])
-        floor = left["floor"].to_numpy(zero_copy_only=False)
+        floor = left["floor"].fill_null(-np.inf).to_numpy()
         ux, uy = unit_vectors(x), unit_vectors(y)
         rows = []
         for i, live in enumerate(cell_survivors(floor, query, candidate, own, k)):
@@ -191,60 +159,18 @@ def _cell(k: int):
             found = ((int(qrow[i]), s, cid[c], int(crow[c])) for s, c in zip(scores.tolist(), live.tolist(), strict=True))
             rows += [(q, qid[i], vec_id, row, score) for q, best in merged(found, k).items()
                      for score, vec_id, row in best]
-        return _table(rows)
+        return found_table(rows, "double")
     return cell
 
 
-def _best(found: DataFrame, k: int, groups: int) -> DataFrame:
-    """The k best rows of each query: a group streams its queries' rows through heaps."""
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[int, int] = {}
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for qrow, query_id, vec_id, crow, score in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-                    ids[qrow] = query_id
-                    yield qrow, score, vec_id, crow
-
-        out = [(q, ids[q], vec_id, row, score) for q, top in merged(rows(), k).items() for score, vec_id, row in top]
-        yield from _table(out).to_batches()
-
-    return found.select("qrow", "query_id", "vec_id", "crow", "score", F.pmod(F.xxhash64("qrow", F.lit(2)), F.lit(groups))
-                        .alias("g")).groupBy("g").applyInArrow(best, _FOUND)
-
-
 def nearest(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, query_rows: int = QUERY_ROWS,
             slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Per query its k nearest candidates: query_id, rank, vec_id, score."""
     vectors = coded_vectors(embeddings, query_every)
-    copies = Window.partitionBy("e").orderBy(F.col("vec_id").asc_nulls_last(), "row")
-    distinct = (vectors.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
     n, q = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1))).first()
-    blocks, parts = max(1, -(-q // query_rows)), max(1, -(-n // slice_rows))
-    candidates = stored(distinct.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))), "candidates")
-    queries = vectors.where("asked").withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)))
-
-    def each(low: int, high: int) -> Column:
-        return F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long")))
-
-    # At most 64 queries a group: their heaps are bounded, and the groups spread over the tasks.
-    groups = max(1, -(-q // 64))
-    best, done = None, 0
-    while done < parts:
-        upto = min(parts, max(1, done * (1 + GROWTH)))
-        asked = queries.withColumn("floor", F.lit(float("-inf")))
-        if best is not None:
-            floors = (best.groupBy(F.col("qrow").alias("row")).agg(F.min("score").alias("f"), F.count(F.lit(1)).alias("m"))
-                      .where(F.col("m") == k).select("row", "f"))
-            asked = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("f", F.lit(float("-inf"))))
-        left = asked.select("row", "vec_id", "e", "code", "scale", "rest", "floor", "block", each(done, upto).alias("part"))
-        right = candidates.where(F.col("part").between(done, upto - 1)).select(
-            "row", "vec_id", "e", "code", "scale", "rest", each(0, blocks).alias("block"), "part")
-        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_cell(k), _FOUND)
-        best = stored(_best(found if best is None else found.unionByName(best), k, groups), "nearest")
-        done = upto
-    ranks = Window.partitionBy("qrow").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "crow")
-    return best.withColumn("rank", F.row_number().over(ranks)).select("query_id", "rank", "vec_id", "score")
+    candidates = stored(few_copies(vectors, "e", k).drop("asked"), "candidates")
+    return best_in_rounds(vectors.where("asked").drop("asked"), candidates, q, n, k, _cell(k), "double",
+                          query_rows, slice_rows, "nearest")
 
 
 ORACLE = """

@@ -7,7 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from sigwin.llm import (
     byte_bpe,
     exact_dedup,
@@ -79,14 +78,10 @@ def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_token_files, op3_ngram_join, op4_quality, op5_mix, op6_url_filter,
                             op7_topk, op8_licenses, op9_exact_dedup, op10_byte_bpe, op11_resampling,
-                            op12_vector_codes, op13_nearest, pipeline)
+                            op12_vector_codes, op13_nearest)
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": url_filter.oracle_sql(),

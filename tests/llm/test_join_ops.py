@@ -1,6 +1,8 @@
 """N-gram join, top-k and components against brute force; the pipeline end to end."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from sigwin.llm import common, ngram_join, quality, topk
 from sigwin.llm.common import stored
 from sigwin.llm.components import components
 
-from .conftest import TEXTS
+from .conftest import LONG, TEXTS
 
 
 def _shingles(text, n):
@@ -159,26 +161,56 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 299: 299, 300: 299}
 
 
-def test_top_k_is_brute_force(spark):
+def _top(rows, k=5, every=50):
+    kept = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (query, v) in enumerate(kept):
+        if query is not None and query % every == 0:
+            scores = [(-max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(v, w)))), i is None, i or 0, i)
+                      for c, (i, w) in enumerate(kept) if c != q]
+            out += [(query, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scores, key=lambda x: x[:3])[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("query_rows,slice_rows", [(1024, 8192), (4, 30)])
+def test_top_k_is_brute_force(spark, query_rows, slice_rows):
     rng = np.random.default_rng(1)
-    v = rng.normal(size=(400, 10)).astype(np.float32)
+    v = rng.normal(size=(400, 10))
     v[150:170] = v[0]
-    rows = [(i, [float(x) for x in v[i]], "c") for i in range(400)]
-    rows += [(1000, None, "c"), (1050, [], "c"), (1100, [None] * 10, "c"), (1150, [float("nan")] * 10, "c"),
-             (None, [1.0] * 10, "c"), (1200, [float("inf")] + [0.0] * 9, "c"), (50, rows[50][1], "again")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, query_rows=4, slice_rows=64).collect())
-    w = np.floor(256 * v.astype(float)).astype(np.int64)
-    want = []
-    for q in range(0, 400, 50):
-        order = sorted((-int(w[q] @ w[i]), i) for i in range(400) if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
-    assert got == sorted(want)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(400)]
+    rows += [(1000, None), (1050, []), (1100, [None] * 10), (1150, [float("nan")] * 10), (None, [1.0] * 10),
+             (1200, [float("inf")] + [0.0] * 9), (50, rows[50][1]), (50, [2.0] * 12), (1250, [1e300, -1e300]), (7, [1e20] * 3),
+             (8, [2.0 ** 44 + 0.5, -1.0])]
+    df = stored(spark.createDataFrame([(*r, "c", 1) for r in rows],
+                                      "vec_id long, embedding array<double>, rank string, row int").repartition(3), "vectors")
+    got = topk.top_k(df, query_rows=query_rows, slice_rows=slice_rows)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(
+        ((q, r, i, s) for q, r, i, s in _top(rows)), key=str)
     assert topk.top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (7, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 7, 256 * 512)]
 
 
+@pytest.mark.parametrize("spread,share", [(0.05, 0.02), (1.0, 0.5)])
+def test_segment_statistics_drop_candidates(spread, share):
+    """Of clustered vectors the coarse levels leave one cluster, of unclustered ones the finest level a part."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 64))[rng.integers(0, 80, 4000)] + spread * rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order = np.argsort(-x.var(0), kind="stable")
+    stats = topk.all_statistics(topk.whole_numbers(x), order)
+    floors = np.sort(topk.whole_numbers(x[:20]) @ topk.whole_numbers(x).T, axis=1)[:, -6]
+    found = list(topk.best_of_slice(x[:20], stats[:20], x, stats, np.arange(20), [int(f) for f in floors], 5))
+    assert sum(n for *_, n in found) < share * 20 * 4000
+    assert all(len(live) >= 5 for live, _, _ in found)
+    levels = topk.level_columns(64)
+    scores = topk.whole_numbers(x[:20]) @ topk.whole_numbers(x).T
+    for i in range(20):
+        bounds = [topk.upper_bounds(stats[i], stats, level) for level in levels]
+        assert all((b >= scores[i]).all() for b in bounds)
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 13)), rng.normal(size=(50, 13))
@@ -215,3 +247,39 @@ def test_pipeline_stages(spark):
             assert after.count() == before.count()
         before = after
     assert corpus_pipeline.run(spark, sf).agg(F.sum("n_tokens")).first()[0] == before.agg(F.sum("n_tokens")).first()[0]
+
+
+CLASH = ["_score", "_row", "_sha", "_maybe", "_key", "_size", "_source", "_copies", "_copy", "__size", "SCORE", "node"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_rows(spark, scratch, empty):
+    """Null and empty texts, null, repeated and tied ids, copies, a very long text, columns of the stages' own names."""
+    good = [" ".join(f"word{(i * 7 + k * k) % 91} and" for k in range(40 + i)) + " end." for i in range(12)]
+    rows = [(i, t, "en", "s0") for i, t in enumerate(good)]
+    rows += [(50, good[0].upper(), "en", "s1"), (50, good[0], "en", "s1"), (51, good[1], None, None), (None, good[2], "en", "s0"),
+             (None, "only " + good[3], "en", "s0"), (60, None, "en", "s1"), (61, "", "en", "s1"), (62, LONG, "en", "s2"),
+             (7, "same id, " + good[4], "en", "s0")]
+    docs = spark.createDataFrame([(*r, 0, *[k] * len(CLASH)) for k, r in enumerate(rows)][:0 if empty else None],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{c}` long" for c in CLASH))
+    docs.repartition(4).write.parquet(f"{scratch}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 12)] + [(None, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int"
+                          ).write.parquet(f"{scratch}/labels.parquet")
+    before = spark.read.parquet(f"{scratch}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, before, scratch), name)
+        assert after.columns == docs.columns, name
+        # Whole rows go on: each has the extra columns of its row.
+        for r in after.collect():
+            assert len({r[c] for c in CLASH}) == 1 and (r.doc_id, r.text, r.lang, r.source) == rows[r["_row"]], name
+        if name == "exact_dedup" and not empty:
+            kept = [(r.text or "").lower() for r in after.collect()]
+            assert sorted(kept) == sorted({(r.text or "").lower() for r in before.collect()})
+            assert {r.doc_id for r in after.collect()} >= {50, 51, 61, 62} and 60 not in {r.doc_id for r in after.collect()}
+        before = after
+    out = corpus_pipeline.run(spark, scratch)
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in out.collect()) == sorted(
+        (r.doc_id or -1, r.n_tokens) for r in corpus_pipeline.STAGES[-1][1](spark, before, scratch).collect())
+    assert out.count() == before.count() and (out.count() > 0) != empty

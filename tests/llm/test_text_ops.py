@@ -1,6 +1,7 @@
 """Quality, mixing, licenses, exact dedup, pages and URLs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -149,9 +150,68 @@ def test_license_rules_and_containment():
     _, base, kept = license_scan.scan("Licensed under the Apache License, Version 2.0 and cc by sa 4.0 -- ACC BY cc byte")
     assert [d[2] for d in kept] == ["apache-2.0", "cc-by-sa-4.0"] and base == [(9, "cc-by")]
     assert license_scan.resolve([(0, 9, 0), (2, 5, 1), (2, 12, 1), (0, 9, 2)], [5, 1, 5]) == [(0, 9, 0), (2, 12, 1)]
-    # A rule's keyword is in each of its matches.
+
+
+def _some_match(pattern, rng):
+    """A random string that the pattern matches."""
+    def make(items):
+        out = ""
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "NOT_LITERAL":
+                out += rng.choice("qz7")
+            elif name == "IN":
+                some, first = rng.choice([v for v in value if str(v[0]) != "NEGATE"]), str(value[0][0])
+                out += rng.choice("qz7") if first == "NEGATE" else chr(
+                    some[1] if str(some[0]) == "LITERAL" else rng.randint(*some[1]))
+            elif name == "BRANCH":
+                out += make(rng.choice(value[1]))
+            elif name == "SUBPATTERN":
+                out += make(value[3])
+            elif name == "MAX_REPEAT":
+                out += "".join(make(value[2]) for _ in range(rng.randint(value[0], min(value[1], value[0] + 3))))
+            else:
+                raise AssertionError(name)
+        return out
+    return make(re._parser.parse(pattern))
+
+
+def test_license_keywords_are_in_all_matches_and_rules_find_them():
+    rng = random.Random(3)
     for rule in license_scan.rules():
-        assert set(rule.keyword.split()) <= set(re.findall(r"[a-z0-9]+", rule.pattern))
+        for _ in range(12):
+            text = " ".join(_some_match(rule.pattern, rng).split())
+            if not re.fullmatch(rule.pattern, text):
+                continue  # an optional space at the end
+            assert rule.keyword in text, rule
+            found = license_scan.scan("so " + text.upper() + " it is")[2]
+            assert any(s <= 1 and e >= 1 + len(text.split()) for s, e, *_ in found), (rule, text, found)
+
+
+def test_license_scan_is_brute_force(spark):
+    """Every rule run on every text, containment tested pair by pair."""
+    rng, made = random.Random(5), []
+    for _ in range(60):
+        parts = [_some_match(rng.choice(license_scan.rules()).pattern, rng) if rng.random() < 0.7 else "and so, on"
+                 for _ in range(rng.randint(1, 9))]
+        made.append(rng.choice([" ", " -- ", "\n"]).join(parts))
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rules = [(re.compile(rf"(?<![^ ]){r.pattern}(?![^ ])"), r) for r in license_scan.rules()]
+    for text in made + docs + [t for _, t in TEXTS if t is None or len(t) < 1000]:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+        joined = b" ".join(words).decode()
+        found = [(m.start(), m.end(), i) for i, (p, _) in enumerate(rules) for m in p.finditer(joined)]
+        kept = []
+        for s, e, i in sorted(found, key=lambda d: (-rules[d[2]][1].priority, d[0] - d[1], d[2], d[0])):
+            if not any(a <= s and e <= b for a, b, _ in kept):
+                kept.append((s, e, i))
+        n, base, detections = license_scan.scan(text)
+        assert n == len(words)
+        assert base == sorted((joined[:s].count(" "), rules[i][1].label) for s, _, i in found if i < 3)
+        assert detections == [(joined[:s].count(" "), joined[:e].count(" ") + 1, rules[i][1].label, rules[i][1].strength)
+                              for s, e, i in sorted(kept)]
 
 
 def test_quality_edges(spark, docs, no_docs):
@@ -235,7 +295,30 @@ def test_url_filter_borders_are_those_of_the_sql(spark):
         want = sorted(con.execute(url_filter.oracle_sql()).fetchall(), key=lambda r: r[0])
     assert got == want
     verdicts = {urls[r[0]]: r[4] for r in got}
-    assert verdicts["http://h.org/Xads/"] == verdicts["http://h.org/éads/"] == "block"
+    assert verdicts["http://h.org/éads/"] == verdicts["http://h.org/Casino/"] == verdicts["http://h.org/pokeR"] == "block"
+    assert verdicts["http://h.org/Xads/"] == "allow"
+
+
+def test_url_phrases_outrank_words_and_rows_repeat(spark):
+    paths = ["Online-Casino/x", "casino-online", "sex-education", "Sex/Education?x", "sex_education_sex", "adult--education",
+             "ADULT_LITERACY/adult", "bug/tracker", "tracker", "free/movies/online", "free/movies", "casino/royale/film",
+             "live.cams", "livecams", "spam-filter-spam", "poker.history/casino-bonus", "a/" * 3000 + "online/casino"]
+    urls = [(i % 7, f"https://{host}/{p}") for i, p in enumerate(paths) for host in ("h.org", "x.org", "ads.h.org")] * 2
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = sorted(map(tuple, url_filter.judge_urls(pages).collect()))
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+        con.executemany("INSERT INTO pages VALUES (?, ?)", urls)
+        assert got == sorted(con.execute(url_filter.oracle_sql()).fetchall()) and len(got) == len(urls)
+    verdict = {r[2][1:]: r[4] for r in got if r[1] == "h.org"}
+    assert [p for p in paths if len(p) < 100 and verdict[p.split("?")[0]] == "allow"] == [
+        "sex-education", "Sex/Education?x", "sex_education_sex", "adult--education", "ADULT_LITERACY/adult", "bug/tracker",
+        "free/movies", "casino/royale/film", "livecams", "spam-filter-spam", "poker.history/casino-bonus"]
+    # Each rule is filed once, under a literal of its own; the rarest of a phrase's words.
+    index = url_filter.rule_index(url_filter._parsed(pages), url_filter.RULES)
+    assert sorted(r.pattern for own in index.values() for r in own) == sorted(r.pattern for r in url_filter.RULES)
+    assert all(token in r.literals for token, own in index.items() for r in own)
+    assert sum(len(r.literals) > 1 for r in url_filter.RULES) > 50
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>x="<p>no</p>"</script></head><body>
@@ -346,6 +429,38 @@ def test_html_threshold_decides():
     assert len(got) == 9 + 401 + 9 and got[-1] == "item 8"
 
 
+def test_html_ratios_decide_within_articles(monkeypatch):
+    """Lines of containers go by their path's ratios; with the thresholds off they stay."""
+    body = "".join(f"<p>Paragraph {i}, with words, commas, and more; it is long enough to be text.</p>" for i in range(6))
+    page = (f"<body><article><h1>Title</h1><div class=tools>Print</div>{body}<div class=tools>Save</div><p>Short.</p>"
+            "<div>A line of its own, with a comma, and a full stop at its end. And one more.</div><pre>x = 1</pre>"
+            "<table><tr><td>7</table><div class=tools>Send</div></article></body>")
+    got = html_extract.extract(page).split("\n")
+    assert [x for x in got if not x.startswith("Paragraph")] == [
+        "Title", "Short.", "A line of its own, with a comma, and a full stop at its end. And one more.", "x = 1", "7"]
+    monkeypatch.setattr(html_extract, "ARTICLE_THRESHOLD", 0.0)
+    assert {"Print", "Save", "Send"} <= set(html_extract.extract(page).split("\n"))
+
+
+@pytest.mark.parametrize("extra", [
+    '<div class="sponsored-box">Buy this, it is cheap, and good, and new.</div>', '<p class="ad_unit">Buy, now, cheap, here.</p>',
+    '<div class="notice"><p>We moved, please update, your bookmarks.</p></div>', '<div class=alert>Old, page, beware, reader.</div>',
+    '<article class="reader-comment"><p>I agree, mostly, with all of this.</p></article>',
+    '<section class="comments"><article><p>So do I, and I, said so, before.</p></article></section>'])
+def test_html_adverts_notices_and_comments_within_articles_go(extra):
+    page = f"<main><article><h1>Title</h1>{paragraphs('One', 3)}{extra}{paragraphs('Two', 3)}</article></main>"
+    assert html_extract.extract(page) == html_extract.extract(page.replace(extra, ""))
+    outside = f"<article><h1>Title</h1>{paragraphs('One', 6)}</article><div class=legal><p>We use cookies, so, click, here.</p></div>"
+    assert "cookies" not in html_extract.extract(outside)
+
+
+def test_html_tags_side_and_noscript_within_articles_stay():
+    page = (f"<article><h1>Title</h1>{paragraphs('One', 3)}<p class=tags>Tags, of the, trade.</p><div class=side><p>Beside, "
+            f"the point.</p></div><noscript><p>Shown, without, scripts.</p></noscript></article><noscript><p>Turn, it, on.</p>")
+    got = html_extract.extract(page)
+    assert all(x in got for x in ("Tags, of", "Beside, the", "Shown, without")) and "Turn, it" not in got
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", PAGE, 1), (None, "v", "", 1)],
                                   "page_id long, url string, html string, text int")
