@@ -2,6 +2,14 @@
 
 Each stage reads what the one before kept, as a stored table.  ``run`` writes every
 stage but the last as Parquet into the folder that ``spark.checkpoint.dir`` names.
+
+Defined results, by the rules of the stages' operators: a null text is the empty text
+(all empty texts are one group of copies, and an empty text is taken by the mix no time,
+as its size is 0); a row without doc_id is kept like others, and of copies the largest
+doc_id stays, a null one only if there is no other; repeated rows are copies, so one
+stays; a very long text is processed whole; extra columns, whatever their names, pass
+through all stages but the last unchanged; an empty table gives an empty table at every
+stage.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ from sigwin.operators.counts import RowCounts, watch
 DEFAULT_BUCKET = 4096
 MOTIF_OFFSET = -2          # the 5-mer starting at centre-2 has the centre in its middle
 MOTIF_COL = "motif_kmer"
+BUCKET_COL = "position_bucket"   # of a staged site table
 
 
 def _bucket_spec(radius: int, bucket: int):
@@ -36,16 +37,25 @@ def _bucket_spec(radius: int, bucket: int):
     return F.explode(F.array_distinct(F.array(lo, hi))), F.floor(p / F.lit(bucket))
 
 
+def staged_sites(sites: DataFrame, radius: int = S.RADIUS, bucket: int = DEFAULT_BUCKET) -> DataFrame:
+    """``sites`` with ``BUCKET_COL``: a row for each bucket a site is needed in."""
+    explode_b, _ = _bucket_spec(radius, bucket)
+    return (sites.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
+            .withColumn(BUCKET_COL, explode_b))
+
+
 def context_windows(sites: DataFrame, radius: int = S.RADIUS,
                     features: list[str] | None = None, bucket: int = DEFAULT_BUCKET,
                     with_motif_kmer: bool = True) -> DataFrame:
     """Wide windows: contig, position (centre), features per offset, and the
-    k-mer at offset -2 (``motif_kmer``) for the motif filter."""
-    features = features or S.SITE_FEATURES
-    explode_b, home = _bucket_spec(radius, bucket)
+    k-mer at offset -2 (``motif_kmer``) for the motif filter.  A staged table
+    (``staged_sites`` with the same radius and bucket, as ``sources.clustered``
+    stores it) is taken as it is."""
+    features = S.SITE_FEATURES if features is None else features
+    _, home = _bucket_spec(radius, bucket)
     cols = ["contig", "position"] + features + (["reference_kmer"] if with_motif_kmer else [])
-    staged = (sites.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
-              .select(*cols).withColumn("_b", explode_b))
+    staged = sites if BUCKET_COL in sites.columns else staged_sites(sites.select(*cols), radius, bucket)
+    staged = staged.select(*cols, F.col(BUCKET_COL).alias("_b"))
     w = Window.partitionBy("contig", "_b").orderBy("position")
     p = F.col("position")
     out = [F.col("contig"), p]

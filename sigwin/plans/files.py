@@ -8,7 +8,8 @@
     spark-submit sigwin_job.py predict WINDOWS MODEL_FOLDER OUT
 
 Inputs are tab-separated files or folders of them; ``--format parquet`` changes what is
-written.  ``fit`` writes ``model``, ``report``, ``history`` and ``rows`` into its folder.
+written, and ``clean --format clustered`` writes the site table in the layout that the
+set jobs read without an exchange (``--sites clustered``).  ``fit`` writes ``model``, ``report``, ``history`` and ``rows`` into its folder.
 Every job returns its row counts (read, skipped, dropped, kept) and ``main`` prints them;
 they are observed by the jobs that do the work, without reading anything again.  Results
 are stored in the shared folder before they are sorted into their files, as a sort reads
@@ -28,7 +29,7 @@ from sigwin.operators import windows as W
 from sigwin.operators.counts import RowCounts
 from sigwin.plans import jobs as J
 from sigwin.session import stored
-from sigwin.sources import profile, sinks, tsv
+from sigwin.sources import clustered, profile, sinks, tsv
 
 LINES = ["lines_read", "lines_skipped", "lines_dropped"]
 
@@ -36,28 +37,35 @@ LINES = ["lines_read", "lines_skipped", "lines_dropped"]
 def clean_file(spark: SparkSession, events: str, out: str, fmt: str = "tsv") -> DataFrame:
     rows = RowCounts()
     sites = rows.watch(J.clean(tsv.read_events(spark, events), rows), sites=J.EVERY)
-    sinks.write_sites(stored(sites, "sites"), out, fmt)
+    if fmt == "clustered":
+        clustered.write_clustered_sites(sites, out)
+    else:
+        sinks.write_sites(stored(sites, "sites"), out, fmt)
     return rows.table(spark)
 
 
-def m6a_set_file(spark: SparkSession, sites: str, known: str, out: str, fmt: str = "tsv") -> DataFrame:
+def _sites(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    return clustered.read_clustered_sites(spark, path) if layout == "clustered" else tsv.read_sites(spark, path)
+
+
+def m6a_set_file(spark: SparkSession, sites: str, known: str, out: str, fmt: str = "tsv", layout: str = "tsv") -> DataFrame:
     rows = RowCounts()
-    windows = J.m6a_training_set(tsv.read_sites(spark, sites), tsv.read_site_reference(spark, known), rows=rows)
+    windows = J.m6a_training_set(_sites(spark, sites, layout), tsv.read_site_reference(spark, known), rows=rows)
     sinks.write_training_windows(stored(windows, "m6a-set"), out, fmt, shuffle_col=O.KEY)
     return rows.table(spark)
 
 
-def structure_set_file(spark: SparkSession, sites: str, path: str, out: str, fmt: str = "tsv") -> DataFrame:
+def structure_set_file(spark: SparkSession, sites: str, path: str, out: str, fmt: str = "tsv", layout: str = "tsv") -> DataFrame:
     rows = RowCounts()
-    windows = J.structure_training_set(tsv.read_sites(spark, sites), profile.read_profile(spark, path), rows=rows)
+    windows = J.structure_training_set(_sites(spark, sites, layout), profile.read_profile(spark, path), rows=rows)
     sinks.write_training_windows(stored(windows, "structure-set"), out, fmt)
     return rows.table(spark)
 
 
-def inference_sets_files(spark: SparkSession, sites: str, prefix: str, fmt: str = "tsv") -> DataFrame:
+def inference_sets_files(spark: SparkSession, sites: str, prefix: str, fmt: str = "tsv", layout: str = "tsv") -> DataFrame:
     """Writes ``PREFIX/set=structure`` and ``PREFIX/set=m6a`` by one job over one pass of windows."""
     rows = RowCounts()
-    sinks.write_inference_sets(stored(J.inference_windows(tsv.read_sites(spark, sites), rows=rows), "inference"), prefix, fmt)
+    sinks.write_inference_sets(stored(J.inference_windows(_sites(spark, sites, layout), rows=rows), "inference"), prefix, fmt)
     return rows.table(spark)
 
 
@@ -120,7 +128,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             for flag, fieldname, kind in FIT_OPTIONS:
                 command.add_argument(flag, dest=fieldname, type=kind, default=argparse.SUPPRESS)
         else:
-            command.add_argument("--format", dest="fmt", choices=("tsv", "parquet"), default="tsv")
+            formats = ("tsv", "parquet", "clustered") if name == "clean" else ("tsv", "parquet")
+            command.add_argument("--format", dest="fmt", choices=formats, default="tsv")
+        if "sites" in inputs:
+            command.add_argument("--sites", dest="layout", choices=("tsv", "clustered"), default="tsv")
     given = vars(parser.parse_args(argv))
     job = given.pop("job")
     if job == "fit":

@@ -314,6 +314,7 @@ def oracle_sql() -> dict[str, str]:
     # Through files, and the structures that joins look into.
     q["site_file"] = q["clean_events"]
     q["training_file"] = q["m6a_train"]
+    q["clustered_windows"] = q["windows_wide"]
     q["inference_files"] = with_(*wc) + (
         f"SELECT contig, position, -1 AS label, 'structure' AS \"set\" FROM win WHERE {FINITE} UNION ALL "
         f"SELECT contig, position, -1, 'm6a' FROM win WHERE {MOTIF} AND {FINITE}")

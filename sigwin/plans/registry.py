@@ -28,6 +28,7 @@ from sigwin.plans import jobs as J
 from sigwin.session import scratch_path, stored
 from sigwin.sources import fixtures as FX
 from sigwin.sources import sinks, tsv
+from sigwin.sources.clustered import read_clustered_sites, write_clustered_sites
 from sigwin.sources.profile import profile_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +243,13 @@ def q_site_file(spark, sf):
     return round_doubles(tsv.read_sites(spark, path))
 
 
+def q_clustered_windows(spark, sf):
+    """Windows over a stored clustered site table: no exchange behind the reading of it."""
+    path = scratch_path(spark, "clustered-sites")
+    write_clustered_sites(C.clean_events(_events(spark, sf)), path, files=16)
+    return _wide_cols(W.windows_wide(read_clustered_sites(spark, path)))
+
+
 def q_training_file(spark, sf):
     path = scratch_path(spark, "training-file")
     sinks.write_training_windows(_m6a(spark, sf), path, shuffle_col=O.KEY)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sigwin import schemas as S
 from sigwin.operators import windows as W
+from tests.conftest import SF001
 from tests.helpers import site_rows, sites_df
 
 
@@ -109,3 +110,25 @@ def test_site_join_is_broadcast(spark):
     j = L.label_by_sites(w, ref)
     j.write.format("noop").mode("overwrite").save()
     assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clustered_sites_need_no_exchange(spark, scratch):
+    """Windows, motif, site labels and the finite filter over a stored clustered table: no Exchange but a broadcast's."""
+    from sigwin.operators import labels as L
+    from sigwin.sources import clustered
+    from sigwin.sources import fixtures as FX
+    from sigwin.operators import clean as C
+    sites = C.clean_events(FX.event_table(spark, SF001))
+    clustered.write_clustered_sites(sites, f"{scratch}/sites", files=5, bucket=64)
+    back = clustered.read_clustered_sites(spark, f"{scratch}/sites")
+    assert sorted(map(str, clustered.sites_of(back, 64).collect())) == sorted(map(str, sites.collect()))
+    assert back.count() > sites.count()
+    plain = W.windows_wide(sites)
+    made = W.windows_wide(back, bucket=64)
+    assert made.columns == plain.columns
+    assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect())) and made.count() > 0
+    labelled = W.finite_filter(L.label_by_sites(W.drop_kmer_columns(W.motif_filter(W.context_windows(back, bucket=64))),
+                                                FX.site_reference(spark, SF001)))
+    for df in (made, labelled):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "Exchange" not in plan.replace("BroadcastExchange", ""), plan
