@@ -40,6 +40,8 @@ K = 5
 #: Rows of a block of queries and of a slice of candidates: bounds what a group holds.
 QUERY_ROWS = 1024
 SLICE_ROWS = 8192
+#: Queries of a tile, and the share of live candidates below which bounds are computed for these only.
+TILE, FEW = 256, 0.05
 #: Segment counts, coarse to fine.
 LEVELS = (4, 16, 32, 48)
 #: Integers up to here are exact as doubles, and as sums of doubles below it.
@@ -83,12 +85,15 @@ def level_columns(width: int) -> list[slice]:
 
 
 def upper_bounds(q: np.ndarray, c: np.ndarray, level: slice) -> np.ndarray:
-    """Upper bounds of one query's scores with candidates, from their statistics, with room for rounding."""
+    """Upper bounds of the scores of queries (rows) with candidates (columns) from their statistics at one
+    level, with room for rounding."""
     with np.errstate(all="ignore"):
-        lower = ((c[:, level] - q[level]) ** 2).sum(1)
-        size = q[0] + c[:, 0]
+        x, y = q[:, level], c[:, level]
+        lower = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
+        size = q[:, :1] + c[:, 0]
         bound = (size - lower) / 2 + 1e-9 * size + 1e-6
-    return np.where(np.isnan(bound), np.inf, bound)  # lengths beyond doubles bound nothing
+    bound[np.isnan(bound)] = np.inf  # lengths beyond doubles bound nothing
+    return bound
 
 
 def exact_scores(c: np.ndarray, q: np.ndarray) -> list[int]:
@@ -110,21 +115,37 @@ def exact_scores(c: np.ndarray, q: np.ndarray) -> list[int]:
 def best_of_slice(q: np.ndarray, qs: np.ndarray, c: np.ndarray, cs: np.ndarray, own: np.ndarray, floor: list, k: int
                   ) -> Iterator[tuple[np.ndarray, list[int], int]]:
     """For each query (places, scores) of the candidates that can be among its k best, and how many
-    scores were computed.  ``own`` is each query's own place, or -1; ``floor`` its k-th best score so far."""
+    scores were computed.  ``own`` is each query's own place, or -1; ``floor`` its k-th best score so far.
+
+    A level's bounds are one matrix product for a tile of queries while it still has many
+    candidates, and computed for the ones that are left when they are few.
+    """
     levels = level_columns(c.shape[1])
-    for i in range(len(q)):
-        live = np.arange(len(c))
-        live = live[live != own[i]]
-        bound, known, computed = upper_bounds(qs[i], cs[live], levels[0]), floor[i], 0
-        if known is None and len(live) > 4 * k:
-            # The candidates with the best coarse bounds give the first threshold.
-            first = live[np.argpartition(-bound, 4 * k)[:4 * k]]
-            known, computed = sorted(exact_scores(c[first], q[i]))[-k], 4 * k
-        if known is not None:
-            live = live[bound >= known]
-            for level in levels[1:]:
-                live = live[upper_bounds(qs[i], cs[live], level) >= known]
-        yield live, exact_scores(c[live], q[i]), computed + len(live)
+    for at in range(0, len(q), TILE):
+        tile = range(at, min(at + TILE, len(q)))
+        bound = upper_bounds(qs[tile.start:tile.stop], cs, levels[0])
+        known, computed = np.full(len(tile), -np.inf), [0] * len(tile)
+        for t, i in enumerate(tile):
+            if own[i] >= 0:
+                bound[t, own[i]] = -np.inf
+            if floor[i] is not None:
+                known[t] = floor[i]
+            elif len(c) > 4 * k + 1:
+                # The candidates with the best coarse bounds give the first threshold.
+                first = np.argpartition(-bound[t], 4 * k)[:4 * k]
+                first = first[first != own[i]]
+                known[t], computed[t] = sorted(exact_scores(c[first], q[i]))[-k], len(first)
+        live = (bound >= known[:, None]) & (bound > -np.inf)
+        for level in levels[1:]:
+            if live.mean() > FEW:
+                live &= upper_bounds(qs[tile.start:tile.stop], cs, level) >= known[:, None]
+            else:
+                for t, i in enumerate(tile):
+                    rows = np.flatnonzero(live[t])
+                    live[t, rows] = upper_bounds(qs[i:i + 1], cs[rows], level)[0] >= known[t]
+        for t, i in enumerate(tile):
+            rows = np.flatnonzero(live[t])
+            yield rows, exact_scores(c[rows], q[i]), computed[t] + len(rows)
 
 
 def prepared_vectors(embeddings: DataFrame, query_every: int = QUERY_EVERY) -> DataFrame:
