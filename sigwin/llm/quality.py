@@ -7,7 +7,7 @@ mean product of neighbouring vectors, each by component.  A two-layer numpy netw
 a temperature fitted on labelled rows it was not trained on gives the probability of
 label 1.  Nothing but the pooled vectors is an input.
 
-The word vectors cover all documents; their matrix has a fixed size (4 MiB).  The
+The word vectors cover all documents; their matrix has a fixed size (1 MiB).  The
 network is fitted on the driver from at most ``MAX_LABELLED`` labelled rows, chosen by
 a hash of doc_id, whose pooled vectors are ``3 * WIDTH`` numbers each.
 
@@ -35,11 +35,11 @@ from pyspark.sql import types as T
 from sigwin.llm.chunks import SortedChunkTable, bounds
 from sigwin.llm.common import added_up, arrow_schema, fresh_names, slices, task_batch
 
-VOCABULARY = 32_768
+VOCABULARY = 8192
 WIDTH = 32
 NONZERO = 4
 WINDOW = 2
-ROWS_OF_CHUNK = 2048
+ROWS_OF_CHUNK = 512
 #: The bound of the labelled sample.
 MAX_LABELLED = 20_000
 HIDDEN = 32
