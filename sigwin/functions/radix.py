@@ -8,7 +8,7 @@ values apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FRACTION = 52
@@ -18,21 +18,27 @@ _NORMAL, _SMALLEST = 2.0 ** -1022, 5e-324
 NAN_KEY, NULL_KEY = (1 << 63) - 1, -(1 << 63)
 
 
-def sortable_long(x: Column) -> Column:
-    """A long that orders as the double ``x`` does in Spark: NULL first, NaN last."""
-    a = F.abs(x)
-    guess = F.least(F.greatest(F.floor(F.log2(a)).cast("int"), F.lit(-1022)), F.lit(1023))
-    near = F.pow(F.lit(2.0), guess)
+def with_sortable_long(df: DataFrame, column: str, name: str = "key") -> DataFrame:
+    """``df`` with a long that orders as the double ``column`` does in Spark: NULL first, NaN last.
+
+    Step by step, so that each part is computed once a row and the generated code stays small.
+    """
+    x, infinite = F.col(column), F.lit(float("inf"))
+    size, normal, guess, near, exponent = (F.col(f"_{n}") for n in ("size", "normal", "guess", "near", "exponent"))
+    df = df.withColumn("_size", F.abs(x))
+    df = df.withColumn("_normal", F.when((size >= _NORMAL) & (size < infinite), size))
+    df = df.withColumn("_guess", F.floor(F.greatest(F.least(F.log2(normal), F.lit(1023.0)), F.lit(-1022.0))).cast("int"))
+    df = df.withColumn("_near", F.pow(F.lit(2.0), guess))
     # The logarithm is rounded: one step down or up makes the exponent exact.
-    exponent = F.when(a < near, guess - 1).when(a / near >= 2.0, guess + 1).otherwise(guess)
-    fraction = (a / F.pow(F.lit(2.0), exponent) * F.lit(_ONE)).cast("long")
-    normal = (exponent + 1022).cast("long") * F.lit(1 << FRACTION) + fraction
-    size = (F.when(a == 0, F.lit(0).cast("long"))
-            .when(a == F.lit(float("inf")), F.lit(2047 << FRACTION).cast("long"))
-            .when(a < F.lit(_NORMAL), (a / F.lit(_SMALLEST)).cast("long"))
-            .otherwise(normal))
-    return (F.when(x.isNull(), F.lit(NULL_KEY).cast("long")).when(F.isnan(x), F.lit(NAN_KEY).cast("long"))
-            .when(x < 0, -size).otherwise(size))
+    df = df.withColumn("_exponent", guess + F.when(normal < near, -1).when(normal / near >= 2.0, 1).otherwise(0))
+    bits = ((exponent + 1022).cast("long") * F.lit(1 << FRACTION)
+            + (normal / F.pow(F.lit(2.0), exponent) * F.lit(_ONE)).cast("long"))
+    df = df.withColumn("_bits", F.when(size < _NORMAL, (size / F.lit(_SMALLEST)).cast("long"))
+                       .when(size == infinite, F.lit(2047 << FRACTION).cast("long")).otherwise(bits))
+    key = (F.when(x.isNull(), F.lit(NULL_KEY).cast("long")).when(F.isnan(x), F.lit(NAN_KEY).cast("long"))
+           .when(x < 0, -F.col("_bits")).otherwise(F.col("_bits")))
+    # Never NULL, so that a join on it adds no null test of the whole expression.
+    return df.withColumn(name, F.coalesce(key, F.lit(NULL_KEY).cast("long"))).drop("_size", "_normal", "_guess", "_near", "_exponent", "_bits")
 
 
 def prefix(key: Column, bits: int) -> Column:

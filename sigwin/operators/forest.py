@@ -9,7 +9,7 @@ has at most ``2 ** (depth + 1)`` nodes, whatever the number of training rows.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,11 @@ NODES = ("tree int, node int, n long, feature int, threshold double, left int, r
 
 def node_table(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
     """``NODES``: a leaf has no children (-1) and no feature (-1); ``stats`` are its weighted rows by class."""
-    path = scratch_path(spark, "forest")
+    return _saved_nodes(spark, model, scratch_path(spark, "forest"))
+
+
+def _saved_nodes(spark: SparkSession, model: RandomForestClassificationModel, path: str) -> DataFrame:
+    """Save the model and read its nodes."""
     model.write().overwrite().save(path)
     node = F.col("nodeData")
     return spark.read.parquet(f"{path}/data").select(
@@ -35,41 +39,45 @@ def node_table(spark: SparkSession, model: RandomForestClassificationModel) -> D
 
 def collapsed(nodes: DataFrame, min_split: int) -> DataFrame:
     """The table without the splits of nodes that have fewer than ``min_split`` rows; nodes are renumbered."""
-    def one_tree(table: pd.DataFrame) -> pd.DataFrame:
-        rows = table.set_index("node")
+    names = [c.split()[0] for c in NODES.split(", ")]
+
+    def one_tree(table: pa.Table) -> pa.Table:
+        rows = {r["node"]: r for r in table.select(names).to_pylist()}
         numbers, out, waiting = {}, [], [0]
         while waiting:  # in the order of the numbers: a node, its left side, its right side
-            old = waiting.pop()
-            row = rows.loc[old].copy()
-            numbers[old] = len(out)
+            row = rows[waiting.pop()]
+            numbers[row["node"]] = len(out)
             if row["n"] < min_split:
-                row[["feature", "threshold", "left", "right", "gain"]] = -1, None, -1, -1, -1.0
+                row |= {"feature": -1, "threshold": None, "left": -1, "right": -1, "gain": -1.0}
             if row["left"] >= 0:
                 waiting += [row["right"], row["left"]]
             out.append(row)
-        done = pd.DataFrame(out).assign(node=range(len(out)))
-        done["left"], done["right"] = ([numbers[c] if c >= 0 else -1 for c in done[side]] for side in ("left", "right"))
-        done = done.astype({"tree": "int32", "node": "int32", "left": "int32", "right": "int32", "feature": "int32",
-                            "n": "int64", "threshold": "float64"})
-        return done[[c.split()[0] for c in NODES.split(", ")]].assign(
-            threshold=[None if pd.isna(t) else t for t in done["threshold"]])
-    return nodes.groupBy("tree").applyInPandas(one_tree, NODES)
+        out = [r | {"node": i, **{side: numbers.get(r[side], -1) for side in ("left", "right")}} for i, r in enumerate(out)]
+        return pa.Table.from_pylist(out, schema=table.select(names).schema)
+
+    return nodes.groupBy("tree").applyInArrow(one_tree, NODES)
 
 
 def with_min_split(spark: SparkSession, model: RandomForestClassificationModel, min_split: int
                    ) -> RandomForestClassificationModel:
-    """The model in which no node of fewer than ``min_split`` rows is split."""
-    nodes = collapsed(node_table(spark, model), min_split)
-    path = scratch_path(spark, "forest")
-    model.write().overwrite().save(path)
+    """The model in which no node of fewer than ``min_split`` rows is split.
+
+    It is always a loaded one: a model just fitted carries its session, which may not serialize.
+    """
+    old, path = scratch_path(spark, "forest"), scratch_path(spark, "forest")
+    nodes = _saved_nodes(spark, model, old)
+    if nodes.where((F.col("left") >= 0) & (F.col("n") < min_split)).isEmpty():
+        return RandomForestClassificationModel.load(old)
     split = F.struct(F.col("feature").alias("featureIndex"),
                      F.when(F.col("left") >= 0, F.array("threshold")).otherwise(F.array().cast("array<double>"))
                      .alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
-    data = nodes.select(F.col("tree").alias("treeID"), F.struct(
+    data = collapsed(nodes, min_split).select(F.col("tree").alias("treeID"), F.struct(
         F.col("node").alias("id"), "prediction", "impurity", F.col("stats").alias("impurityStats"),
         F.col("n").alias("rawCount"), "gain", F.col("left").alias("leftChild"), F.col("right").alias("rightChild"),
         split.alias("split")).alias("nodeData"))
-    data.write.mode("overwrite").parquet(f"{path}/data")
+    data.coalesce(1).write.parquet(f"{path}/data")
+    spark.read.parquet(f"{old}/treesMetadata").coalesce(1).write.parquet(f"{path}/treesMetadata")
+    spark.read.text(f"{old}/metadata").coalesce(1).write.text(f"{path}/metadata")
     return RandomForestClassificationModel.load(path)
 
 

@@ -4,7 +4,8 @@ A value is a sortable long of 64 bits (``functions.radix``).  A round counts, fo
 site and column, the values by the next digit of their long, among those that share the
 digits found so far; running counts over the digits give the digit that holds a middle
 rank.  Three rounds of 20, 22 and 22 bits know the value; a group that holds one value
-only is done before.  All columns take part in the same rounds.
+only is done before, and when no group has more than 2**22 values the next round takes
+all their bits.  All columns take part in the same rounds.
 
 The counts are combined map side, and they are spread by site, column and digit, so a
 site with a third of all rows is no task's group.  What a task holds at once are the
@@ -16,19 +17,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwin.functions.radix import prefix, sortable_long
+from sigwin.functions.radix import prefix, with_sortable_long
 from sigwin.operators.joins import broadcast_if_small
 from sigwin.session import stored
 
-#: Leading bits that are known after each round.
+#: Leading bits that are known after each round, and digits of a group that a round counts at most.
 ROUNDS = (20, 42, 64)
+DIGITS = 1 << 22
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``(keys, c, x, key)``: the non-NULL values of the columns, one row each; ``c`` is the column's number."""
     rows = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)])
-    return (df.select(*keys, F.inline(rows)).where(F.col("x").isNotNull())
-            .withColumn("key", sortable_long(F.col("x"))))
+    return with_sortable_long(df.select(*keys, F.inline(rows)).where(F.col("x").isNotNull()), "x")
 
 
 def histogram(values: DataFrame, keys: list[str], bits: int) -> DataFrame:
@@ -46,7 +47,7 @@ def _holders(counts: DataFrame, keys: list[str], known: str | None, ranks: list)
     within = [(r - F.col("_before")).alias(name) for r, name in ((lower, "lower"), (upper, "upper"))]
     held = counts.select(*keys, "c", "digits", "n", "low", "high", *within)
     inside = [F.when(F.col(name).between(0, F.col("n") - 1), F.col(name)).alias(name) for name in ("lower", "upper")]
-    return (held.select(*keys, "c", "digits", "low", "high", *inside)
+    return (held.select(*keys, "c", "digits", "n", "low", "high", *inside)
             .where(F.col("lower").isNotNull() | F.col("upper").isNotNull()))
 
 
@@ -55,8 +56,8 @@ def middle_values(df: DataFrame, keys: list[str], columns: list[str], rounds: tu
 
     A row whose ``lower`` (``upper``) is not NULL has the lower (upper) middle value in ``low``.
     """
-    values, found, open_groups = long_values(df, keys, columns), None, None
-    for i, bits in enumerate(rounds):
+    values, found, open_groups, known, bits = long_values(df, keys, columns), None, None, 0, rounds[0]
+    while True:
         if open_groups is None:
             counts = histogram(values, keys, bits)
             total = F.sum("n").over(Window.partitionBy(*keys, "c"))
@@ -67,8 +68,7 @@ def middle_values(df: DataFrame, keys: list[str], columns: list[str], rounds: tu
             wanted = broadcast_if_small(open_groups.select(
                 *keys, "c", F.col("digits").alias("_known"), F.col("lower").alias("_lower"),
                 F.col("upper").alias("_upper")), name="median-groups")
-            inside = values.withColumn("_known", prefix(F.col("key"), rounds[i - 1])).join(
-                wanted, [*keys, "c", "_known"])
+            inside = values.withColumn("_known", prefix(F.col("key"), known)).join(wanted, [*keys, "c", "_known"])
             counts = (inside.groupBy(*keys, "c", "_known", prefix(F.col("key"), bits).alias("digits")).agg(
                 F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
                 F.first("_lower").alias("_lower"), F.first("_upper").alias("_upper")))
@@ -77,10 +77,11 @@ def middle_values(df: DataFrame, keys: list[str], columns: list[str], rounds: tu
         single = F.col("low") == F.col("high")
         done = held.where(single).select(*keys, "c", "low", "lower", "upper")
         found = done if found is None else found.unionByName(done)
-        open_groups = held.where(~single)
-        if i + 1 < len(rounds) and open_groups.isEmpty():
-            break
-    return found
+        open_groups, known = held.where(~single), bits
+        largest = open_groups.agg(F.max("n")).first()[0] if known < 64 else None
+        if largest is None:
+            return found
+        bits = 64 if largest <= DIGITS else min(b for b in rounds if b > known)
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str], names: list[str]) -> DataFrame:

@@ -26,6 +26,8 @@ from sigwin.session import stored
 
 #: Rows of a block, bins of the scores, tasks whose sums are added up together.
 ROWS, BINS, SUMMED = 4096, 4096, 64
+#: A training loss below this ends the training.
+ENOUGH = 1e-5
 #: Splits of the rows, by their number in the statistics.
 SPLITS = ("train", "valid")
 
@@ -219,7 +221,8 @@ class Training:
 def fit_network(rows: DataFrame, layers: tuple[int, ...], alpha: float = 1.0, gamma: float = 2.0, rounds: int = 100,
                 patience: int = 20, seed: int = 42) -> Training:
     """Train on ``(x, label, valid)`` rows.  Stops after ``patience`` accepted rounds without a lower
-    validation loss (training loss, without validation rows) and returns the best weights."""
+    validation loss (training loss, without validation rows), or when the training loss is below
+    ``ENOUGH``, and returns the best weights."""
     blocks = feature_blocks(rows)
     start, tasks = Network.start(layers, seed), blocks.rdd.getNumPartitions()
 
@@ -236,7 +239,7 @@ def fit_network(rows: DataFrame, layers: tuple[int, ...], alpha: float = 1.0, ga
             best, since, training.network = watched, 0, Network(start.layers, w)
         else:
             since += 1
-        if since >= patience:
+        if since >= patience or loss < ENOUGH:
             break
     return training
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwin.functions.radix import prefix, sortable_long
+from sigwin.functions.radix import prefix, with_sortable_long
 from sigwin.operators.joins import broadcast_if_small
 from sigwin.session import stored
 
@@ -73,7 +73,8 @@ def running_before(df: DataFrame, order_col: str, sum_cols: list[str], by: list[
     """For each row, the sums of ``sum_cols`` over the rows of its group (``by``) strictly before it
     in the order of ``order_col`` (values unique within a group), as ``<col>_before``."""
     by = list(by or [])
-    rows = stored(df.withColumn("_key", sortable_long(F.col(order_col).cast("double"))), "ordered-values")
+    values = df.withColumn("_value", F.col(order_col).cast("double"))
+    rows = stored(with_sortable_long(values, "_value", "_key").drop("_value"), "ordered-values")
     ranges = value_ranges(rows, "_key", sum_cols, by, descending, bound)
     depths = [r["depth"] for r in ranges.select("depth").distinct().collect()]
     side = ranges.select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.col("depth").alias("_depth"),

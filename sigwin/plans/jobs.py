@@ -40,6 +40,13 @@ def _window_table(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*extra, *[F.col(S.q(c)) for c in S.WINDOW_COLUMNS])
 
 
+def _counted_sites(sites: DataFrame, bucket: int, rows: RowCounts | None) -> DataFrame:
+    """Each site counts once, also in a clustered table, which holds some twice."""
+    staged = W.BUCKET_COL in sites.columns
+    own = F.col(W.BUCKET_COL) == F.floor(F.col("position") / F.lit(bucket)) if staged else EVERY
+    return watch(sites, rows, sites=own)
+
+
 def _by_label(df: DataFrame, rows: RowCounts | None) -> DataFrame:
     return watch(df, rows, label_0=F.col("label") == 0, label_1=F.col("label") == 1)
 
@@ -48,7 +55,7 @@ def m6a_training_set(sites: DataFrame, reference: DataFrame, shuffled: bool = Tr
                      bucket: int = W.DEFAULT_BUCKET, rows: RowCounts | None = None) -> DataFrame:
     """Windows -> DRACH filter -> site labels -> finite filter -> seeded
     shuffle key.  59 window columns (+ ``shuffle_key`` when shuffled)."""
-    windows = W.context_windows(watch(sites, rows, sites=EVERY), bucket=bucket)
+    windows = W.context_windows(_counted_sites(sites, bucket, rows), bucket=bucket)
     motif = W.motif_filter(watch(windows, rows, windows=EVERY, without_motif=~is_drach(W.MOTIF_COL)))
     labelled = W.finite_filter(L.label_by_sites(W.drop_kmer_columns(motif), reference), rows=rows)
     out = _window_table(_by_label(labelled, rows))
@@ -59,7 +66,7 @@ def structure_training_set(sites: DataFrame, profile_long: DataFrame,
                            bucket: int = W.DEFAULT_BUCKET, rows: RowCounts | None = None) -> DataFrame:
     """Windows (no motif filter) -> finite filter -> profile score at the
     centre -> reactivity cut -> 0/1 label."""
-    windows = W.windows_wide(watch(sites, rows, sites=EVERY), bucket=bucket)
+    windows = W.windows_wide(_counted_sites(sites, bucket, rows), bucket=bucket)
     scored = L.profile_lookup(W.finite_filter(watch(windows, rows, windows=EVERY), rows=rows), profile_long)
     scored = watch(scored, rows, without_score=F.col("score").isNull())
     return _window_table(_by_label(L.structure_label(scored), rows))
@@ -70,7 +77,7 @@ def inference_windows(sites: DataFrame, bucket: int = W.DEFAULT_BUCKET, rows: Ro
 
     One window pass gives both sets: a window with the motif is two rows.
     """
-    windows = W.context_windows(watch(sites, rows, sites=EVERY), bucket=bucket)
+    windows = W.context_windows(_counted_sites(sites, bucket, rows), bucket=bucket)
     finite = W.finite_filter(watch(windows, rows, windows=EVERY), S.FEATURES, rows)
     sets = F.array_compact(F.array(F.lit(STRUCTURE), F.when(is_drach(W.MOTIF_COL), F.lit(M6A))))
     tagged = L.constant_label(finite.withColumn("set", F.explode(sets)))

@@ -310,12 +310,14 @@ def q_predicted_class(spark, sf):
 
 # Model queries: fits have no SQL oracle, but their keys, ranges, counts and scoring do.
 def _fitted(spark, sf):
-    return ML.fit_ensemble(_structure(spark, sf))
+    """The finite windows without labels, and the ensemble fitted on the structure set: both from one site table."""
+    sites = _sites(spark, sf)
+    training = stored(J.structure_training_set(sites, FX.profile_long(spark, sf)), "windows")
+    return J.inference_sets(sites)[0], ML.fit_ensemble(training)
 
 
 def q_ensemble_predict(spark, sf):
-    structure, _ = J.inference_sets(_sites(spark, sf))
-    return J.predict(structure, _fitted(spark, sf))
+    return J.predict(*_fitted(spark, sf))
 
 
 def q_forest_score(spark, sf):
@@ -337,8 +339,7 @@ def q_predict_check(spark, sf):
 def q_forest_check(spark, sf):
     """Every finite window once: is its forest score what a walk down the node table gives, and is no
     node of fewer than ``min_split`` rows split?"""
-    fitted = _fitted(spark, sf)
-    structure, _ = J.inference_sets(_sites(spark, sf))
+    structure, fitted = _fitted(spark, sf)
     nodes = stored(node_table(spark, fitted.forest), "nodes")
     small = nodes.where((F.col("left") >= 0) & (F.col("n") < fitted.params.min_split)).count()
     arrays = ML.scaled_arrays(structure, fitted, ["contig", "position"])
@@ -351,8 +352,8 @@ def q_forest_check(spark, sf):
 
 def q_model_file(spark, sf):
     """Every finite window once: does the fitted state, saved and loaded, score as before?"""
-    fitted, path = _fitted(spark, sf), scratch_path(spark, "model-file")
-    structure = stored(J.inference_sets(_sites(spark, sf))[0], "windows")
+    structure, fitted = _fitted(spark, sf)
+    structure, path = stored(structure, "windows"), scratch_path(spark, "model-file")
     fitted.save(path)
     out = f"{path}-predictions"
     sinks.write_predictions(J.predict(structure, ML.FittedEnsemble.load(spark, path)), out)

@@ -49,7 +49,8 @@ def test_jobs_from_events_to_predictions(spark, scratch):
     assert _rows(tsv.read_windows(spark, f"{scratch}/m6a")) == _rows(J.m6a_training_set(sites, known))
 
     files.main(["clean", f"{scratch}/events", f"{scratch}/clustered", "--format", "clustered"], spark)
-    files.main(["m6a-set", f"{scratch}/clustered", f"{scratch}/known", f"{scratch}/m6a2", "--sites", "clustered"], spark)
+    again = files.m6a_set_file(spark, f"{scratch}/clustered", f"{scratch}/known", f"{scratch}/m6a2", layout="clustered")
+    assert _counts(again) == rows
     assert _rows(tsv.read_windows(spark, f"{scratch}/m6a2")) == made
 
     files.main(["structure-set", f"{scratch}/sites", f"{scratch}/profile", f"{scratch}/st", "--format", "parquet"],

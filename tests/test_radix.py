@@ -6,11 +6,8 @@ import statistics
 import struct
 
 import pytest
-from pyspark.sql import functions as F
-
-from sigwin.functions.radix import sortable_long
+from sigwin.functions.radix import with_sortable_long
 from sigwin.operators import clean, medians, ranges
-from sigwin.session import get_spark  # noqa: F401
 from tests.helpers import events_df
 
 
@@ -25,10 +22,10 @@ def test_sortable_long_is_the_bits_of_the_double(spark):
     xs += [rnd.choice([-1, 1]) * 2.0 ** rnd.randint(-1070, 1023) * rnd.random() for _ in range(3000)]
     xs += [math.nextafter(2.0 ** e, s) for e in range(-1000, 1000, 37) for s in (0, math.inf)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    for x, key in df.select("x", sortable_long(F.col("x"))).collect():
+    for x, key in with_sortable_long(df, "x").collect():
         assert key == (_bits(x) if x >= 0 else -_bits(x)), x
     odd = spark.createDataFrame([(None, 0), (float("nan"), 1)], "x double, i int")
-    assert [r[0] for r in odd.orderBy("i").select(sortable_long(F.col("x"))).collect()] == [-(1 << 63), (1 << 63) - 1]
+    assert [r["key"] for r in with_sortable_long(odd, "x").orderBy("i").collect()] == [-(1 << 63), (1 << 63) - 1]
 
 
 def _random_events(seed, n):
@@ -43,9 +40,11 @@ def _random_events(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("rounds", [medians.ROUNDS, (4, 64), (1, 33, 64)])
-def test_exact_medians_are_brute_force(spark, rounds, monkeypatch):
+@pytest.mark.parametrize("rounds,digits", [(medians.ROUNDS, medians.DIGITS), (medians.ROUNDS, 0), (medians.ROUNDS, 9),
+                                           ((1, 33, 64), 0)])
+def test_exact_medians_are_brute_force(spark, rounds, digits, monkeypatch):
     monkeypatch.setattr(medians.middle_values, "__defaults__", (rounds,))
+    monkeypatch.setattr(medians, "DIGITS", digits)
     rows = _random_events(11, 1500)
     columns = ["event_level_mean", "event_stdv", "event_length"]
     got = {r["position"]: r for r in
@@ -65,6 +64,7 @@ def test_medians_take_three_counts_and_no_buffer_of_values(spark, monkeypatch):
     calls = []
     real = medians.prefix
     monkeypatch.setattr(medians, "prefix", lambda key, bits: calls.append(bits) or real(key, bits))
+    monkeypatch.setattr(medians, "DIGITS", 0)  # as if every group were too large for its last bits at once
     df = events_df(spark, _random_events(5, 600))
     out = clean.clean_events(df)
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
@@ -94,7 +94,8 @@ def test_running_sums_over_skewed_values(spark, bound, descending):
 
 def test_no_range_is_larger_than_the_bound(spark):
     rows = [(0.5 + i * 2.0 ** -50, 1) for i in range(1000)] + [(float(i), 1) for i in range(200)]
-    df = spark.createDataFrame(rows, "v double, x long").withColumn("_key", sortable_long(F.col("v")))
+    df = spark.createDataFrame(rows, "v double, x long")
+    df = with_sortable_long(df, "v", "_key")
     found = ranges.value_ranges(df, "_key", ["x"], [], True, 25)
     sizes = [r["n"] for r in found.collect()]
     assert max(sizes) <= 25 and sum(sizes) == 1200
