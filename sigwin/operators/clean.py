@@ -11,17 +11,19 @@ Per site and column:
 * ``diff_stdv = (clipped event_stdv - model_stdv) / model_stdv`` (NULL on a
   zero divisor)
 
-Plan: at most five scans of the events, and one path for all sites.
+Plan: four scans of the events, and up to three of the rows of large sites.
 
-    1.   events -> partial agg -> Exchange -> final agg (counts, std, mode, first)
-    2-4. events -> digit counts -> Exchange -> middle digits      (operators.medians)
-    5.   events -> join(median, std) -> partial agg -> Exchange -> final agg (clipped means)
+    1. events -> partial agg -> Exchange -> final agg (counts, std, mode, first)
+    2. events -> counts -> Exchange -> the large sites            (operators.medians)
+    3. events -> partial agg -> Exchange -> medians of the other sites
+       rows of large sites -> digit counts -> Exchange -> middle digits, up to three times
+    4. events -> join(median, std) -> partial agg -> Exchange -> final agg (clipped means)
 
 All aggregates are combined map side.  The joins broadcast the per-site table if its
 bytes allow (``sigwin.broadcast.maxBytes``); beyond that they are shuffle joins whose
 per-site side has one row a site, so that AQE can split the events of a site that holds
-a third of all.  The medians come from counts of digits: no buffer holds the values of
-a site, however many it has.
+a third of all.  The medians of large sites come from counts of digits: no buffer holds
+more than ``medians.DIRECT`` values of a site, however many it has.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ plus the constant label of inference sets.
 Known sites are an index of bitmaps: for each transcript one bitmap per 32,768
 positions, made by the built-in bitmap aggregates.  A window joins the bitmap of its
 bucket and tests one bit, so the joined side has a row per bucket and not per site, and
-duplicate sites are one bit.  Profiles are pieces of 4,096 scores, joined the same way.
+duplicate sites are one bit.  Profiles are pieces of 4,096 scores, joined the same way; a
+piece is a map of maps of 64 scores, since Spark searches a map entry by entry.
 Both sides are broadcast if their bytes allow.
 """
 
@@ -22,6 +23,8 @@ INFERENCE_LABEL = -1
 #: Bits of a bitmap, fixed by bitmap_construct_agg, and scores of a profile's piece.
 BITMAP = 4096 * 8
 PIECE = 4096
+#: Scores of a part of a piece: a map is searched entry by entry.
+PART = 64
 
 
 def _bucket(position, size: int):
@@ -69,23 +72,41 @@ def union_classes(positive: DataFrame, negative: DataFrame) -> DataFrame:
             .unionByName(negative.withColumn("label", F.lit(0).cast(T.IntegerType()))))
 
 
+def _placed_scores(profile_long: DataFrame, size: int) -> DataFrame:
+    """``(tx, bucket, at, score)``: one score a position; at most ``size`` of them meet in a bucket."""
+    return profile_long.where(F.col("tx").isNotNull() & F.col("pos").isNotNull()).groupBy(
+        "tx", _bucket(F.col("pos"), size).alias("bucket"), F.pmod(F.col("pos"), F.lit(size)).cast("int").alias("at")
+    ).agg(F.min("score").alias("score"))
+
+
 def profile_pieces(profile_long: DataFrame, size: int = PIECE) -> DataFrame:
     """``(tx, bucket, scores)``: a map of position in the bucket to score for every ``size`` positions."""
-    placed = profile_long.where(F.col("tx").isNotNull() & F.col("pos").isNotNull()).groupBy(
-        "tx", _bucket(F.col("pos"), size).alias("bucket"), F.pmod(F.col("pos"), F.lit(size)).cast("int").alias("at"))
-    # One score a position; at most ``size`` of them meet in a bucket.
-    return (placed.agg(F.min("score").alias("score")).groupBy("tx", "bucket")
+    return (_placed_scores(profile_long, size).groupBy("tx", "bucket")
             .agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("scores")))
 
 
+def lookup_pieces(profile_long: DataFrame, size: int = PIECE, part: int = PART) -> DataFrame:
+    """``(tx, bucket, parts)``: the pieces as maps of part number to a map of place in the part to score."""
+    at = F.col("at")
+    placed = _placed_scores(profile_long, size).select(
+        "tx", "bucket", F.floor(at / F.lit(part)).cast("int").alias("part"),
+        F.struct((at % part).alias("at"), "score").alias("entry"))
+    parts = placed.groupBy("tx", "bucket", "part").agg(F.map_from_entries(F.collect_list("entry")).alias("scores"))
+    return parts.groupBy("tx", "bucket").agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "scores"))).alias("parts"))
+
+
 def profile_lookup(windows: DataFrame, profile_long: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Attach the profile score (text) at the window centre: equi join on (transcript id, bucket)
     against the profile's pieces and a look-up there; a window with no score keeps a NULL (left join)."""
-    pieces = profile_pieces(profile_long).select(F.col("tx").alias("_tx"), F.col("bucket").alias("_bucket"), "scores")
+    pieces = lookup_pieces(profile_long).select(F.col("tx").alias("_tx"), F.col("bucket").alias("_bucket"),
+                                                F.col("parts").alias("_parts"))
     pieces = broadcast_if_small(pieces, max_bytes, "profile-pieces")
-    score = F.try_element_at("scores", F.pmod(F.col("position"), F.lit(PIECE)).cast("int"))
+    at = F.pmod(F.col("position"), F.lit(PIECE)).cast("int")
+    scores = F.try_element_at("_parts", F.floor(at / F.lit(PART)).cast("int"))
+    score = F.try_element_at(scores, at % PART)
     return (windows.withColumn("_tx", contig_key("contig")).withColumn("_bucket", _bucket(F.col("position"), PIECE))
-            .join(pieces, ["_tx", "_bucket"], "left").withColumn("score", score).drop("_tx", "_bucket", "scores"))
+            .join(pieces, ["_tx", "_bucket"], "left").withColumn("score", score).drop("_tx", "_bucket", "_parts"))
 
 
 def reactivity_filter(df: DataFrame, score_col: str = "score", lo: float = 0.2,

@@ -1,4 +1,8 @@
-"""Exact medians per site and column by radix selection.
+"""Exact medians per site and column: of bounded buffers, and by radix selection.
+
+Sites of at most ``DIRECT`` rows, most often all, take Spark's exact percentile in one
+aggregate, whose buffers hold at most that many values a column.  Larger sites are found
+by counting the rows, and only their rows take the rounds of the selection:
 
 A value is a sortable long of 64 bits (``functions.radix``).  A round counts, for each
 site and column, the values by the next digit of their long, among those that share the
@@ -24,6 +28,8 @@ from sigwin.session import stored
 #: Leading bits that are known after each round, and digits of a group that a round counts at most.
 ROUNDS = (20, 42, 64)
 DIGITS = 1 << 22
+#: Rows of a site whose median may come from a buffer of its values.
+DIRECT = 4096
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -84,9 +90,8 @@ def middle_values(df: DataFrame, keys: list[str], columns: list[str], rounds: tu
         bits = 64 if largest <= DIGITS else min(b for b in rounds if b > known)
 
 
-def exact_medians(df: DataFrame, keys: list[str], columns: list[str], names: list[str]) -> DataFrame:
-    """One row for each site with a value: the exact median of every column under its name, NULLs skipped.
-    Even counts: half the lower plus half the upper middle value, as Spark's percentile."""
+def selected_medians(df: DataFrame, keys: list[str], columns: list[str], names: list[str]) -> DataFrame:
+    """``exact_medians`` by radix selection, whatever the number of a site's rows."""
     parts = middle_values(df, keys, columns)
     aggs = []
     for i in range(len(columns)):
@@ -99,3 +104,22 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str], names: lis
         a, b = F.col(f"_lower_{i}"), F.col(f"_upper_{i}")
         medians.append(F.when(a == b, a).otherwise(F.lit(0.5) * a + F.lit(0.5) * b).alias(name))
     return sides.select(*keys, *medians)
+
+
+def exact_medians(df: DataFrame, keys: list[str], columns: list[str], names: list[str], direct: int | None = None
+                  ) -> DataFrame:
+    """One row for each site with a value: the exact median of every column under its name, NULLs skipped.
+    Even counts: half the lower plus half the upper middle value, as Spark's percentile."""
+    direct = min(DIRECT, DIGITS) if direct is None else direct
+    if direct < 1:
+        return selected_medians(df, keys, columns, names)
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = broadcast_if_small(rows.where(F.col("n") > direct).select(*keys), name="large-sites")
+    any_large = not large.isEmpty()
+    small = df.join(large, keys, "left_anti") if any_large else df
+    found = small.groupBy(*keys).agg(*[
+        F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(name) for c, name in zip(columns, names, strict=True)])
+    found = found.where(F.coalesce(*names).isNotNull())
+    if not any_large:
+        return found
+    return found.unionByName(selected_medians(df.join(large, keys, "left_semi"), keys, columns, names))

@@ -97,6 +97,28 @@ def read_site_reference(spark: SparkSession, path: str) -> DataFrame:
             .dropDuplicates(["tx", "pos1"]))
 
 
+def parse_profile_lines(lines: DataFrame) -> DataFrame:
+    """Ragged profile lines ``(value, ord)``, one a row, as ``(tx, scores)``, by the rules of ``sources.profile``:
+    the first line of at least four fields gives the scores, any shorter one leaves the transcript without.
+
+    For lines that fit a row; ``sources.profile`` reads files of any."""
+    stripped = F.regexp_replace("value", r"^\s+|\s+$", "")
+    fields = (lines.select(stripped.alias("line"), "ord").where(F.length("line") > 0)
+              .select(F.split("line", "\t", -1).alias("cols"), "ord"))
+    long = F.size("cols") >= 4
+    scores = F.slice("cols", F.lit(4), F.greatest(F.size("cols") - 3, F.lit(0)))
+    per_line = fields.select(F.col("cols")[0].alias("tx"), (~long).alias("short"),
+                             F.when(long, scores).alias("scores"), F.when(long, F.col("ord")).alias("long_ord"))
+    none = F.array().cast("array<string>")
+    return per_line.groupBy("tx").agg(F.when(F.max("short"), none).otherwise(F.min_by("scores", "long_ord")).alias("scores"))
+
+
+def profile_to_long(profile: DataFrame) -> DataFrame:
+    """``(tx, scores)`` as ``(tx, pos, score)``: the zero-based position of every score."""
+    return profile.select("tx", F.posexplode("scores").alias("pos", "score")).select(
+        "tx", F.col("pos").cast("long").alias("pos"), "score")
+
+
 def _integer(text: Column, kind: T.DataType) -> Column:
     """A whole number that fits, also written with a fraction of zero (``1.0``); else NULL."""
     number = text.try_cast(T.DoubleType())
