@@ -2,8 +2,8 @@
 
 The training rows are stored once as blocks of features (``ROWS`` rows each).  A round is
 one job: every task sums the loss, its gradient and the scores' histograms over its
-blocks, and the sums are added up in groups of tasks, so that the driver gets one
-parameter-sized vector however many rows there are, and no row.  The driver keeps the
+blocks, and the sums are added up in groups of tasks until one is left: the driver gets one
+parameter-sized vector a round, however many rows and tasks there are, and no row.  The driver keeps the
 parameters (their number is fixed by the layers) and steps by L-BFGS.  Each round
 also gives loss, ROC AUC and average precision of the training and the validation rows;
 the scores are counted in ``BINS`` equal bins for the latter two, with ties as halves.
@@ -111,12 +111,10 @@ def _statistics_size() -> int:
     return 4 + 4 * BINS
 
 
-def round_sums(blocks: DataFrame, tasks: int, network: Network, alpha: float, gamma: float
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """(gradient of the sum of the training losses, statistics): one job over all blocks.
+def summed_blocks(blocks: DataFrame, tasks: int, network: Network, alpha: float, gamma: float) -> DataFrame:
+    """``(batch, sums)``: one row with the gradient and the statistics over all blocks.
 
-    With more than ``SUMMED`` tasks their sums are added up in groups first: the driver gets no
-    more than ``SUMMED`` vectors."""
+    The sums of the tasks are added up in groups of ``SUMMED`` until one is left."""
     size, width = len(network.weights), network.layers[0]
     schema = "batch int, sums binary"
 
@@ -148,10 +146,18 @@ def round_sums(blocks: DataFrame, tasks: int, network: Network, alpha: float, ga
                                           "sums": pa.array([total.tobytes()], pa.binary())})
 
     sums = blocks.mapInArrow(run, schema)
-    while tasks > SUMMED:
-        sums, tasks = sums.groupBy("batch").applyInArrow(add, schema), -(-tasks // SUMMED)
+    while tasks > 1:
+        tasks = -(-tasks // SUMMED)
+        sums = sums.repartition(tasks, "batch").groupBy("batch").applyInArrow(add, schema)
+    return sums
+
+
+def round_sums(blocks: DataFrame, tasks: int, network: Network, alpha: float, gamma: float
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient of the sum of the training losses, statistics): one job over all blocks."""
+    size = len(network.weights)
     total = np.zeros(size + _statistics_size())
-    for row in sums.collect():
+    for row in summed_blocks(blocks, tasks, network, alpha, gamma).collect():
         total += np.frombuffer(row["sums"])
     return total[:size], total[size:]
 

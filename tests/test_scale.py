@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from sigwin.operators import labels, medians
+from sigwin.operators import labels, medians, network
 
 
 def _values(spark):
@@ -54,3 +54,13 @@ def test_no_map_of_a_profile_look_up_is_long(spark):
         got = {(r["contig"], r["position"]): r["score"] for r in labels.profile_lookup(windows, long, most).collect()}
         assert got == {(c, p): scores.get(p) if c != "XX" else None for c, p in
                        [("ENST1.1|x", p) for p in range(-70, 9100)] + [("XX", 5)]}
+
+
+def test_driver_gets_one_vector_a_round(spark):
+    rows = [([float(i % 7), float(i % 3)], i % 2, False) for i in range(60)]
+    df = spark.createDataFrame(rows, "x array<double>, label int, valid boolean")
+    blocks = network.feature_blocks(df.repartition(6)).repartition(6)
+    net = network.Network.start((2, 3, 2), 1)
+    sums = network.summed_blocks(blocks, 6, net, 1.0, 2.0)
+    assert sums.count() == 1
+    assert network.round_sums(blocks, 6, net, 1.0, 2.0)[1][0] == 60
