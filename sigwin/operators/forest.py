@@ -3,16 +3,22 @@
 Spark ML grows the trees; its saved form is read as a table, one row a node.  Nodes of
 fewer rows than ``min_split`` become leaves and lose their descendants, and the table is
 written back, so that Spark ML scores with it.  ``walked_probability`` scores by walking
-the table in expressions and is what the tests and the check query compare with.  A tree
+the table, all rows of an Arrow batch a step at once, and is what the tests and the check
+query compare with.  A tree
 has at most ``2 ** (depth + 1)`` nodes, whatever the number of training rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigwin.session import scratch_path
 
@@ -81,26 +87,54 @@ def with_min_split(spark: SparkSession, model: RandomForestClassificationModel,
     return RandomForestClassificationModel.load(path)
 
 
-def tree_arrays(nodes: DataFrame) -> DataFrame:
-    """One row with all trees as arrays of their nodes, by the node's number."""
-    p1 = F.coalesce(F.try_divide(F.get("stats", F.lit(1)), F.aggregate("stats", F.lit(0.0), lambda a, s: a + s)), F.lit(0.0))
-    fields = F.struct("node", "feature", "threshold", "left", "right", p1.alias("p"))
-    per = nodes.groupBy("tree").agg(F.array_sort(F.collect_list(fields)).alias("nodes"))
-    return per.agg(F.collect_list("nodes").alias("trees"))
+@dataclass(frozen=True)
+class TreeArrays:
+    """All trees one after the other; ``left`` and ``right`` count from the first node of all, a leaf is its own
+    child, ``p`` is the probability of class 1 and ``roots`` are the trees' first nodes."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    p: np.ndarray
+    roots: np.ndarray
 
+    def walked(self, x: np.ndarray, depth: int) -> np.ndarray:
+        """The mean over the trees of the probability where each row of ``x`` is after ``depth`` steps."""
+        rows, total = np.arange(len(x)), np.zeros(len(x))
+        for root in self.roots:
+            at = np.full(len(x), root)
+            for _ in range(max(depth, 1)):
+                at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+            total += self.p[at]
+        return total / len(self.roots)
 
-def _leaf(nodes: Column, x: Column, depth: int) -> Column:
-    def down(node: Column, _: Column) -> Column:
-        here = F.get(nodes, node)
-        side = F.when(F.get(x, here["feature"]) <= here["threshold"], here["left"]).otherwise(here["right"])
-        return F.when(here["left"] < 0, node).otherwise(side)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(0), down)
+
+def tree_arrays(nodes: DataFrame) -> TreeArrays:
+    """The node table as arrays: the driver gets the forest, at most ``2 ** (depth + 1)`` short rows a tree."""
+    p1 = F.coalesce(F.try_divide(F.get("stats", F.lit(1)), F.aggregate("stats", F.lit(0.0), lambda a, s: a + s)), F.lit(0.0))
+    table = nodes.select("tree", "node", "feature", "threshold", "left", "right", p1.alias("p")).toArrow()
+    table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
+    tree, feature, threshold, left, right, p = (
+        table.column(c).to_numpy() for c in ("tree", "feature", "threshold", "left", "right", "p"))
+    own, leaf = np.arange(len(tree)), left < 0
+    roots = np.flatnonzero(np.diff(tree, prepend=tree[:1] - 1))
+    first = np.repeat(roots, np.diff(roots, append=len(tree)))
+    return TreeArrays(np.where(leaf, 0, feature), threshold.astype("<f8"), np.where(leaf, own, first + left),
+                      np.where(leaf, own, first + right), p, roots)
 
 
 def walked_probability(df: DataFrame, nodes: DataFrame, x: str, depth: int, name: str) -> DataFrame:
     """``df`` with the probability of class 1: the mean over the trees of the leaf that array ``x`` reaches."""
-    trees = tree_arrays(nodes).withColumn("_one", F.lit(1))
-    total = F.aggregate("trees", F.lit(0.0), lambda a, t: a + F.get(t, _leaf(t, F.col(x), depth))["p"])
-    # One row, as large as the forest.
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(trees), "_one")
-            .withColumn(name, total / F.size("trees")).drop("_one", "trees"))
+    at = df.columns.index(x)
+    # As large as the forest.
+    trees = df.sparkSession.sparkContext.broadcast(tree_arrays(nodes))
+    fields = [*df.schema.fields, T.StructField(name, T.DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            walked = trees.value.walked(values.reshape(batch.num_rows, -1), depth) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(walked, pa.float64())], [f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))

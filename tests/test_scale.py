@@ -64,3 +64,19 @@ def test_driver_gets_one_vector_a_round(spark):
     sums = network.summed_blocks(blocks, 6, net, 1.0, 2.0)
     assert sums.count() == 1
     assert network.round_sums(blocks, 6, net, 1.0, 2.0)[1][0] == 60
+
+
+def test_forest_walk_runs_a_batch_at_a_time(spark):
+    """No expression walks the trees for each row; missing and NaN values go right, as in the walk by expressions."""
+    from sigwin.operators import forest
+    nodes = spark.createDataFrame([
+        (0, 0, 9, 1, 0.5, 1, 2, 1.0, 0.5, 0.0, [5.0, 4.0]), (0, 1, 5, -1, None, -1, -1, -1.0, 0.0, 0.0, [4.0, 1.0]),
+        (0, 2, 4, 0, 2.0, 3, 4, 1.0, 0.0, 1.0, [1.0, 3.0]), (0, 3, 2, -1, None, -1, -1, -1.0, 0.0, 1.0, [0.0, 2.0]),
+        (0, 4, 2, -1, None, -1, -1, -1.0, 0.0, 1.0, [0.0, 0.0]), (3, 0, 9, -1, None, -1, -1, -1.0, 0.0, 0.0, [1.0, 3.0])],
+        forest.NODES)
+    x = [([0.0, 0.5], 0.2), ([0.0, 0.6], 1.0), ([3.0, 0.6], 0.0), ([float("nan"), 9.0], 0.0), ([None, 9.0], 0.0), ([9.0, None], 0.0)]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(x)], "k int, x array<double>")
+    walked = forest.walked_probability(df, nodes, "x", 2, "w")
+    assert "aggregate(" not in walked._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r["k"]: r["w"] for r in walked.collect()} == {i: pytest.approx((p + 0.75) / 2) for i, (_, p) in enumerate(x)}
+    assert walked.columns == ["k", "x", "w"]
