@@ -356,7 +356,9 @@ def q_model_file(spark, sf):
     structure, path = stored(structure, "windows"), scratch_path(spark, "model-file")
     fitted.save(path)
     out = f"{path}-predictions"
-    sinks.write_predictions(J.predict(structure, ML.FittedEnsemble.load(spark, path)), out)
+    # The sort of the sink reads its input twice: the scores are stored.
+    scored = stored(J.predict(structure, ML.FittedEnsemble.load(spark, path)), "scored")
+    sinks.write_predictions(scored, out)
     again = spark.read.option("sep", "\t").option("header", True).csv(out).select(
         "contig", F.col("position").cast("long"), F.col("Combined_Prob").cast("double").alias("again"))
     both = J.predict(structure, fitted).join(again, ["contig", "position"], "full")
